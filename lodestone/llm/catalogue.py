@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import vectors
+from lodestone.functions.names import ATTACHMENTS, note_name
+from lodestone.llm import neardup, packing, splitting, topn, vectors
 from lodestone.operators.records import latest
 
 
@@ -21,13 +23,77 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return vectors.unordered(p1_similar(spark, d))
 
 
-QUERIES = {"p1_found": p1_found, "p1_similar": p1_similar}
+def p3_top(spark: SparkSession, d: str) -> DataFrame:
+    """The three best recorded results of every note."""
+    rows = latest(spark.read.parquet(f"{d}/search_results.parquet"), "result_id", "loaded_at", "result_id", "loaded_at", "note_slug", "score", "chunk_index", "lexical")
+    rows = rows.where(~F.coalesce("lexical", F.lit(False)))
+    best = topn.top_n(rows, note_name(F.col("note_slug")), 3, F.col("score"), F.col("chunk_index"), F.col("result_id"), "result_id", "score", "chunk_index")
+    return best.select(F.col("grp").alias("note_slug"), F.col("rank").cast("long").alias("rank"), "result_id", "score", F.coalesce("chunk_index", F.lit(0)).alias("chunk_index"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_top(spark, d).select("note_slug", "result_id")
+
+
+#: Problem 4 in this data: runs of three words, at least 0.6 of their union in common.
+EDITED = {"size": 3, "similarity": 0.6, "owner_col": "note_slug"}
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_duplicates(_chunks(spark, d, "note_slug", "text"), **EDITED)
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of chunks that still share most of their content."""
+    return neardup.near_duplicate_groups(_chunks(spark, d, "note_slug", "text"), **EDITED)
+
+
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of every section above the chunk size that holds for it."""
+    rows = latest(spark.read.parquet(f"{d}/sections.parquet"), "section_id", "loaded_at", "section_id", "note_slug", "heading_path", "pipeline_name", "text")
+    pipes = spark.read.parquet(f"{d}/pipelines.parquet").select("pipeline_name", "chunk_size", "chunk_overlap")
+    usual = pipes.where("pipeline_name = 'default'").select(F.max("chunk_size").alias("usual_size"), F.max("chunk_overlap").alias("usual_overlap"))
+    # One row, as it is an aggregate without groups.
+    pipes = pipes.crossJoin(usual).select("pipeline_name", F.coalesce("chunk_size", "usual_size").alias("size"), F.coalesce("chunk_overlap", "usual_overlap").alias("overlap"))
+    rows = rows.withColumn("pipeline_name", F.coalesce("pipeline_name", F.lit("default"))).join(pipes, "pipeline_name")
+    return splitting.split_oversized(rows, "section_id", F.col("text"), F.col("size"), F.col("overlap"), "note_slug", "heading_path")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_pieces(spark, d).where("piece = 0").select("section_id")
+
+
+def p6_packing(spark: SparkSession, d: str) -> DataFrame:
+    """Every text, or piece of 2,048 tokens of a longer one, with its container."""
+    return packing.pack(spark.read.parquet(f"{d}/documents.parquet"))
+
+
+_ALL = (p1_found, p1_similar, p3_found, p3_top, p4_found, p4_groups, p5_found, p5_pieces, p6_packing)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _CHUNKS = "c AS (SELECT * FROM chunks WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC NULLS LAST, embedding DESC NULLS LAST) = 1)"
 _NEAR = f"""{_CHUNKS},
 v AS (SELECT id, embedding::DOUBLE[] AS e FROM c WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 p AS (SELECT a.id, b.id AS similar_id, list_cosine_similarity(a.e, b.e) AS score FROM v a JOIN v b ON a.id <> b.id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, similar_id) AS rank FROM p QUALIFY rank <= 5)"""
+_ENDS = " OR ".join(f"ends_with(bare, '{e}')" for e in ATTACHMENTS)
+_TOP = f"""l AS (SELECT * FROM search_results WHERE result_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY result_id ORDER BY loaded_at DESC NULLS LAST, note_slug DESC NULLS LAST) = 1),
+b AS (SELECT *, lower(trim(regexp_replace(regexp_replace(note_slug, '[#|].*$', '', 's'), '^.*/', '', 's'))) AS bare FROM l WHERE score IS NOT NULL AND NOT isnan(score) AND NOT coalesce(lexical, false)),
+n AS (SELECT result_id, score, coalesce(chunk_index, 0) AS chunk_index, regexp_replace(CASE WHEN ends_with(bare, '.md') THEN bare[:-4] WHEN ends_with(bare, '.pdf') THEN bare[:-5] || '-pdf' ELSE bare END, ' +', '-', 'g') AS note_slug FROM b WHERE NOT ({_ENDS})),
+t AS (SELECT note_slug, row_number() OVER (PARTITION BY note_slug ORDER BY score DESC, chunk_index, result_id) AS rank, result_id, score, chunk_index FROM n WHERE note_slug <> '' QUALIFY rank <= 3)"""
+_EDITED = f"""{_CHUNKS},
+w AS (SELECT id, note_slug, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM c),
+g AS (SELECT DISTINCT id, note_slug, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 3),
+s AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+o AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS common FROM g a JOIN g b USING (g) WHERE a.id < b.id AND a.note_slug IS DISTINCT FROM b.note_slug GROUP BY ALL)"""
+# A pair is found if either side ranks the other, and cosines are cheap to compare where all are, so
+# the SQL joins everything; the driver's data for it are small.
 SQL = {
+    "p3_found": f"WITH {_TOP} SELECT note_slug, result_id FROM t",
+    "p3_top": f"WITH {_TOP} SELECT note_slug, rank, result_id, score, chunk_index FROM t",
+    "p5_found": """WITH s AS (SELECT * FROM sections WHERE section_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY section_id ORDER BY loaded_at DESC NULLS LAST) = 1),
+u AS (SELECT chunk_size FROM pipelines WHERE pipeline_name = 'default')
+SELECT section_id FROM s JOIN pipelines p ON p.pipeline_name = coalesce(s.pipeline_name, 'default') WHERE length(trim(text, chr(32) || chr(9) || chr(13) || chr(10))) > coalesce(p.chunk_size, (SELECT chunk_size FROM u))""",
+    "p4_found": f"WITH {_EDITED} SELECT id_a, id_b FROM o JOIN s x ON x.id = id_a JOIN s y ON y.id = id_b WHERE common >= 0.6 * (x.n + y.n - common)",
     "p1_found": f"WITH {_NEAR} SELECT DISTINCT least(id, similar_id) AS id_a, greatest(id, similar_id) AS id_b FROM r",
 }
