@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.names import ATTACHMENTS, note_name
-from lodestone.llm import neardup, packing, splitting, topn, vectors
+from lodestone.llm import contamination, levels, neardup, packing, splitting, topn, vectors
 from lodestone.operators.records import latest
 
 
@@ -68,7 +68,34 @@ def p6_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(spark.read.parquet(f"{d}/documents.parquet"))
 
 
-_ALL = (p1_found, p1_similar, p3_found, p3_top, p4_found, p4_groups, p5_found, p5_pieces, p6_packing)
+def p7_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The spans of 12 words or more that a document shares with a test item."""
+    return contamination.leaked_spans(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/eval_items.parquet"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_spans(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p7_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that hold leaked passages, without these."""
+    return contamination.without_leaks(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/eval_items.parquet"))
+
+
+BANDS = ("primary", "secondary", "tertiary", "specialist")
+
+
+def p8_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Band and position of every document with enough English prose."""
+    model = levels.learn(spark.read.parquet(f"{d}/level_samples.parquet"), BANDS)
+    return levels.reading_levels(spark.read.parquet(f"{d}/documents.parquet"), model)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_levels(spark, d).select("doc_id", "band")
+
+
+_ALL = (p1_found, p1_similar, p3_found, p3_top, p4_found, p4_groups, p5_found, p5_pieces, p6_packing, p7_found, p7_spans, p7_clean, p8_found, p8_levels)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _CHUNKS = "c AS (SELECT * FROM chunks WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC NULLS LAST, embedding DESC NULLS LAST) = 1)"
@@ -91,6 +118,10 @@ o AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS common FROM g a JOIN g b US
 SQL = {
     "p3_found": f"WITH {_TOP} SELECT note_slug, result_id FROM t",
     "p3_top": f"WITH {_TOP} SELECT note_slug, rank, result_id, score, chunk_index FROM t",
+    "p7_found": """WITH words AS (SELECT doc_id AS k, 'd' AS kind, regexp_extract_all(lower(regexp_replace(text, '[\\x{00AD}\\x{200B}\\x{200C}\\x{200D}\\x{FEFF}]', '', 'g')), '[a-z0-9]+') AS w FROM documents
+  UNION ALL SELECT item_id, 'i', regexp_extract_all(lower(regexp_replace(text, '[\\x{00AD}\\x{200B}\\x{200C}\\x{200D}\\x{FEFF}]', '', 'g')), '[a-z0-9]+') FROM eval_items),
+g AS (SELECT DISTINCT k, kind, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM words WHERE len(w) >= 12)
+SELECT DISTINCT d.k AS doc_id, i.k AS item_id FROM g d JOIN g i USING (g) WHERE d.kind = 'd' AND i.kind = 'i'""",
     "p5_found": """WITH s AS (SELECT * FROM sections WHERE section_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY section_id ORDER BY loaded_at DESC NULLS LAST) = 1),
 u AS (SELECT chunk_size FROM pipelines WHERE pipeline_name = 'default')
 SELECT section_id FROM s JOIN pipelines p ON p.pipeline_name = coalesce(s.pipeline_name, 'default') WHERE length(trim(text, chr(32) || chr(9) || chr(13) || chr(10))) > coalesce(p.chunk_size, (SELECT chunk_size FROM u))""",
