@@ -37,6 +37,7 @@ SEED = 20240811
 SYMBOLS = 4
 #: Slots in which rows are counted; the counts only steer the thresholds, so collisions cost time, not pairs.
 SLOTS = 1 << 19
+BLOCKS = 64
 SIGMAS = 4.0
 #: Classes up to this size are written out as pairs of their members.
 WRITE_OUT = 64
@@ -129,23 +130,39 @@ def _slot(keys: np.ndarray, fourth: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _counts(base: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows met by each slot, for loose and for strict thresholds; 2 * SLOTS numbers whatever the input."""
+    """Rows met by each slot, for loose and for strict thresholds; 2 * SLOTS numbers whatever the input.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Every task counts all its rows and passes its counts on in ``BLOCKS`` dense arrays, which are summed by block.
+    """
+    width = 2 * SLOTS // BLOCKS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 * SLOTS, np.int64)
         for batch in batches:
             if batch.num_rows:
                 loose, strict = _slot(_matrix(batch["keys"], parts), _matrix(batch["fourth"], parts))
                 total += np.bincount(np.concatenate([loose.ravel(), strict.ravel() + SLOTS]), minlength=2 * SLOTS)
-        at = np.flatnonzero(total)
-        for part in np.array_split(at, len(at) // 65536 + 1):
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["slot", "n"])
+        yield _blocks({b: part for b, part in enumerate(total.reshape(BLOCKS, width)) if part.any()})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, raw in zip(batch["block"].to_pylist(), batch["counts"].to_pylist()):
+                part = np.frombuffer(raw, np.uint32).astype(np.int64)
+                total[b] = total[b] + part if b in total else part
+        yield _blocks(total)
+
+    schema = "block int, counts binary"
+    summed = base.select("keys", "fourth").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema)
+    total = np.zeros((BLOCKS, width), np.int32)
+    for row in summed.collect():  # BLOCKS rows of fixed size
+        total[row["block"]] = np.minimum(np.frombuffer(row["counts"], np.uint32), 1 << 30)
+    return total.ravel()[:SLOTS], total.ravel()[SLOTS:]
+
 
-    counted = base.select("keys", "fourth").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(2 * SLOTS, np.int64)
-    total[counted["slot"].to_numpy()] = counted["n"].to_numpy()
-    total = np.minimum(total, 1 << 30).astype(np.int32)
-    return total[:SLOTS], total[SLOTS:]
+def _blocks(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
+    raw = [np.minimum(v, (1 << 32) - 1).astype(np.uint32).tobytes() for v in parts.values()]
+    return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array(raw, pa.binary())], ["block", "counts"])
 
 
 def _probes(base: DataFrame, parts: int, similarity: float, miss: float) -> DataFrame:
@@ -221,7 +238,7 @@ def similar_classes(rows: DataFrame, size: int = 5, similarity: float = 0.8, par
     source = rows.select(F.col(id_col).alias("id"), owner.alias("owner"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
     base = materialise(_sketches(source.withColumn("rid", F.xxhash64("id")), size, parts, kind), "shingles")
     copies = base.groupBy("class").agg(F.count("*").alias("many"), F.min("id").alias("rep")).where("many > 1")
-    members = base.select("id", "owner", "class").join(copies, "class").select("rep", "id", "owner", "many")
+    members = materialise(base.select("id", "owner", "class").join(copies, "class").select("rep", "id", "owner", "many"), "members")
     stand_ins = base.join(members.where("id != rep").select("id"), "id", "left_anti")
     probes = _probes(stand_ins, parts, similarity, miss)
     met = pair_rows(split_hot(probes, base.count() * parts), [], _met(similarity))

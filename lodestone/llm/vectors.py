@@ -174,7 +174,7 @@ def similar_vectors(rows: DataFrame, k: int, similarity: float, dim: int = 64, t
     base = materialise(_sketches(source, dim, tables, probes, digits), "sketches")
 
     copies = base.groupBy("class").agg(F.count("*").alias("n"), F.min("id").alias("rep")).where("n > 1")
-    members = base.select("id", "class").join(copies, "class").select("rep", "id", "n")
+    members = materialise(base.select("id", "class").join(copies, "class").select("rep", "id", "n"), "members")
     stand_ins = base.join(members.where("id != rep").select("id"), "id", "left_anti")
 
     hashed = stand_ins.select("rid", "b0", "b1", F.posexplode("keys").alias("pos", "key")).select("key", "rid", "b0", "b1", (F.col("pos") % probes).cast("byte").alias("probe"))
