@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lodestone.plans import orphans
+from lodestone.plans import orphans, retrieval
 
-FLAGSHIP = "p2_found"
-_MODULES = (orphans,)
+FLAGSHIP = "semantic_topk"
+_MODULES = (orphans, retrieval)
 
 
 def queries() -> dict:
