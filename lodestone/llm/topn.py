@@ -5,10 +5,14 @@ from below, for the group's N best rows of the whole table cannot be worse. Each
 one such row per group that it holds N rows of; the best bound of each group is joined back, the
 rows behind it are dropped where they lie, and only the survivors are shuffled and ranked. Of a group
 with a third of all rows about N rows per partition survive, whatever its size.
+
+The bounds of the ``BOUNDED`` largest groups are broadcast, which limits the broadcast however many groups there are. A
+group outside them holds less than one in ``BOUNDED`` of all rows and is ranked without a bound.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +23,12 @@ from pyspark.sql import functions as F
 
 #: Rows held before a partition's rows are cut to the best N of each group.
 HELD = 1 << 17
+#: Groups whose bounds are used.
+BOUNDED = 20_000
 
 
 def partition_bounds(rows: DataFrame, n: int) -> DataFrame:
-    """``(grp, bound)``: for each group the best of its partitions' N-th best rows."""
+    """``(grp, bound)``: for the largest groups the best of their partitions' N-th best rows."""
     order = ["o1", "o2", "o3"]
 
     def best(held: list[pd.DataFrame]) -> pd.DataFrame:
@@ -34,7 +40,9 @@ def partition_bounds(rows: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         size, limit = 0, HELD
+        counts: Counter[str] = Counter()
         for frame in batches:
+            counts.update(frame["grp"].value_counts().to_dict())
             held.append(frame)
             size += len(frame)
             if size >= limit:
@@ -43,11 +51,13 @@ def partition_bounds(rows: DataFrame, n: int) -> DataFrame:
                 limit = max(HELD, 2 * size)  # many groups: wait until as many rows again have come
         if size:
             kept = best(held)
-            yield kept[kept.groupby("grp", sort=False).cumcount() == n - 1]
+            last = kept[kept.groupby("grp", sort=False).cumcount() == n - 1]
+            yield last.assign(n=last["grp"].map(counts))
 
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    local = rows.select("grp", *order).mapInPandas(run, "grp string, " + ", ".join(f"{c} {types[c]}" for c in order))
-    return local.groupBy("grp").agg(F.min(F.struct(*order)).alias("bound"))
+    local = rows.select("grp", *order).mapInPandas(run, "grp string, " + ", ".join(f"{c} {types[c]}" for c in order) + ", n long")
+    bounds = local.groupBy("grp").agg(F.min(F.struct(*order)).alias("bound"), F.sum("n").alias("n"))
+    return bounds.orderBy(F.col("n").desc(), "grp").limit(BOUNDED).select("grp", "bound")
 
 
 def top_n(rows: DataFrame, group: Column, n: int, score: Column, ties: Column, key: Column, *keep: str) -> DataFrame:
@@ -60,6 +70,6 @@ def top_n(rows: DataFrame, group: Column, n: int, score: Column, ties: Column, k
     held = rows.select(group.cast("string").alias("grp"), (-score.cast("double")).alias("o1"), F.coalesce(ties.cast("long"), F.lit(0)).alias("o2"), key.cast("long").alias("o3"), *[F.col(c).alias(f"kept_{c}") for c in keep])
     held = held.where(F.col("grp").isNotNull() & F.col("o1").isNotNull() & ~F.isnan("o1") & F.col("o3").isNotNull())
     bounds = partition_bounds(held, n)
-    left = held.join(bounds, "grp", "left").where(F.col("bound").isNull() | (F.struct("o1", "o2", "o3") <= F.col("bound")))
+    left = held.join(F.broadcast(bounds), "grp", "left").where(F.col("bound").isNull() | (F.struct("o1", "o2", "o3") <= F.col("bound")))
     rank = F.row_number().over(W.partitionBy("grp").orderBy("o1", "o2", "o3"))
     return left.withColumn("rank", rank).where(F.col("rank") <= n).select("grp", "rank", *[F.col(f"kept_{c}").alias(c) for c in keep])
