@@ -224,7 +224,7 @@ def _verified(pairs: DataFrame, size: int, similarity: float, kind: str) -> Data
     return pairs.mapInArrow(run, f"id_a {kind}, id_b {kind}, owner_a string, owner_b string, score double")
 
 
-def similar_classes(rows: DataFrame, size: int = 5, similarity: float = 0.8, parts: int = 30, miss: float = 0.002, id_col: str = "id", text_col: str = "text", owner_col: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def similar_classes(rows: DataFrame, size: int = 5, similarity: float = 0.8, parts: int = 36, miss: float = 0.0005, id_col: str = "id", text_col: str = "text", owner_col: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(pairs, members, records)`` of the texts whose sets of ``size``-word shingles share ``similarity`` of their union.
 
     ``pairs(id_a, id_b, owner_a, owner_b, score)`` joins class representatives; ``members(rep, id, owner)``

@@ -52,7 +52,9 @@ class Plan:
 
 
 def linear_groups(large: list[tuple[int, int]], groups: int) -> list[list[tuple[int, int]]]:
-    """Runs ``(size, n)``, sizes falling, cut into at most ``groups`` lists of equally many items."""
+    """Runs ``(size, n)``, sizes falling, cut into at most ``groups`` lists of equally many items; few sizes are groups of their own."""
+    if len(large) <= groups:
+        return [[run] for run in large]
     share = max(1, -(-sum(n for _, n in large) // groups))
     out: list[list[tuple[int, int]]] = []
     room = 0

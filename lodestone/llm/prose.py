@@ -10,9 +10,9 @@ _ITEM = re.compile(r"(?:[-*+]|\d{1,9}[.)])\s+(?:\[[ xX/-]\]\s+)?")
 _QUOTE = re.compile(r"(?:>\s?)+")
 _CALLOUT = re.compile(r"\[![^\]]*\][+-]?.*")
 _RULE = re.compile(r"(?:[-*_=]\s*){3,}$|\|?[\s:|-]*--[\s:|-]*$")
+_EMBED = re.compile(r"!\[\[[^\]]*\]\]|!\[[^\]]*\]\([^)]*\)")
 _INLINE = re.compile(
-    r"!\[\[[^\]]*\]\]|!\[[^\]]*\]\([^)]*\)"  # embeds
-    r"|`+[^`]*`+|\$\$.*?\$\$|<!--.*?-->|<[a-zA-Z/][^>]*>"  # code, mathematics, tags
+    r"`+[^`]*`+|\$\$.*?\$\$|<!--.*?-->|<[a-zA-Z/][^>]*>"  # code, mathematics, tags
     r"|(?:https?|ftp|file|obsidian)://\S+|www\.\S+|\S+@\S+\.\S+"
     r"|(?<!\w)#[\w/-]+|\[\^[^\]]*\]"  # hashtags, footnote marks
 )
@@ -88,7 +88,7 @@ def blocks(text: str) -> list[str]:
         listed = bool(item) or (listed and raw[:1] in " \t")
         line = line[item.end() :] if item else line
         if _MARKED.search(line):
-            line = _LINK.sub(lambda m: m[1] or m[2] or "", _INLINE.sub(" ", line))
+            line = _INLINE.sub(" ", _LINK.sub(lambda m: m[1] or m[2] or "", _EMBED.sub(" ", line)))
         if len(line) >= 30:
             line = _ENCODED.sub(" ", line)
         if line.strip():

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 #: Rows held before a partition's rows are cut to the best N of each group.
 HELD = 1 << 17
 #: Groups whose bounds are used.
-BOUNDED = 20_000
+BOUNDED = 4000
 
 
 def partition_bounds(rows: DataFrame, n: int) -> DataFrame:
