@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lodestone.plans import orphans, retrieval
+from lodestone.plans import orphans, pipeline, retrieval
 
 FLAGSHIP = "semantic_topk"
-_MODULES = (orphans, retrieval)
+_MODULES = (orphans, retrieval, pipeline)
 
 
 def queries() -> dict:
