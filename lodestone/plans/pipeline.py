@@ -89,6 +89,6 @@ SQL = {
     "replace_by_key": f"WITH {C}, {_NOW}, {_GONE}, nu AS (SELECT id, note_slug, upper(title) AS title FROM h WHERE file_path LIKE 'Daily/%') SELECT id, note_slug, title FROM c WHERE note_slug NOT IN (SELECT note_slug FROM nu) AND note_slug NOT IN (SELECT note_slug FROM gone) UNION ALL SELECT * FROM nu",
     "chunk_filter": f"WITH {C}, k AS (SELECT id AS old_id, note_slug, row_number() OVER (PARTITION BY note_slug ORDER BY file_path, chunk_index) - 1 AS chunk_index FROM c WHERE {_WORDS} >= 10) SELECT old_id, note_slug || ':' || chunk_index AS id, chunk_index FROM k",
     "scalar_functions": f"WITH {C} SELECT id, ceil(length(text) / 4.0)::BIGINT AS tokens, {_WORDS} AS words, array_to_string(list_transform(tags, lambda t: '#' || t), ' ') AS chips, 'app://open?vault=my%20vault&file=' || replace(url_encode(file_path), '%2A', '*') AS uri, regexp_replace(file_path, '^.*/', '', 's') AS base FROM c",
-    "tsv_rows": f"WITH r AS (SELECT * FROM search_results WHERE result_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY result_id ORDER BY loaded_at DESC NULLS LAST, note_slug DESC NULLS LAST, title DESC NULLS LAST, file_path DESC NULLS LAST, score DESC NULLS LAST) = 1) SELECT concat_ws(chr(9), {_escaped('note_slug')}, {_escaped('title')}, {_escaped('file_path')}, printf('%f', score), {_escaped('chunk_index')}, {_escaped('heading_path')}, {_escaped('extra')}, {_escaped('text')}) AS line FROM r WHERE score IS NOT NULL AND NOT isnan(score)",
+    "tsv_rows": f"WITH r AS (SELECT * FROM search_results WHERE result_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY result_id ORDER BY loaded_at DESC NULLS LAST, note_slug DESC NULLS LAST, title DESC NULLS LAST, file_path DESC NULLS LAST, score DESC NULLS LAST, chunk_index DESC NULLS LAST, heading_path DESC NULLS LAST, extra DESC NULLS LAST, text DESC NULLS LAST) = 1) SELECT concat_ws(chr(9), {_escaped('note_slug')}, {_escaped('title')}, {_escaped('file_path')}, printf('%f', score), {_escaped('chunk_index')}, {_escaped('heading_path')}, {_escaped('extra')}, {_escaped('text')}) AS line FROM r WHERE score IS NOT NULL AND NOT isnan(score)",
 }
 QUERIES = {f.__name__: f for f in (change_detect, stale_detect, replace_by_key, chunk_filter, scalar_functions, tsv_rows, json_rows, markdown_parse, feature_vectors)}
