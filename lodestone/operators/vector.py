@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,15 +18,11 @@ ABSOLUTE, RELATIVE, BELOW_BEST = 0.70, 0.85, 0.05
 
 def cosine(vector: Column, query: Sequence[float]) -> Column:
     """Similarity to a given vector, 1 for the same direction; null for null, zero and vectors of another length."""
-    return cosine_between(vector, F.lit([float(x) for x in query]))
-
-
-def cosine_between(a: Column, b: Column) -> Column:
-    """Similarity of two vector columns; null for null, zero and vectors of different length."""
-    add = lambda s, x: s + x
-    product = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), add)
-    norms = F.sqrt(product(a, a)) * F.sqrt(product(b, b))
-    return F.when((F.size(a) == F.size(b)) & (norms > 0), product(a, b) / norms)
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    dot = total(F.zip_with(vector, F.lit([float(x) for x in query]), lambda p, q: p.cast("double") * q))
+    square = total(F.transform(vector, lambda p: p.cast("double") * p.cast("double")))
+    length = sum(float(q) ** 2 for q in query) ** 0.5
+    return F.when(F.size(vector) == len(query), F.try_divide(dot, F.sqrt(square) * length))
 
 
 def clamp(limit: int) -> int:
@@ -52,17 +51,41 @@ def semantic_search(chunks: DataFrame, query: Sequence[float], limit: int = 10,
     ``limit`` may come; ``exact`` caps over all chunks. The limit is 1 to 100. Ties rank by note and position.
     """
     limit, per_note = clamp(limit), max(per_note, 1)
-    scored = (chunks.where(where) if where is not None else chunks).withColumn("score", cosine(F.col("embedding"), query)).where("score is not null")
+    scored = (chunks.where(where) if where is not None else chunks).withColumn("score", cosine(F.col("embedding"), query))
+    # Null scores sort last and go after the limit; a filter before it would compute every score twice.
     near = scored if exact else scored.orderBy(*_best()).limit(fetch_size(limit, per_note))
-    return cap_per_note(near, per_note, limit, _best())
+    return cap_per_note(near.where("score is not null"), per_note, limit, _best())
 
 
-def _scored(rows: DataFrame, queries: Sequence[Sequence[float]], names: Sequence[str]) -> DataFrame:
-    """``(id, note_slug, chunk_index, k, query, score)`` of each row and query."""
-    kept = ["id", "note_slug", "chunk_index"]
-    # The stated queries, which the caller holds in memory, against all rows.
-    asked = rows.sparkSession.createDataFrame([(k, n, [float(x) for x in q]) for k, (q, n) in enumerate(zip(queries, names))], "k int, query string, q array<double>")
-    return rows.select(*kept, "embedding").join(F.broadcast(asked)).select(*kept, "k", "query", cosine_between(F.col("embedding"), F.col("q")).alias("score"))
+def _scored(rows: DataFrame, queries: Sequence[Sequence[float]], names: Sequence[str], most: int) -> DataFrame:
+    """``(id, note_slug, chunk_index, k, query, score)`` of at least the ``most`` best rows of each query.
+
+    One matrix product per batch scores all queries; a batch passes on only what may be among the best of all rows.
+    """
+    dim = max(map(len, queries))
+    matrix = np.zeros((len(queries), dim))
+    for k, q in enumerate(queries):
+        matrix[k, : len(q)] = q
+    lengths = np.array([len(q) for q in queries])
+    norms = np.linalg.norm(matrix, axis=1)
+    labels = pa.array(list(names), pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.list_value_length(batch["embedding"]).fill_null(-1).to_numpy()
+            for size in np.unique(sizes[np.isin(sizes, lengths)]):
+                part = batch.filter(pa.array(sizes == size))
+                ks = np.flatnonzero((lengths == size) & (norms > 0))
+                vec = part["embedding"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+                with np.errstate(all="ignore"):
+                    score = (vec @ matrix[ks, :size].T) / (np.linalg.norm(vec, axis=1)[:, None] * norms[ks])
+                score[~np.isfinite(score)] = -np.inf
+                least = np.partition(score, -most, axis=0)[-most] if len(score) > most else np.full(len(ks), -np.inf)
+                row, col = np.nonzero((score >= least) & (score > -np.inf))
+                kept = pa.array(row)
+                yield pa.RecordBatch.from_arrays([part[c].take(kept) for c in ("id", "note_slug", "chunk_index")] + [pa.array(ks[col].astype(np.int32)), labels.take(pa.array(ks[col])), pa.array(score[row, col])], ["id", "note_slug", "chunk_index", "k", "query", "score"])
+
+    return rows.select("id", "note_slug", F.col("chunk_index").cast("int").alias("chunk_index"), "embedding").mapInArrow(run, "id string, note_slug string, chunk_index int, k int, query string, score double")
 
 
 def multi_search(chunks: DataFrame, queries: Sequence[Sequence[float]], labels: Sequence[str], limit: int = 10, per_note: int = 3, where: Column | None = None) -> DataFrame:
@@ -71,11 +94,13 @@ def multi_search(chunks: DataFrame, queries: Sequence[Sequence[float]], labels:
     One scan scores all queries. Each contributes its nearest chunks as a search of its own would; scores of 0 or less do
     not count. ``matched_queries`` names the note's queries that pass :func:`attribution`. Blank labels are numbered, equal ones are one query.
     """
+    if not len(queries):
+        return chunks.limit(0).selectExpr("*", "0D AS score", "0L AS n_queries", "array('') AS matched_queries")
     limit, per_note = clamp(limit), max(per_note, 1)
     names = [lab if lab.strip() else f"query_{k + 1}" for k, lab in enumerate(labels)]
     fetch, cap = min(max(2 * limit, 20), MOST), max(2 * per_note, 6)
     rows = chunks.where(where) if where is not None else chunks
-    scored = _scored(rows, queries, names).where("score is not null")
+    scored = _scored(rows, queries, names, fetch_size(fetch, cap))
     per_query = lambda *more: W.partitionBy("k", *more).orderBy(*_best())
     near = scored.withColumn("r", F.row_number().over(per_query())).where(F.col("r") <= fetch_size(fetch, cap)).drop("r")
     near = near.withColumn("r", F.row_number().over(per_query("note_slug"))).where(F.col("r") <= cap).drop("r")

@@ -9,6 +9,7 @@ from lodestone.functions import scalars as S
 from lodestone.operators import ingest, output
 from lodestone.operators.records import latest
 from lodestone.plans.vault import C, chunks, heads
+from lodestone.scratch import spread
 
 SETTINGS = ingest.Settings()
 
@@ -31,7 +32,7 @@ def stale_detect(spark: SparkSession, d: str) -> DataFrame:
 
 def replace_by_key(spark: SparkSession, d: str) -> DataFrame:
     """All chunks after the notes of the folder ``Daily`` were replaced by their first chunks and the stale ones deleted."""
-    every = chunks(spark, d).select("id", "note_slug", "chunk_index", "file_path", "file_type", "title")
+    every = chunks(spark, d, "note_slug", "chunk_index", "file_path", "file_type", "title").select("id", "note_slug", "chunk_index", "file_path", "file_type", "title")
     new = every.where("file_path like 'Daily/%' and chunk_index = 0").withColumn("title", F.upper("title"))
     gone = new.select("note_slug").unionByName(ingest.stale(every.where("chunk_index = 0"), _registry(spark, d))).distinct()
     return every.join(gone, "note_slug", "left_anti").unionByName(new).select("id", "note_slug", "title")
@@ -39,13 +40,13 @@ def replace_by_key(spark: SparkSession, d: str) -> DataFrame:
 
 def chunk_filter(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of ten words or more, numbered anew within their note."""
-    rows = chunks(spark, d).withColumn("position", F.col("chunk_index")).withColumn("error", F.lit(None).cast("string"))
+    rows = chunks(spark, d, "note_slug", "chunk_index", "file_path", "text").withColumn("position", F.col("chunk_index")).withColumn("error", F.lit(None).cast("string"))
     return ingest.numbered(rows.withColumnRenamed("id", "old_id").drop("chunk_index"), SETTINGS).select("old_id", "id", "chunk_index")
 
 
 def scalar_functions(spark: SparkSession, d: str) -> DataFrame:
     text = F.col("text")
-    return chunks(spark, d).select("id", S.estimated_tokens(text).alias("tokens"), S.word_count(text).cast("long").alias("words"), S.tag_chips(F.col("tags")).alias("chips"), S.open_uri("app", "my vault", F.col("file_path")).alias("uri"), S.basename(F.col("file_path")).alias("base"))
+    return chunks(spark, d, "text", "tags", "file_path").select("id", S.estimated_tokens(text).alias("tokens"), S.word_count(text).cast("long").alias("words"), S.tag_chips(F.col("tags")).alias("chips"), S.open_uri("app", "my vault", F.col("file_path")).alias("uri"), S.basename(F.col("file_path")).alias("base"))
 
 
 def tsv_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +63,7 @@ def json_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def markdown_parse(spark: SparkSession, d: str) -> DataFrame:
     """Every document parsed as a note and cut into chunks."""
-    docs = spark.read.parquet(f"{d}/documents.parquet").where("text is not null")
+    docs = spread(spark.read.parquet(f"{d}/documents.parquet").where("text is not null"))
     files = docs.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file_path"), F.encode("text", "utf-8").alias("content"), F.lit(None).cast("string").alias("error"))
     rows = ingest.numbered(ingest.parsed(ingest.hashed(files, SETTINGS, "m"), SETTINGS), SETTINGS)
     return rows.select("id", "note_slug", "title", "heading_path", "heading_level", "has_task", "has_code", F.size("tags").alias("n_tags"), F.size("links").alias("n_links"), F.length("text").alias("n_chars"))
@@ -70,7 +71,7 @@ def markdown_parse(spark: SparkSession, d: str) -> DataFrame:
 
 def feature_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Every chunk's text embedded by feature hashing; how many components are used."""
-    made = ingest.embedded(chunks(spark, d).select("id", "text"), "text", ingest.HashingEmbedder(64))
+    made = ingest.embedded(chunks(spark, d, "text").select("id", "text"), "text", ingest.HashingEmbedder(64))
     return made.select("id", F.size(F.filter("embedding", lambda x: x != 0)).alias("n_used"))
 
 

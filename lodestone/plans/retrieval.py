@@ -10,6 +10,9 @@ from lodestone.operators import filters, graph, hybrid, lexical, notes, tags, ve
 from lodestone.plans.vault import C, L, chunks, heads, hub, linked, raw_links, seeds, sql_slug, sql_stem
 
 SHOWN = ("id", "note_slug", "round(score, 4) AS score")
+# Columns that the searches need; the others are never read.
+VECTORS = ("note_slug", "chunk_index", "embedding")
+TEXTS = ("note_slug", "chunk_index", "heading_path", "heading_level", "text", "title", "file_path", "tags")
 WORDS, TAG = "garden printer maintenance router budget", "project"
 
 
@@ -18,28 +21,28 @@ def _joined(c: str):
 
 
 def semantic_topk(spark: SparkSession, d: str) -> DataFrame:
-    return vector.semantic_search(chunks(spark, d), seeds(spark, d, 1)[0]).selectExpr(*SHOWN)
+    return vector.semantic_search(chunks(spark, d, *VECTORS), seeds(spark, d, 1)[0]).selectExpr(*SHOWN)
 
 
 def semantic_exact(spark: SparkSession, d: str) -> DataFrame:
-    return vector.semantic_search(chunks(spark, d), seeds(spark, d, 1)[0], 50, 2, exact=True).selectExpr(*SHOWN)
+    return vector.semantic_search(chunks(spark, d, *VECTORS), seeds(spark, d, 1)[0], 50, 2, exact=True).selectExpr(*SHOWN)
 
 
 def semantic_filtered(spark: SparkSession, d: str) -> DataFrame:
     where = filters.SearchFilter(has_task=True, exclude=("running-capture-log",)).column()
-    return vector.semantic_search(chunks(spark, d), seeds(spark, d, 1)[0], 20, 1, where).selectExpr(*SHOWN)
+    return vector.semantic_search(chunks(spark, d, *VECTORS, "has_task", "file_type"), seeds(spark, d, 1)[0], 20, 1, where).selectExpr(*SHOWN)
 
 
 def multi_query_rank(spark: SparkSession, d: str) -> DataFrame:
-    return vector.multi_search(chunks(spark, d), seeds(spark, d, 3), ["", "", ""]).select("id", "n_queries", F.round("score", 4).alias("score"))
+    return vector.multi_search(chunks(spark, d, *VECTORS), seeds(spark, d, 3), ["", "", ""]).select("id", "n_queries", F.round("score", 4).alias("score"))
 
 
 def multi_query_attribution(spark: SparkSession, d: str) -> DataFrame:
-    return vector.multi_search(chunks(spark, d), seeds(spark, d, 3), ["", "", ""], 20).select("id", _joined("matched_queries").alias("matched"))
+    return vector.multi_search(chunks(spark, d, *VECTORS), seeds(spark, d, 3), ["", "", ""], 20).select("id", _joined("matched_queries").alias("matched"))
 
 
 def min_score_round(spark: SparkSession, d: str) -> DataFrame:
-    found = vector.semantic_search(chunks(spark, d), seeds(spark, d, 1)[0], 100, 100)
+    found = vector.semantic_search(chunks(spark, d, *VECTORS), seeds(spark, d, 1)[0], 100, 100)
     return filters.present(found, 0.3).select("id", "score")
 
 
@@ -51,15 +54,15 @@ def group_by_note(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lexical_search(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.lexical_search(chunks(spark, d), WORDS).select("note_slug", "hits")
+    return lexical.lexical_search(chunks(spark, d, *TEXTS, "file_type"), WORDS).select("note_slug", "hits")
 
 
 def tag_exact(spark: SparkSession, d: str) -> DataFrame:
-    return tags.tag_search(chunks(spark, d), "#Meeting").select("note_slug", "title", "id")
+    return tags.tag_search(chunks(spark, d, "note_slug", "chunk_index", "title", "tags"), "#Meeting").select("note_slug", "title", "id")
 
 
 def tag_children(spark: SparkSession, d: str) -> DataFrame:
-    return tags.tag_search(chunks(spark, d), TAG, 10_000, True).select("note_slug", "title", "id")
+    return tags.tag_search(chunks(spark, d, "note_slug", "chunk_index", "title", "tags"), TAG, 10_000, True).select("note_slug", "title", "id")
 
 
 def tag_list(spark: SparkSession, d: str) -> DataFrame:
@@ -71,7 +74,8 @@ def tag_suggest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shared_tags(spark: SparkSession, d: str) -> DataFrame:
-    return tags.shared_tags(heads(spark, d), hub(spark, d)).select("note_slug", "score", _joined("tags").alias("tags"))
+    links, _, heads_ = linked(spark, d)
+    return tags.shared_tags(heads(spark, d), hub(links, heads_)).select("note_slug", "score", _joined("tags").alias("tags"))
 
 
 def alias_table(spark: SparkSession, d: str) -> DataFrame:
@@ -84,17 +88,17 @@ def link_resolve(spark: SparkSession, d: str) -> DataFrame:
 
 def backlinks(spark: SparkSession, d: str) -> DataFrame:
     links, aliases, heads_ = linked(spark, d)
-    return graph.backlinks(links, aliases, heads_, hub(spark, d)).select("note_slug", "title", "extra", "is_phantom")
+    return graph.backlinks(links, aliases, heads_, hub(links, heads_)).select("note_slug", "title", "extra", "is_phantom")
 
 
 def neighbours(spark: SparkSession, d: str) -> DataFrame:
-    links, aliases, _ = linked(spark, d)
-    return graph.linked_slugs(links, aliases, hub(spark, d))
+    links, aliases, heads_ = linked(spark, d)
+    return graph.linked_slugs(links, aliases, hub(links, heads_))
 
 
 def _connected(spark: SparkSession, d: str, hops: int) -> DataFrame:
     links, aliases, heads_ = linked(spark, d)
-    return graph.connections(links, aliases, heads_, hub(spark, d), hops)
+    return graph.connections(links, aliases, heads_, hub(links, heads_), hops)
 
 
 def connections_1hop(spark: SparkSession, d: str) -> DataFrame:
@@ -110,41 +114,42 @@ def phantom_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hidden_unlinked(spark: SparkSession, d: str) -> DataFrame:
-    links, aliases, _ = linked(spark, d)
-    return hybrid.hidden(chunks(spark, d), links, aliases, seeds(spark, d, 1)[0], hub(spark, d)).selectExpr(*SHOWN)
+    links, aliases, heads_ = linked(spark, d)
+    return hybrid.hidden(chunks(spark, d, *VECTORS), links, aliases, seeds(spark, d, 1)[0], hub(links, heads_)).selectExpr(*SHOWN)
 
 
 def hidden_include_linked(spark: SparkSession, d: str) -> DataFrame:
-    links, aliases, _ = linked(spark, d)
-    return hybrid.hidden(chunks(spark, d), links, aliases, seeds(spark, d, 1)[0], hub(spark, d), include_linked=True).selectExpr(*SHOWN)
+    links, aliases, heads_ = linked(spark, d)
+    return hybrid.hidden(chunks(spark, d, *VECTORS), links, aliases, seeds(spark, d, 1)[0], hub(links, heads_), include_linked=True).selectExpr(*SHOWN)
 
 
 def hidden_deep(spark: SparkSession, d: str) -> DataFrame:
-    links, aliases, _ = linked(spark, d)
-    return hybrid.hidden_deep(chunks(spark, d), links, aliases, hub(spark, d)).select("id", "n_queries", F.round("score", 4).alias("score"))
+    links, aliases, heads_ = linked(spark, d)
+    return hybrid.hidden_deep(chunks(spark, d, *VECTORS, "heading_path", "title"), links, aliases, hub(links, heads_)).select("id", "n_queries", F.round("score", 4).alias("score"))
 
 
 def graph_boosted(spark: SparkSession, d: str) -> DataFrame:
-    links, aliases, _ = linked(spark, d)
-    return hybrid.boosted(chunks(spark, d), links, aliases, seeds(spark, d, 1)[0], hub(spark, d)).selectExpr(*SHOWN, "extra")
+    links, aliases, heads_ = linked(spark, d)
+    return hybrid.boosted(chunks(spark, d, *VECTORS), links, aliases, seeds(spark, d, 1)[0], hub(links, heads_)).selectExpr(*SHOWN, "extra")
 
 
 def note_reconstruct(spark: SparkSession, d: str) -> DataFrame:
     """Every note as one text, by its hash."""
-    return notes.note_texts(chunks(spark, d)).select("note_slug", "n_chunks", F.md5("content").alias("content_md5"))
+    return notes.note_texts(chunks(spark, d, *TEXTS)).select("note_slug", "n_chunks", F.md5("content").alias("content_md5"))
 
 
 def note_head(spark: SparkSession, d: str) -> DataFrame:
-    return notes.get_note(chunks(spark, d), hub(spark, d), 1).select("note_slug", "title", "total", "content")
+    links, _, heads_ = linked(spark, d)
+    return notes.get_note(chunks(spark, d, *TEXTS), hub(links, heads_), 1).select("note_slug", "title", "total", "content")
 
 
 def note_meta(spark: SparkSession, d: str) -> DataFrame:
-    return notes.note_meta(chunks(spark, d))
+    return notes.note_meta(chunks(spark, d, "note_slug", "chunk_index", "title", "file_path", "file_type", "content_hash"))
 
 
 def context_window(spark: SparkSession, d: str) -> DataFrame:
     """One chunk of context on either side of every chunk that holds a task."""
-    every = chunks(spark, d)
+    every = chunks(spark, d, "note_slug", "chunk_index", "has_task", "text")
     return notes.with_context(every.where("has_task").select("id", "note_slug", "chunk_index"), every, 1).select("id", F.md5(_joined("context")).alias("context_md5"), F.size("context").cast("long").alias("n"))
 
 
@@ -156,7 +161,7 @@ def resolve_name(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stats(spark: SparkSession, d: str) -> DataFrame:
-    return notes.stats(chunks(spark, d), linked(spark, d)[0])
+    return notes.stats(chunks(spark, d, "note_slug", "chunk_index"), linked(spark, d)[0])
 
 
 def slugify(spark: SparkSession, d: str) -> DataFrame:
@@ -176,7 +181,7 @@ def content_hash(spark: SparkSession, d: str) -> DataFrame:
 
 def embed_text(spark: SparkSession, d: str) -> DataFrame:
     built = S.embed_text(F.col("title"), F.col("heading_path"), F.col("tags"), F.col("text"), 160)
-    return chunks(spark, d).select("id", F.md5(built).alias("embed_md5"))
+    return chunks(spark, d, *TEXTS).select("id", F.md5(built).alias("embed_md5"))
 
 
 _COS = "list_cosine_similarity(v.e, s.e)"

@@ -9,21 +9,26 @@ from lodestone.functions.scalars import IMAGES, OTHER_FILES
 from lodestone.operators import graph
 from lodestone.operators.records import latest
 from lodestone.operators.tags import MOST_TAGS
+from lodestone.scratch import materialise
 
 
-def chunks(spark: SparkSession, d: str) -> DataFrame:
-    """The latest delivery of every chunk; missing texts are empty, missing flags false, tags cut to those kept."""
-    names = ("id", "note_slug", "title", "file_path", "chunk_index", "heading_path", "heading_level", "has_task", "has_code", "file_type", "content_hash", "tags", "text", "embedding")
+NAMES = ("id", "note_slug", "title", "file_path", "chunk_index", "heading_path", "heading_level", "has_task", "has_code", "file_type", "content_hash", "tags", "text", "embedding")
+
+
+def chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The latest delivery of every chunk, of all or some columns; missing texts are empty, missing flags false, tags cut to those kept."""
+    names = [n for n in NAMES if n in (*columns, "id")] if columns else list(NAMES)
     rows = latest(spark.read.parquet(f"{d}/chunks.parquet"), "id", "ingested_at", *names)
     empty = {c: F.coalesce(F.col(c), F.lit("")) for c in ("title", "file_path", "heading_path", "file_type", "content_hash", "text")}
     flags = {c: F.coalesce(F.col(c), F.lit(False)) for c in ("has_task", "has_code")}
     zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("chunk_index", "heading_level")}
-    tags = F.slice(F.coalesce("tags", F.array().cast("array<string>")), 1, MOST_TAGS)
-    return rows.withColumns(empty | flags | zero | {"tags": tags})
+    tags = {"tags": F.slice(F.coalesce("tags", F.array().cast("array<string>")), 1, MOST_TAGS)}
+    return rows.withColumns({c: f for c, f in (empty | flags | zero | tags).items() if c in names})
 
 
-def heads(spark: SparkSession, d: str) -> DataFrame:
-    return chunks(spark, d).where("chunk_index = 0")
+def heads(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The first chunk of every note."""
+    return chunks(spark, d, *(columns or ("note_slug", "title", "file_path", "file_type", "content_hash", "tags")), "chunk_index").where("chunk_index = 0")
 
 
 def raw_links(spark: SparkSession, d: str) -> DataFrame:
@@ -35,21 +40,20 @@ def raw_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def linked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Links, aliases and note headers."""
-    notes = heads(spark, d).select("note_slug", "title", "file_path", "file_type")
-    aliases = graph.alias_table(notes)
-    return graph.resolve_links(raw_links(spark, d), aliases), aliases, notes
+    """Links, aliases and note headers, as a store keeps them: written once, read by every step."""
+    notes = materialise(heads(spark, d, "note_slug", "title", "file_path", "file_type").drop("id", "chunk_index"), "notes")
+    aliases = materialise(graph.alias_table(notes), "aliases")
+    return materialise(graph.resolve_links(raw_links(spark, d), aliases), "links"), aliases, notes
 
 
 def seeds(spark: SparkSession, d: str, n: int) -> list[list[float]]:
     """The vectors of the first ``n`` chunks that have one, by id."""
-    usable = chunks(spark, d).where((F.size("embedding") == 64) & F.exists("embedding", lambda x: x != 0))
+    usable = chunks(spark, d, "embedding").where((F.size("embedding") == 64) & F.exists("embedding", lambda x: x != 0))
     return [list(r["embedding"]) for r in usable.select("id", "embedding").orderBy("id").limit(n).collect()]
 
 
-def hub(spark: SparkSession, d: str) -> str:
+def hub(links: DataFrame, notes: DataFrame) -> str:
     """The note with the most incoming links."""
-    links, _, notes = linked(spark, d)
     met = links.groupBy("target_slug").count().join(notes.select(F.col("note_slug").alias("target_slug")), "target_slug", "left_semi")
     return met.orderBy(F.col("count").desc(), "target_slug").first()["target_slug"]
 

@@ -33,6 +33,13 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan that feeds costly Python work, over all cores: one of fewer partitions than cores (a small or a single file) is
+    dealt out anew, any other is left as it is. ``scan`` must be without shuffles, as its partitions are counted."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def clear(spark: SparkSession) -> None:
     """Delete every table that :func:`materialise` wrote; call it once the results are stored."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lodestone")
