@@ -154,7 +154,7 @@ def _cosines(pairs: DataFrame, schema: str, similarity: float) -> DataFrame:
     return pairs.mapInArrow(run, schema)
 
 
-def similar_vectors(rows: DataFrame, k: int, similarity: float, dim: int = 64, tables: int = 8, probes: int = 3, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
+def similar_vectors(rows: DataFrame, k: int, similarity: float, dim: int = 64, tables: int = 10, probes: int = 3, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """``(id, similar_id, score, rank)``: for every vector its ``k`` most similar ones of cosine ``similarity`` or more.
 
     Equal scores rank by the smaller id. A vector is usable when it has ``dim`` finite components
