@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.shingles import WORD
+from lodestone.scratch import spread
 
 # Characters that are removed before words are read.
 INVISIBLE = "­​‌‍﻿"
@@ -110,10 +111,11 @@ def leaked_spans(docs: DataFrame, items: DataFrame, n: int = 12, doc_key: str =
 
     A word is a run of a-z and 0-9 after lower-casing, without the invisible characters. Every word of a span lies in
     a window of ``n`` words that the item holds too; words are numbered from 0, spans of one item do not overlap.
-    Null texts and rows without key have none. Items given twice count once; a document given twice has its spans twice.
+    ``docs`` is a scan. Null texts and rows without key have none. Items given twice count once; a document given twice has its spans twice.
     """
     kind = dict(docs.dtypes)[doc_key]
     held = docs.select(F.col(doc_key).alias("key"), F.col(doc_text).alias("text")).where("key is not null and text is not null")
+    held = spread(held)
 
     def scan(grams: NgramSet) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(grams)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import prose
 from lodestone.llm.shingles import WORD
+from lodestone.scratch import spread
 
 #: Graded passages that are used, in the order of their ids; documented bound of the training set.
 MOST_SAMPLES = 2000
@@ -166,7 +167,7 @@ def reading_levels(docs: DataFrame, model: LevelModel, key: str = "doc_id", text
     """``(key, band, position, n_words)`` of every document with at least ``least_words`` words of prose, most of it English.
 
     ``band`` holds the larger part of the English prose, ``position`` is the prose's mean on the scale 0 (easiest) to
-    the number of bands less 1. Null, blank and other texts, and rows without key, give no row; a document given twice gives two.
+    the number of bands less 1. ``docs`` is a scan. Null, blank and other texts, and rows without key, give no row; a document given twice gives two.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -178,4 +179,4 @@ def reading_levels(docs: DataFrame, model: LevelModel, key: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch["key"].filter(good), pa.array([f[0] for f in kept], pa.string()), pa.array([f[1] for f in kept], pa.float64()), pa.array([f[2] for f in kept], pa.int32())], ["key", "band", "position", "n_words"])
 
     held = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null and text is not null")
-    return held.mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, band string, position double, n_words int")
+    return spread(held).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, band string, position double, n_words int")

@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.llm import tokens
-from lodestone.scratch import materialise
+from lodestone.scratch import materialise, spread
 
 GROUPS = 24
 SMALL = 1 / 8
@@ -202,11 +202,11 @@ def token_counts(rows: DataFrame, key: str, text: str, vocabulary: str) -> DataF
             yield pa.RecordBatch.from_arrays([batch["key"], pa.array(n, pa.int64())], ["key", "n_tokens"])
 
     wide = rows.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null and text is not null")
-    return wide.mapInArrow(run, f"key {dict(rows.dtypes)[key]}, n_tokens long")
+    return spread(wide).mapInArrow(run, f"key {dict(rows.dtypes)[key]}, n_tokens long")
 
 
 def pack(rows: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 2048, vocabulary: str | None = None, groups: int = GROUPS, small: float = SMALL) -> DataFrame:
-    """``(key, piece, n_tokens, container_id)``: the container of every text, sizes in tokens of ``vocabulary``.
+    """``(key, piece, n_tokens, container_id)``: the container of every text, sizes in tokens of ``vocabulary``. ``rows`` is a scan.
 
     A text above the capacity is cut into pieces of ``capacity`` tokens and a rest, numbered from 0; others
     are piece 0. Containers are numbered from 0, and none holds more than ``capacity`` tokens. Texts without a token take no
