@@ -15,9 +15,11 @@ def note_name(raw: Column) -> Column:
     Anchor and alias go, then the folders, outer spaces, case and ``.md``; ``.pdf`` becomes
     ``-pdf``; runs of spaces become one hyphen.
     """
-    bare = F.regexp_replace(raw, r"(?s)[#|].*$", "")
-    bare = F.lower(F.trim(F.regexp_replace(bare, r"(?s)^.*/", "")))
-    ending = "|".join(e.replace(".", r"\.") for e in ATTACHMENTS)
-    slug = F.regexp_replace(F.regexp_replace(bare, r"\.md\z", ""), r"\.pdf\z", "-pdf")
-    slug = F.regexp_replace(slug, " +", "-")
-    return F.when(~bare.rlike(rf"({ending})\z") & (slug != ""), slug)
+    # Plain string functions: this runs over every reference.
+    bare = F.substring_index(F.substring_index(F.substring_index(raw, "#", 1), "|", 1), "/", -1)
+    bare = F.lower(F.trim(bare))
+    ending = F.concat(F.lit("."), F.substring_index(bare, ".", -1))
+    attached = F.contains(bare, F.lit(".")) & ending.isin(*ATTACHMENTS)
+    slug = F.when(F.endswith(bare, F.lit(".md")), F.left(bare, F.length(bare) - 3)).when(F.endswith(bare, F.lit(".pdf")), F.concat(F.left(bare, F.length(bare) - 4), F.lit("-pdf"))).otherwise(bare)
+    slug = F.when(F.contains(slug, F.lit(" ")), F.regexp_replace(slug, " +", "-")).otherwise(slug)
+    return F.when(~attached & (slug != ""), slug)
