@@ -23,7 +23,7 @@ _LINE = re.compile(r"\r\n|\r|\n")
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
 _HEADING = re.compile(r" {0,3}#{1,6}(\s|$)")
 _ITEM = re.compile(r"\s*([-*+]|\d{1,9}[.)])\s")
-_SENTENCE = re.compile(r"[.!?…]+[\"'”’)\]*_]*\s+|[。！？]+[”’」』）]*\s*")
+_SENTENCE = re.compile(r"[.!?…]+[\"'”’)\]*_]*\s+(?![a-z])|[。！？]+[”’」』）]*\s*")
 _CLAUSE = re.compile(r"[,;:]\s+|[，、；：]\s*")
 _SPACE = re.compile(r"\s+")
 #: Strengths, the strongest first.
@@ -31,10 +31,11 @@ HEADING, PARAGRAPH, BLOCK, LINE, SENTENCE, INNER, CLAUSE, SPACE = range(8)
 
 
 def boundaries(text: str) -> list[list[int]]:
-    """The places where a piece may begin, in order, by strength. A line within a fence or table is INNER."""
+    """The places where a piece may begin, in order, by strength. A line within a fence or table is INNER, and so is what
+    follows a heading, which should not end a piece. What looks like the end of a sentence is none before a small letter."""
     found: list[list[int]] = [[] for _ in range(8)]
     spans: list[tuple[int, int]] = []  # where sentences are looked for
-    fence, start, after_blank, table = "", 0, False, False
+    fence, start, after_blank, after_heading, table = "", 0, False, False, False
     ends = [m.end() for m in _LINE.finditer(text)]
     if not ends or ends[-1] < len(text):
         ends.append(len(text))
@@ -48,9 +49,11 @@ def boundaries(text: str) -> list[list[int]]:
                 fence = ""
                 spans.append((end, end))
         elif mark:
-            kind, fence = (PARAGRAPH if after_blank else BLOCK), mark[1]
+            kind, fence = (INNER if after_heading else PARAGRAPH if after_blank else BLOCK), mark[1]
         elif _HEADING.match(line):
             kind = HEADING
+        elif after_heading:
+            kind = INNER
         elif after_blank:
             kind = PARAGRAPH
         elif table and bare.startswith("|"):
@@ -64,6 +67,7 @@ def boundaries(text: str) -> list[list[int]]:
         if not fence and not mark and not bare.startswith("|"):
             spans.append((start, end))
         after_blank = not bare and not fence
+        after_heading = not fence and not mark and (bool(_HEADING.match(line)) or (not bare and after_heading))
         table = bare.startswith("|") and not fence
         start = end
     merged: list[list[int]] = []

@@ -27,6 +27,8 @@ def test_any_text(text, limit, overlap):
 def test_places():
     assert check("# A\n\n" + "one two. " * 6 + "\n\n# B\n\n" + "three four. " * 5, 80, 0)[1].startswith("# B")
     assert check("First sentence here. Second sentence here.", 30, 0) == ["First sentence here. ", "Second sentence here."]
+    assert check("Some words here (see e.g. this). " * 3, 40, 0)[1].startswith("Some")
+    assert not any(p.rstrip().endswith("# Head") for p in check("x y z. " * 9 + "\n\n# Head\n\n" + "u v w. " * 9, 70, 0))
     code = check("```\n" + "x = 1\n" * 30 + "```", 80, 0)
     assert all(p.startswith(("```", "x = 1")) for p in code)
     assert check("a" * 1000, 100, 10)
