@@ -13,7 +13,7 @@ Each choice has a price, the number of rows that would be met (counted over all
 slots), and a worth, the logarithm of the chance to miss a pair that is just similar enough.
 Dynamic programming takes the cheapest choices whose joint chance to miss stays below ``miss``, so
 a record full of common phrases spends its thresholds on its rarer partitions. What the probes find
-is tested on 64 sketch bits inside the task and then on the exact shingle sets.
+is tested on 128 sketch bits inside the task and then on the exact shingle sets.
 
 Records with equal sets form a class, of which only one record is searched.
 """
@@ -38,6 +38,7 @@ SYMBOLS = 4
 #: Slots in which rows are counted; the counts only steer the thresholds, so collisions cost time, not pairs.
 SLOTS = 1 << 19
 BLOCKS = 64
+BITS = 128
 SIGMAS = 4.0
 #: Classes up to this size are written out as pairs of their members.
 WRITE_OUT = 64
@@ -45,9 +46,9 @@ NONE, STRICT, LOOSE = 0, 1, 2
 
 
 def sketch(code: np.ndarray, bounds: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys and fourth symbols ``(n, parts)``, and 64 sketch bits, of non-empty sets."""
+    """Keys and fourth symbols ``(n, parts)``, and ``(n, 2)`` words of sketch bits, of non-empty sets."""
     rng = np.random.default_rng(SEED)
-    k = parts * SYMBOLS
+    k = max(parts * SYMBOLS, BITS)
     a = rng.integers(0, 1 << 32, k, dtype=np.uint32) | np.uint32(1)
     b = rng.integers(0, 1 << 32, k, dtype=np.uint32)
     x = (code >> np.uint64(32)).astype(np.uint32)
@@ -62,9 +63,9 @@ def sketch(code: np.ndarray, bounds: np.ndarray, parts: int) -> tuple[np.ndarray
     for p in range(parts):
         three = symbols[p * SYMBOLS : p * SYMBOLS + 3]
         keys[:, p] = mix(mix(mix(three[0] + np.uint64(p + 1)) + three[1]) + three[2])
-    fourth = (symbols[SYMBOLS - 1 :: SYMBOLS].T >> np.uint64(1)).astype(np.int32)
-    ones = (mix(symbols[:64] + np.uint64(1)) & np.uint64(1)).astype(np.uint64)
-    bits = (ones << np.arange(len(ones), dtype=np.uint64)[:, None]).sum(0, dtype=np.uint64)
+    fourth = (symbols[SYMBOLS - 1 : parts * SYMBOLS : SYMBOLS].T >> np.uint64(1)).astype(np.int32)
+    ones = (mix(symbols[:BITS] + np.uint64(1)) & np.uint64(1)).astype(np.uint8)
+    bits = np.ascontiguousarray(np.packbits(ones.T, axis=1, bitorder="little")).view(np.int64)
     return keys, fourth, bits
 
 
@@ -113,10 +114,10 @@ def _sketches(rows: DataFrame, size: int, parts: int, kind: str) -> DataFrame:
                 steps = np.arange(0, keys.size + 1, parts, dtype=np.int32)
                 longs = pa.ListArray.from_arrays(steps, pa.array(keys.ravel().view(np.int64)))
                 ints = pa.ListArray.from_arrays(steps, pa.array(fourth.ravel()))
-                columns = [part["id"], part["owner"], part["text"], part["rid"], pa.array(cls.view(np.int64)), pa.array(n.astype(np.int32)), longs, ints, pa.array(bits.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "owner", "text", "rid", "class", "n", "keys", "fourth", "bits"])
+                columns = [part["id"], part["owner"], part["text"], part["rid"], pa.array(cls.view(np.int64)), pa.array(n.astype(np.int32)), longs, ints, pa.array(bits[:, 0]), pa.array(bits[:, 1])]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "owner", "text", "rid", "class", "n", "keys", "fourth", "b0", "b1"])
 
-    return rows.mapInArrow(run, f"id {kind}, owner string, text string, rid long, class long, n int, keys array<long>, fourth array<int>, bits long")
+    return rows.mapInArrow(run, f"id {kind}, owner string, text string, rid long, class long, n int, keys array<long>, fourth array<int>, b0 long, b1 long")
 
 
 def _matrix(column: pa.Array, parts: int) -> np.ndarray:
@@ -179,21 +180,21 @@ def _probes(base: DataFrame, parts: int, similarity: float, miss: float) -> Data
                 how = allocate((loose_n[loose] - 1).astype(np.float32), (strict_n[strict] - 1).astype(np.float32), similarity, miss)
                 wide = lambda c: np.repeat(part[c].to_numpy(), parts)
                 size = (wide("n").astype(np.int32) << 2) | how.ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(wide("rid")), pa.array(wide("bits")), pa.array(fourth.ravel()), pa.array(size.astype(np.int32))], ["key", "rid", "bits", "fourth", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(wide("rid")), pa.array(wide("b0")), pa.array(wide("b1")), pa.array(fourth.ravel()), pa.array(size.astype(np.int32))], ["key", "rid", "b0", "b1", "fourth", "size"])
 
-    return base.select("rid", "n", "keys", "fourth", "bits").mapInArrow(run, "key long, rid long, bits long, fourth int, size int")
+    return base.select("rid", "n", "keys", "fourth", "b0", "b1").mapInArrow(run, "key long, rid long, b0 long, b1 long, fourth int, size int")
 
 
 def _met(similarity: float):
     p = (1 - similarity) / 2
-    most = math.ceil(64 * p + SIGMAS * math.sqrt(64 * p * (1 - p)))
+    most = math.ceil(BITS * p + SIGMAS * math.sqrt(BITS * p * (1 - p)))
 
     def match(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        key, fourth, bits = table["key"].to_numpy(), table["fourth"].to_numpy(), table["bits"].to_numpy()
+        key, fourth, b0, b1 = (table[c].to_numpy() for c in ("key", "fourth", "b0", "b1"))
         n, how = table["size"].to_numpy() >> 2, table["size"].to_numpy() & 3
 
         def kept(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            good = (popcount(bits[i] ^ bits[j]) <= most) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
+            good = (popcount(b0[i] ^ b0[j]) + popcount(b1[i] ^ b1[j]) <= most) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
             return i[good], j[good]
 
         for order, same, probing in (
