@@ -15,11 +15,19 @@ def note_name(raw: Column) -> Column:
     Anchor and alias go, then the folders, outer spaces, case and ``.md``; ``.pdf`` becomes
     ``-pdf``; runs of spaces become one hyphen.
     """
-    # Plain string functions: this runs over every reference.
-    bare = F.substring_index(F.substring_index(F.substring_index(raw, "#", 1), "|", 1), "/", -1)
-    bare = F.lower(F.trim(bare))
+    # Plain string functions, as this runs over every reference; the lambda names the bare text, which is then made once.
+    bare = F.lower(F.trim(F.substring_index(F.substring_index(F.substring_index(raw, "#", 1), "|", 1), "/", -1)))
+    return F.get(F.transform(F.array(bare), _slug), F.lit(0))
+
+
+def note_names(raws: Column) -> Column:
+    """The names in an array of raw targets, without nulls; exploded, they need no filter that would make them twice."""
+    return F.filter(F.transform(raws, note_name), lambda n: n.isNotNull())
+
+
+def _slug(bare: Column) -> Column:
     ending = F.concat(F.lit("."), F.substring_index(bare, ".", -1))
     attached = F.contains(bare, F.lit(".")) & ending.isin(*ATTACHMENTS)
     slug = F.when(F.endswith(bare, F.lit(".md")), F.left(bare, F.length(bare) - 3)).when(F.endswith(bare, F.lit(".pdf")), F.concat(F.left(bare, F.length(bare) - 4), F.lit("-pdf"))).otherwise(bare)
-    slug = F.when(F.contains(slug, F.lit(" ")), F.regexp_replace(slug, " +", "-")).otherwise(slug)
-    return F.when(~attached & (slug != ""), slug)
+    joined = F.regexp_replace(slug, " +", "-")
+    return F.when(~attached & (slug != ""), joined)

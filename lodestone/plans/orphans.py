@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.names import ATTACHMENTS, note_name
+from lodestone.functions.names import ATTACHMENTS, note_names
 from lodestone.operators.orphans import OrphanState, advance, orphan_counts, parent_events
 from lodestone.operators.records import latest
 
@@ -15,9 +15,8 @@ def references(spark: SparkSession, d: str) -> DataFrame:
     batches = latest(spark.read.parquet(f"{d}/ingest_batches.parquet"), "batch_id", "loaded_at", "batch_id", "loaded_at", "run_at", "links")
     results = latest(spark.read.parquet(f"{d}/search_results.parquet"), "result_id", "loaded_at", "result_id", "loaded_at", "run_at", "note_slug")
     at = F.coalesce("run_at", "loaded_at").alias("at")
-    links = batches.select(F.lit("ingest_batches").alias("ref_table"), F.col("batch_id").alias("ref_id"), at, F.explode("links").alias("raw"))
-    slugs = results.select(F.lit("search_results").alias("ref_table"), F.col("result_id").alias("ref_id"), at, F.col("note_slug").alias("raw"))
-    return links.unionByName(slugs).select("ref_table", "ref_id", note_name(F.col("raw")).alias("key"), "at").where("key is not null")
+    named = lambda rows, table, ref, raws: rows.select(F.lit(table).alias("ref_table"), F.col(ref).alias("ref_id"), F.explode(note_names(raws)).alias("key"), at)
+    return named(batches, "ingest_batches", "batch_id", F.col("links")).unionByName(named(results, "search_results", "result_id", F.array("note_slug")))
 
 
 def note_events(spark: SparkSession, d: str) -> DataFrame:
