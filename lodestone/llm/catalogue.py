@@ -40,7 +40,8 @@ EDITED = {"size": 3, "similarity": 0.6, "owner_col": "note_slug"}
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.near_duplicates(_chunks(spark, d, "note_slug", "text"), **EDITED)
+    """Every pair, copies included, as a pair of ids is what is asked for."""
+    return neardup.near_duplicates(_chunks(spark, d, "note_slug", "text"), write_out=None, **EDITED)
 
 
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:

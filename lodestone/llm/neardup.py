@@ -42,6 +42,8 @@ BITS = 128
 SIGMAS = 4.0
 #: Classes up to this size are written out as pairs of their members.
 WRITE_OUT = 64
+#: Records of a class that one key of a join over its members holds.
+SPREAD = 1024
 NONE, STRICT, LOOSE = 0, 1, 2
 
 
@@ -228,7 +230,7 @@ def _verified(pairs: DataFrame, size: int, similarity: float, kind: str) -> Data
 def similar_classes(rows: DataFrame, size: int = 5, similarity: float = 0.8, parts: int = 36, miss: float = 0.0005, id_col: str = "id", text_col: str = "text", owner_col: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(pairs, members, records)`` of the texts whose sets of ``size``-word shingles share ``similarity`` of their union.
 
-    ``pairs(id_a, id_b, owner_a, owner_b, score)`` joins class representatives; ``members(rep, id, owner)``
+    ``pairs(id_a, id_b, owner_a, owner_b, score)`` joins class representatives; ``members(rep, id, owner, many)``
     lists every record of the classes above one record, the representative among them;
     ``records(id)`` has all records that have a shingle. Null texts, texts below ``size`` words and
     rows without id have none and are in no pair. ``miss`` bounds the chance to lose a pair just at
@@ -249,21 +251,54 @@ def similar_classes(rows: DataFrame, size: int = 5, similarity: float = 0.8, par
     return pairs, members, base.select("id")
 
 
-def near_duplicates(rows: DataFrame, write_out: int = WRITE_OUT, **options) -> DataFrame:
+def _blocked(members: DataFrame) -> DataFrame:
+    """``members`` with ``blocks``, into which their class is cut, and ``block``, the one a member lies in."""
+    blocks = F.ceil(F.col("many") / SPREAD).cast("int")
+    return members.select("rep", "id", "owner", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+
+
+def _expanded(links: DataFrame, blocked: DataFrame) -> DataFrame:
+    """``(x, y, ox, oy)``: the pairs of records that ``links(id_a, id_b, owner_a, owner_b)`` between texts stand for.
+
+    A class enters a join by blocks of about ``SPREAD`` records, so a task never meets all pairs of two large classes.
+    """
+    sizes = blocked.where("id = rep")
+    for s, x, o in (("a", "x", "ox"), ("b", "y", "oy")):
+        size = sizes.select(F.col("rep").alias(f"id_{s}"), F.col("blocks"))
+        member = blocked.select(F.col("rep").alias(f"id_{s}"), "block", F.col("id").alias(x), F.col("owner").alias(o))
+        links = links.join(size, f"id_{s}", "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+        links = links.join(member, [f"id_{s}", "block"], "left").drop("block")
+        links = links.withColumn(o, F.when(F.col(x).isNull(), F.col(f"owner_{s}")).otherwise(F.col(o))).withColumn(x, F.coalesce(x, f"id_{s}"))
+    return links.select("x", "y", "ox", "oy")
+
+
+def _starred(members: DataFrame, owners: bool) -> DataFrame:
+    """``(x, y, ox, oy)``: each record of a class with the smallest id of the class or, where that is of the same owner, with the smallest id of another owner."""
+    if not owners:
+        return members.select(F.col("id").alias("x"), F.col("rep").alias("y"), F.col("owner").alias("ox"), F.lit(None).cast("string").alias("oy"))
+    first = members.where("id = rep").select("rep", F.col("owner").alias("first_owner"))
+    sided = members.join(first, "rep").withColumn("same", F.expr("owner <=> first_owner"))
+    second = sided.where("not same").groupBy("rep").agg(F.min_by(F.struct("id", "owner"), "id").alias("second"))
+    partner = F.when(F.col("same"), F.col("second")).otherwise(F.struct(F.col("rep").alias("id"), F.col("first_owner").alias("owner")))
+    starred = sided.join(second, "rep", "left").withColumn("partner", partner).where("partner is not null")
+    return starred.select(F.col("id").alias("x"), F.col("partner.id").alias("y"), F.col("owner").alias("ox"), F.col("partner.owner").alias("oy"))
+
+
+def near_duplicates(rows: DataFrame, write_out: int | None = WRITE_OUT, **options) -> DataFrame:
     """``(id_a, id_b)``, id_a < id_b: similar records of different owners (of any, without ``owner_col``).
 
-    Classes of equal sets are written out as pairs up to ``write_out`` records; of larger ones each
-    record is linked to the class's smallest id only, and that id stands for the class in other pairs.
-    Options as in :func:`similar_classes`.
+    Links between different sets are written out for all their records. So are the pairs of a class of equal sets up to
+    ``write_out`` records, or of every class if that is None; in larger ones each record is linked to the class's smallest
+    id only, or to the smallest of another owner if that id is of the record's own. Options as in :func:`similar_classes`.
     """
     pairs, members, _ = similar_classes(rows, **options)
-    spread = members.where((F.col("many") <= write_out) | (F.col("id") == F.col("rep")))
-    a = spread.select(F.col("rep").alias("id_a"), F.col("id").alias("x"), F.col("owner").alias("ox"))
-    b = spread.select(F.col("rep").alias("id_b"), F.col("id").alias("y"), F.col("owner").alias("oy"))
-    wide = pairs.join(a, "id_a", "left").join(b, "id_b", "left")
-    across = wide.select(*[F.when(F.col(m).isNull(), F.col(r)).otherwise(F.col(m)).alias(m) for m, r in (("x", "id_a"), ("y", "id_b"))], *[F.when(F.col(m).isNull(), F.col(r)).otherwise(F.col(o)).alias(o) for m, o, r in (("x", "ox", "owner_a"), ("y", "oy", "owner_b"))])
-    within = members.select("rep", F.col("id").alias("x"), F.col("owner").alias("ox")).join(spread.select("rep", F.col("id").alias("y"), F.col("owner").alias("oy")), "rep").select("x", "y", "ox", "oy")
-    both = across.unionByName(within).where("x != y")
+    whole = members if write_out is None else members.where(F.col("many") <= write_out)
+    itself = whole.where("id = rep").select(F.col("rep").alias("id_a"), F.col("rep").alias("id_b"), F.col("owner").alias("owner_a"), F.col("owner").alias("owner_b"))
+    blocked = _blocked(members)
+    both = _expanded(pairs.drop("score"), blocked).unionByName(_expanded(itself, blocked).where("x < y"))
+    if write_out is not None:
+        both = both.unionByName(_starred(members.where(F.col("many") > write_out), bool(options.get("owner_col"))))
+    both = both.where("x != y")
     if options.get("owner_col"):
         both = both.where("not (ox <=> oy)")
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()

@@ -73,6 +73,29 @@ def test_copies_of_a_third_of_all_rows(spark):
     assert all(groups[a] == groups[b] for a, b in linked) and all(g <= i for i, g in groups.items())
 
 
+def test_representative_and_variant_in_one_note(spark):
+    words = [f"v{k}" for k in range(60)]
+    text, variant = " ".join(words), " ".join([*words[:59], "other"])
+    rows = [(f"a{k:03}", "hot", text, 0.0) for k in range(40)] + [(f"b{k:03}", f"o{k}", text, 0.0) for k in range(40)]
+    rows += [("v", "hot", variant, 0.0), ("w0", "hot", variant + " more", 0.0), ("w1", "o1", variant + " more", 0.0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    options = {"size": 3, "similarity": 0.6, "owner_col": "note_slug"}
+    want = brute(rows, 0.6)
+    assert {tuple(r) for r in neardup.near_duplicates(df, write_out=None, **options).collect()} == want
+    starred = {tuple(r) for r in neardup.near_duplicates(df, **options).collect()}
+    copies = {r[0] for r in rows[:80]}
+    assert starred < want and {p for p in want if not set(p) <= copies} <= starred
+    assert {x for p in starred if set(p) <= copies for x in p} == copies  # each has a link to another note
+
+
+def test_large_classes_are_joined_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SPREAD", 7)
+    words = [f"v{k}" for k in range(60)]
+    rows = [(f"a{k:03}", f"o{k % 9}", " ".join(words), 0.0) for k in range(30)] + [(f"b{k:03}", f"o{k % 5}", " ".join([*words, "end"]), 0.0) for k in range(20)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA), write_out=None, size=3, similarity=0.6, owner_col="note_slug").collect()
+    assert len(got) == len({tuple(r) for r in got}) and {tuple(r) for r in got} == brute(rows, 0.6)
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200) if k != 99] + [(500, 501), (7, 7)], "a long, b long")
     got = {r["id"]: r["root"] for r in neardup.components(edges).collect()}
