@@ -15,12 +15,12 @@ def _chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 
 
 def p1_similar(spark: SparkSession, d: str) -> DataFrame:
-    """The five most similar chunks of every chunk, from cosine 0.9 up."""
-    return vectors.similar_vectors(_chunks(spark, d, "embedding"), 5, 0.9)
+    """The five most similar chunks of every chunk."""
+    return vectors.most_similar(_chunks(spark, d, "embedding"), 5)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.unordered(p1_similar(spark, d))
+    return vectors.unordered(vectors.similar_vectors(_chunks(spark, d, "embedding"), 5, 0.9))
 
 
 def p3_top(spark: SparkSession, d: str) -> DataFrame:

@@ -9,6 +9,9 @@ exact cosine.
 
 Vectors of one direction form a class: only its smallest id is hashed, its members get their
 neighbours by the class, so a direction that a third of all rows share costs no more pairs than rows.
+
+That is the search for close pairs, :func:`similar_vectors`. Neighbours however far away, which no hash finds
+dependably, come from :func:`most_similar`: every vector is compared with all, block by block.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.llm.buckets import offsets, pair_rows, popcount, run_ends, split_hot
-from lodestone.scratch import materialise
+from lodestone.scratch import discard, materialise, spread
 
 SEED = 20240607
 BITS = 128
@@ -33,6 +36,11 @@ BITS = 128
 SIGMAS = 4.0
 #: Nearest axes of a digit that probing considers.
 AXES = 3
+#: Vectors that are broadcast at a time, and the queries, rows and rows in a group that one product compares.
+BLOCK = 1 << 17
+QUERIES, ROWS, GROUP = 256, 4096, 64
+#: More than single precision can be off by in a cosine.
+SLACK = 1e-5
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -101,6 +109,19 @@ def most_bits(similarity: float) -> int:
     return math.ceil(BITS * p + SIGMAS * math.sqrt(BITS * p * (1 - p)))
 
 
+def _usable(part: pa.RecordBatch, dim: int) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+    """The rows whose vectors are usable, their unit vectors and their classes."""
+    vec = part["embedding"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    good = np.isfinite(vec).all(1) & (vec != 0).any(1)
+    vec, part = vec[good], part.filter(pa.array(good))
+    if not len(vec):
+        return part, vec, np.zeros(0, np.int64)
+    unit = vec / np.abs(vec).max(1, keepdims=True)  # first, so that no square under- or overflows
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    grid = np.ascontiguousarray(np.rint(unit * 1e6).astype(np.int32))
+    return part, unit, np.array([xxhash.xxh3_64_intdigest(g) for g in grid], np.uint64).view(np.int64)
+
+
 def _sketches(rows: DataFrame, dim: int, tables: int, probes: int, digits: int) -> DataFrame:
     """``(id, rid, vec, class, keys, b0, b1)`` of the usable vectors."""
 
@@ -108,16 +129,9 @@ def _sketches(rows: DataFrame, dim: int, tables: int, probes: int, digits: int)
         sign = signer(dim, tables, probes, digits)
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                vec = part["embedding"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-                good = np.isfinite(vec).all(1) & (vec != 0).any(1)
-                vec, part = vec[good], part.filter(pa.array(good))
-                if not len(vec):
+                part, unit, cls = _usable(batch.slice(at, 4096), dim)
+                if not len(unit):
                     continue
-                unit = vec / np.abs(vec).max(1, keepdims=True)  # first, so that no square under- or overflows
-                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                grid = np.ascontiguousarray(np.rint(unit * 1e6).astype(np.int32))
-                cls = np.array([xxhash.xxh3_64_intdigest(g) for g in grid], np.uint64).view(np.int64)
                 keys, bits = sign(unit.astype(np.float32))
                 flat = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), pa.array(keys.ravel().view(np.int64)))
                 raw = pa.array([u.tobytes() for u in unit.astype(np.float32)], pa.binary())
@@ -141,6 +155,13 @@ def _close(similarity: float):
     return match
 
 
+def _classes(base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``members(rep, id, n)`` of the classes above one vector, and the one row of ``base`` that stands for each class."""
+    copies = base.groupBy("class").agg(F.count("*").alias("n"), F.min("id").alias("rep")).where("n > 1")
+    members = materialise(base.select("id", "class").join(copies, "class").select("rep", "id", "n"), "members")
+    return members, base.join(members.where("id != rep").select("id"), "id", "left_anti")
+
+
 def _cosines(pairs: DataFrame, schema: str, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,7 +183,7 @@ def similar_vectors(rows: DataFrame, k: int, similarity: float, dim: int = 64, t
     id given twice is an error of the caller (see ``records.latest``). Vectors that agree to six
     decimals of their direction are one class and have score 1 among themselves.
 
-    Below ``similarity`` nothing is searched, as the number of tables needed grows without bound; with the
+    Below ``similarity`` nothing is searched (:func:`most_similar` does), as the number of tables needed grows without bound; with the
     defaults the recall at cosine 0.9 is above 0.99. ``tables`` holds for buckets of two digits; for each
     further one, which larger collections need, a half more are built.
     """
@@ -173,10 +194,7 @@ def similar_vectors(rows: DataFrame, k: int, similarity: float, dim: int = 64, t
     tables = round(tables * 1.5 ** (digits - 2))
     base = materialise(_sketches(source, dim, tables, probes, digits), "sketches")
 
-    copies = base.groupBy("class").agg(F.count("*").alias("n"), F.min("id").alias("rep")).where("n > 1")
-    members = materialise(base.select("id", "class").join(copies, "class").select("rep", "id", "n"), "members")
-    stand_ins = base.join(members.where("id != rep").select("id"), "id", "left_anti")
-
+    members, stand_ins = _classes(base)
     hashed = stand_ins.select("rid", "b0", "b1", F.posexplode("keys").alias("pos", "key")).select("key", "rid", "b0", "b1", (F.col("pos") % probes).cast("byte").alias("probe"))
     near = pair_rows(split_hot(hashed, n * tables * probes), ["probe"], _close(similarity))
     side = lambda s: stand_ins.select(F.col("rid").alias(s), F.col("id").alias(f"id_{s}"), F.col("vec").alias(f"vec_{s}"))
@@ -185,11 +203,119 @@ def similar_vectors(rows: DataFrame, k: int, similarity: float, dim: int = 64, t
     return ranked(scored, members, k)
 
 
+def _units(rows: DataFrame, dim: int) -> DataFrame:
+    """``(id, vec, class)`` of the usable vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, unit, cls = _usable(batch, dim)
+            raw = pa.array([u.tobytes() for u in unit.astype(np.float32)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part["id"], raw, pa.array(cls)], ["id", "vec", "class"])
+
+    return rows.where(F.size("embedding") == dim).select("id", "embedding").mapInArrow(run, f"id {dict(rows.dtypes)['id']}, vec binary, class long")
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dim)
+
+
+def _contenders(queries: np.ndarray, block: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, row of block) that hold the best of each query's rows and of the scores ``known`` to it, ``len(known)`` in all.
+
+    The largest product of each group of rows is looked at first; the least of a query's best groups bounds its best rows from below.
+    """
+    top, turned = known.astype(np.float32), np.ascontiguousarray(queries.T)
+    most = len(top)
+    found_q, found_r, found_s = [], [], []
+    for at in range(0, len(block), ROWS):
+        tile = block[at : at + ROWS]
+        product = np.full((-(-len(tile) // GROUP) * GROUP, len(queries)), -2, np.float32)
+        np.matmul(tile, turned, out=product[: len(tile)])
+        product = product.reshape(-1, GROUP, len(queries))
+        best = product.max(1)
+        top = np.partition(np.concatenate([top, best]), -most, axis=0)[-most:]
+        bound = top[0] - np.float32(SLACK)
+        group, query = np.nonzero(best >= bound)
+        inside = product[group, :, query]
+        hit, step = np.nonzero(inside >= bound[query, None])
+        found_q.append(query[hit])
+        found_r.append(at + group[hit] * GROUP + step)
+        found_s.append(inside[hit, step])
+    q, r, s = np.concatenate(found_q), np.concatenate(found_r), np.concatenate(found_s)
+    good = (s >= top[0][q] - np.float32(SLACK)) & (r < len(block))
+    return q[good], r[good]
+
+
+def _nearest(queries: DataFrame, block, k: int, dim: int) -> DataFrame:
+    """``queries(id, vec, near, score)`` with the k best ids and scores among those they had and ``block``, a broadcast of ids in order and their vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = block.value
+        for batch in batches:
+            near: list[list] = []
+            score: list[list[float]] = []
+            for at in range(0, batch.num_rows, QUERIES):
+                part = batch.slice(at, QUERIES)
+                unit, own, before = _matrix(part["vec"], dim), part["id"].to_pylist(), list(zip(part["score"].to_pylist(), part["near"].to_pylist()))
+                known = np.full((k + 1, len(own)), -2.0)  # one more, as a vector meets itself
+                for i, (s, _) in enumerate(before):
+                    known[: len(s), i] = s
+                q, r = _contenders(unit, vectors, known)
+                a, b = unit[q].astype(np.float64), vectors[r].astype(np.float64)
+                cos = np.minimum((a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1)), 1.0)
+                order = np.lexsort((r, -cos, q))
+                starts = np.searchsorted(q[order], np.arange(len(own) + 1))
+                for i, x in enumerate(own):
+                    mine = order[starts[i] : min(starts[i] + k + 1, starts[i + 1])]
+                    here = [(-float(c), ids[p]) for c, p in zip(cos[mine], r[mine]) if ids[p] != x]
+                    best = sorted(here + [(-s, y) for s, y in zip(*before[i])])[:k]
+                    near.append([y for _, y in best])
+                    score.append([-s for s, _ in best])
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["vec"], pa.array(near, pa.list_(batch["id"].type)), pa.array(score, pa.list_(pa.float64()))], ["id", "vec", "near", "score"])
+
+    return queries.mapInArrow(run, queries.schema)
+
+
+def most_similar(rows: DataFrame, k: int, dim: int = 64, id_col: str = "id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """``(id, similar_id, score, rank)``: for every usable vector its ``k`` most similar ones, however far away they are.
+
+    Usable vectors, classes and ties as in :func:`similar_vectors`. The result is exact: each class's vector is compared with
+    all others, ``block`` of which are broadcast in each round, so the work grows with the square of their number while
+    memory and disk do not; the best found so far go from round to round.
+    """
+    kind = dict(rows.dtypes)[id_col]
+    source = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("embedding")).where(F.col("id").isNotNull())
+    base = materialise(_units(source, dim), "units")
+    members, stand_ins = _classes(base)
+    stand_ins = materialise(stand_ins.select("id", "vec"), "directions")
+    settled = members.where((F.col("id") == F.col("rep")) & (F.col("n") > k)).select("id")  # they find all in their class
+    now = stand_ins.join(settled, "id", "left_anti").select("id", "vec", F.array().cast(f"array<{kind}>").alias("near"), F.array().cast("array<double>").alias("score"))
+    now = materialise(now, "nearest")
+    blocks = max(1, math.ceil(stand_ins.count() / block))
+    for b in range(blocks):
+        table = stand_ins.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()  # about ``block`` rows
+        ids = table["id"].to_pylist()
+        if not ids:
+            continue
+        order = sorted(range(len(ids)), key=ids.__getitem__)
+        sent = rows.sparkSession.sparkContext.broadcast(([ids[i] for i in order], _matrix(table["vec"], dim)[order]))
+        after = materialise(_nearest(spread(now), sent, k, dim), "nearest")
+        sent.destroy()
+        discard(now)
+        now = after
+    found = now.select(F.col("id").alias("id_a"), F.explode(F.arrays_zip("near", "score")).alias("z")).select("id_a", F.col("z.near").alias("id_b"), F.col("z.score").alias("score"))
+    return _ranked(found, members, k)
+
+
 def ranked(scored: DataFrame, members: DataFrame, k: int) -> DataFrame:
     """The k best partners of every id, from pairs of class representatives and the classes' members."""
+    return _ranked(scored.unionByName(scored.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"), "score")), members, k)
+
+
+def _ranked(both: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """As :func:`ranked`, from pairs that are given once for each side that they may serve."""
     first = W.partitionBy("rep").orderBy("id")
     few = members.withColumn("pos", F.row_number().over(first)).where(F.col("pos") <= k + 1).select("rep", "id", "n")
-    both = scored.unionByName(scored.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"), "score"))
     # A member of a class above k finds all its partners in the class itself.
     left = few.select(F.col("rep").alias("id_a"), F.col("id").alias("x"), F.col("n").alias("n_a"))
     right = few.select(F.col("rep").alias("id_b"), F.col("id").alias("y"))

@@ -33,6 +33,14 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table that :func:`materialise` returned and nothing reads any more."""
+    spark = table.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A scan that feeds costly Python work, over all cores: one of fewer partitions than cores (a small or a single file) is
     dealt out anew, any other is left as it is. ``scan`` must be without shuffles, as its partitions are counted."""

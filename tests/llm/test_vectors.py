@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from lodestone.llm import vectors
+from lodestone.llm import catalogue, vectors
 
 SCHEMA = "id string, embedding array<float>, score double"
 
@@ -58,6 +58,29 @@ def test_a_direction_that_a_third_of_all_rows_share(spark):
     assert all(r["id_a"] < r["id_b"] for r in pairs) and len(pairs) < 6 * len(rows)
 
 
+def test_every_vector_gets_its_neighbours_however_far_away(spark):
+    rows = near_copies(9, 150)
+    rng = np.random.default_rng(10)
+    rows += [(f"far{k:03}", rng.normal(size=64).astype(np.float32)) for k in range(150)]
+    rows += [(f"copy{k}", rows[0][1] * 2 ** (k % 3)) for k in range(7)] + [(f"twin{k}", rows[-1][1] * 2 ** (k + 1)) for k in range(2)]
+    df = spark.createDataFrame([(i, v.tolist(), 1.0) for i, v in rows] + [("zero", [0.0] * 64, 0.0), ("none", None, 0.0), ("short", [1.0], 0.0)], SCHEMA)
+    for block in (1 << 17, 100):  # in one round and in several
+        got = vectors.most_similar(df, 5, block=block).collect()
+        assert len(got) == 5 * len(rows) and {(r["id"], r["rank"]) for r in got} == {(i, k) for i, _ in rows for k in range(1, 6)}
+        assert {(r["id"], r["similar_id"]) for r in got} == brute(rows, 5, -1.0)
+    few = spark.createDataFrame([("a", [1.0] + [0.0] * 63, 0.0), ("b", [-1.0] + [0.0] * 63, 0.0)], SCHEMA)
+    assert {(r["id"], r["similar_id"], r["score"]) for r in vectors.most_similar(few, 5).collect()} == {("a", "b", -1.0), ("b", "a", -1.0)}
+    assert vectors.most_similar(spark.createDataFrame([], SCHEMA), 5).count() == 0
+
+
+def test_the_query_has_no_least_similarity(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    rows = [(f"n:{k}", rng.normal(size=64).astype(np.float32).tolist(), 1.0) for k in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("id", "embedding", "timestamp'2024-01-01' AS ingested_at")
+    df.write.parquet(f"{tmp_path}/chunks.parquet")
+    assert catalogue.p1_similar(spark, str(tmp_path)).count() == 200
+
+
 def test_transform_keeps_lengths_and_more_digits_are_used_for_more_rows():
     x = np.random.default_rng(0).normal(size=(64, 10)).astype(np.float32)
     assert np.allclose(np.linalg.norm(vectors.hadamard(x), axis=0), np.linalg.norm(x, axis=0), rtol=1e-4)
