@@ -36,6 +36,8 @@ BITS = 128
 SIGMAS = 4.0
 #: Nearest axes of a digit that probing considers.
 AXES = 3
+#: Chance to lose a pair at the asked similarity that the number of tables aims at, above two digits.
+MISS = 0.005
 #: Vectors that are broadcast at a time, and the queries, rows and rows in a group that one product compares.
 BLOCK = 1 << 17
 QUERIES, ROWS, GROUP = 256, 4096, 64
@@ -64,6 +66,24 @@ def digits_for(n: int, width: int) -> int:
     return max(2, math.ceil(math.log(max(n, 2) / 128) / math.log(2 * width)))
 
 
+def hit_chance(dim: int, similarity: float, probes: int, digits: int, pairs: int = 4000, tables: int = 4) -> float:
+    """How often a table brings together a pair of just that cosine, over random pairs; the same on every run."""
+    rng = np.random.default_rng(SEED)
+    a = rng.normal(size=(pairs, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=(pairs, dim))
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = similarity * a + math.sqrt(1 - similarity**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    sign = signer(dim, tables, probes, digits)
+    x, y = (sign(v.astype(np.float32))[0].reshape(pairs, tables, probes) for v in (a, b))
+    return float(((x[:, :, :1] == y).any(2) | (y[:, :, :1] == x).any(2)).mean())
+
+
+def tables_for(digits: int, dim: int, similarity: float, probes: int, miss: float = MISS) -> int:
+    """Tables of so many digits that lose a pair of just that cosine with the chance ``miss``."""
+    return math.ceil(math.log(miss) / math.log(1 - hit_chance(dim, similarity, probes, digits)))
+
+
 def signer(dim: int, tables: int, probes: int, digits: int):
     """A function from unit vectors (rows) to their keys ``(n, tables * probes)``, stored bucket first, and 128 sign bits."""
     width = 1 << (dim - 1).bit_length()
@@ -183,15 +203,16 @@ def similar_vectors(rows: DataFrame, k: int, similarity: float, dim: int = 64, t
     id given twice is an error of the caller (see ``records.latest``). Vectors that agree to six
     decimals of their direction are one class and have score 1 among themselves.
 
-    Below ``similarity`` nothing is searched (:func:`most_similar` does), as the number of tables needed grows without bound; with the
-    defaults the recall at cosine 0.9 is above 0.99. ``tables`` holds for buckets of two digits; for each
-    further one, which larger collections need, a half more are built.
+    Below ``similarity`` nothing is searched (:func:`most_similar` does), as the number of tables needed grows without bound. ``tables`` holds for
+    buckets of two digits. Larger collections need more digits and get as many tables as :func:`tables_for` asks for.
+    Measured recall at a cosine of just 0.9 over 4,000 random pairs: 0.9998 at two digits (10 tables), 0.994 at three (16), 0.995 at four (34).
     """
     kind = dict(rows.dtypes)[id_col]
     source = materialise(rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("embedding")).where(F.col("id").isNotNull()), "vectors")
     n = source.count()
     digits = digits_for(n, 1 << (dim - 1).bit_length())
-    tables = round(tables * 1.5 ** (digits - 2))
+    if digits > 2:
+        tables = max(tables, tables_for(digits, dim, similarity, probes))
     base = materialise(_sketches(source, dim, tables, probes, digits), "sketches")
 
     members, stand_ins = _classes(base)

@@ -87,6 +87,20 @@ def test_transform_keeps_lengths_and_more_digits_are_used_for_more_rows():
     assert [vectors.digits_for(n, 64) for n in (10, 100_000, 2_000_000, 3_000_000, 10**9)] == [2, 2, 2, 3, 4]
 
 
+def test_tables_keep_the_recall_at_more_digits():
+    rng = np.random.default_rng(12)
+    a = rng.normal(size=(2000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=a.shape)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.9 * a + np.sqrt(1 - 0.81) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    for digits in (3, 4):
+        tables = vectors.tables_for(digits, 64, 0.9, 3)
+        x, y = (vectors.signer(64, tables, 3, digits)(v.astype(np.float32))[0].reshape(2000, tables, 3) for v in (a, b))
+        hit = ((x[:, :, :1] == y) | (y[:, :, :1] == x)).any((1, 2))
+        assert hit.mean() >= 0.985
+
+
 def test_many_digits_still_find(spark):
     sign = vectors.signer(64, 12, 3, 3)
     rows = near_copies(8, 300)
