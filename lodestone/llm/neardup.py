@@ -330,9 +330,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 def near_duplicate_groups(rows: DataFrame, **options) -> DataFrame:
     """``(id, group_id, n_links)`` for every record with a shingle: its group's smallest id, and how many similar
-    records of other sets its class has. Records of equal sets are in one group. Options as in :func:`similar_classes`."""
+    records of other sets it has, copies of one text each counted. Records of equal sets are in one group, but are no links. Options as in :func:`similar_classes`."""
     pairs, members, records = similar_classes(rows, **options)
-    links = pairs.select(F.col("id_a").alias("rep")).unionByName(pairs.select(F.col("id_b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
+    sides = pairs.select(F.col("id_a").alias("rep"), F.col("id_b").alias("other")).unionByName(pairs.select(F.col("id_b").alias("rep"), F.col("id_a").alias("other")))
+    sizes = members.where("id = rep").select(F.col("rep").alias("other"), "many")
+    links = sides.join(sizes, "other", "left").groupBy("rep").agg(F.sum(F.coalesce("many", F.lit(1))).alias("n_links"))
     roots = components(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))).select(F.col("id").alias("rep"), "root")
     named = records.join(members.select("id", "rep"), "id", "left").withColumn("rep", F.coalesce("rep", "id"))
     out = named.join(roots, "rep", "left").join(links, "rep", "left")

@@ -96,6 +96,13 @@ def test_large_classes_are_joined_by_blocks(spark, monkeypatch):
     assert len(got) == len({tuple(r) for r in got}) and {tuple(r) for r in got} == brute(rows, 0.6)
 
 
+def test_links_count_records(spark):
+    words = [f"v{k}" for k in range(60)]
+    rows = [(f"a{k}", f"o{k}", " ".join(words), 0.0) for k in range(50)] + [("v", "p", " ".join([*words, "end"]), 0.0), ("x", "q", "quite another text", 0.0)]
+    got = {r["id"]: r["n_links"] for r in neardup.near_duplicate_groups(spark.createDataFrame(rows, SCHEMA), size=3, similarity=0.6).collect()}
+    assert got == {f"a{k}": 1 for k in range(50)} | {"v": 50, "x": 0}
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200) if k != 99] + [(500, 501), (7, 7)], "a long, b long")
     got = {r["id"]: r["root"] for r in neardup.components(edges).collect()}
