@@ -4,7 +4,8 @@ Keyed state, kept incrementally. The state holds, per key,
 
 * ``live``: how many periods of the parent are open at the end of what was seen,
 * ``orphans``: every reference that found no parent at its time, with ``is_open``: whether its
-  key still has no parent at the end of what was seen.
+  key still has no parent at the end of what was seen,
+* ``events``: every beginning and end of a parent's period, for references that load late.
 
 :func:`advance` takes the state and the events that follow it. Each event falls into a period (a
 month, say). Within a key the periods are chained by their opening balances, so a new reference
@@ -24,6 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 LIVE = "key string, n_live long"
+EVENTS = "key string, at timestamp, step int"
 ORPHANS = "ref_table string, ref_id long, key string, at timestamp, is_open boolean"
 
 
@@ -33,10 +35,11 @@ class OrphanState:
 
     live: DataFrame
     orphans: DataFrame
+    events: DataFrame
 
     @classmethod
     def empty(cls, spark: SparkSession) -> OrphanState:
-        return cls(spark.createDataFrame([], LIVE), spark.createDataFrame([], ORPHANS))
+        return cls(spark.createDataFrame([], LIVE), spark.createDataFrame([], ORPHANS), spark.createDataFrame([], EVENTS))
 
 
 def parent_events(parents: DataFrame, key: Column, starts: Column, ends: Column) -> DataFrame:
@@ -51,7 +54,7 @@ def parent_events(parents: DataFrame, key: Column, starts: Column, ends: Column)
     return held.select("key", F.explode(pair).alias("e")).where("e.at is not null").select("key", "e.at", "e.step")
 
 
-def _snapshots(live: DataFrame, refs: DataFrame, events: DataFrame, period: str) -> DataFrame:
+def _snapshots(refs: DataFrame, events: DataFrame, period: str) -> DataFrame:
     """``(key, period, opening, changes, closing)`` for each key and period with a reference or an event."""
     when = F.date_trunc(period, "at")
     # Events of one instant are one change, so that copies of a parent do not lengthen the list.
@@ -59,8 +62,7 @@ def _snapshots(live: DataFrame, refs: DataFrame, events: DataFrame, period: str)
     moved = moved.groupBy("key", "period").agg(F.sum("step").alias("net"), F.collect_list(F.struct("at", "step")).alias("changes"))
     # References count once per key and period here, whatever their number.
     asked = refs.groupBy("key", when.alias("period")).agg(F.lit(0).cast("long").alias("net"))
-    carried = live.select("key", F.lit(None).cast("timestamp").alias("period"), F.col("n_live").alias("net"))
-    rows = moved.unionByName(asked, True).unionByName(carried, True)
+    rows = moved.unionByName(asked, True)
     rows = rows.groupBy("key", "period").agg(F.sum("net").alias("net"), F.max("changes").alias("changes"))
     before = W.partitionBy("key").orderBy(F.col("period").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("opening", F.coalesce(F.sum("net").over(before), F.lit(0)))
@@ -81,16 +83,17 @@ def probe(refs: DataFrame, snapshots: DataFrame, period: str) -> DataFrame:
 def advance(state: OrphanState, refs: DataFrame, events: DataFrame, period: str = "month") -> OrphanState:
     """The state after ``refs(ref_table, ref_id, key, at)`` and the ``events`` of :func:`parent_events`.
 
-    Both must follow the instants of the state. Repeated references count once; those without key
-    or time take no part. Two steps over split events give the state of one step over all.
+    Both may lie before instants of the state: references are judged by the parents of their own time. Orphans of the state
+    are not judged again, so a step's ``events`` must not precede references of earlier steps. Repeated references
+    count once; those without key or time take no part. Two steps over split events give the state of one step over all.
     """
     refs = refs.select("ref_table", "ref_id", "key", "at").where(F.col("key").isNotNull() & F.col("at").isNotNull()).distinct()
-    snapshots = _snapshots(state.live, refs, events, period)
+    events = state.events.unionByName(events.select("key", "at", "step"))
+    snapshots = _snapshots(refs, events, period)
     fresh = probe(refs, snapshots, period)
-    steps = events.groupBy("key").agg(F.sum("step").alias("n_live")).unionByName(state.live.select("key", "n_live"))
-    live = steps.groupBy("key").agg(F.sum("n_live").alias("n_live")).where("n_live > 0")
-    orphans = state.orphans.drop("is_open").unionByName(fresh).join(live.select("key", F.lit(True).alias("has")), "key", "left")
-    return OrphanState(live, orphans.select("ref_table", "ref_id", "key", "at", F.col("has").isNull().alias("is_open")))
+    live = events.groupBy("key").agg(F.sum("step").alias("n_live")).where("n_live > 0")
+    orphans = state.orphans.drop("is_open").unionByName(fresh).distinct().join(live.select("key", F.lit(True).alias("has")), "key", "left")
+    return OrphanState(live, orphans.select("ref_table", "ref_id", "key", "at", F.col("has").isNull().alias("is_open")), events)
 
 
 def orphan_counts(orphans: DataFrame, live: DataFrame, events: DataFrame, period: str = "month") -> DataFrame:

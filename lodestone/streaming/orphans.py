@@ -9,9 +9,9 @@ from lodestone.scratch import materialise
 
 
 class OrphanTracker:
-    """Holds the state as two tables in the shared folder and replaces them with each step.
+    """Holds the state as three tables in the shared folder and replaces them with each step.
 
-    Steps must follow one another in the time of their events. ``counts`` gives the snapshot after a step.
+    Steps must follow one another in the time of their events; references may load late. ``counts`` gives the snapshot after a step.
     """
 
     def __init__(self, state: OrphanState, period: str = "month"):
@@ -19,7 +19,7 @@ class OrphanTracker:
 
     def step(self, refs: DataFrame, events: DataFrame) -> OrphanState:
         new = advance(self.state, refs, events, self.period)
-        self.state = OrphanState(materialise(new.live, "live"), materialise(new.orphans, "orphans"))
+        self.state = OrphanState(materialise(new.live, "live"), materialise(new.orphans, "orphans"), materialise(new.events, "events"))
         return self.state
 
     def counts(self) -> DataFrame:

@@ -63,6 +63,20 @@ def test_random_against_brute_force_whole_and_in_steps(spark):
     assert sum(r["n_orphans"] for r in tracker.counts().collect()) == len(want)
 
 
+def test_references_that_load_late(spark):
+    parents = [("a", day(1), day(5)), ("a", day(9), None), ("b", day(1), day(20))]
+    early = [("t", 1, "a", day(10)), ("t", 2, "c", day(10))]
+    late = [("t", 2, "c", day(10)), ("t", 3, "a", day(6)), ("t", 4, "a", day(2)), ("t", 5, "b", day(3)), ("t", 6, "b", day(21))]
+    events, rows = made(spark, parents, early)
+    tracker = OrphanTracker(OrphanState.empty(spark))
+    tracker.step(rows, events)
+    none, rows = made(spark, [], late)
+    tracker.step(rows, none)
+    assert keys(tracker.state.orphans) == brute(parents, early + late) == {("t", 2, "c"), ("t", 3, "a"), ("t", 6, "b")}
+    assert {r["ref_id"]: r["is_open"] for r in tracker.state.orphans.collect()} == {2: True, 3: False, 6: True}
+    assert tracker.state.orphans.count() == 3
+
+
 def test_counts_reopen(spark):
     parents = [("a", day(40), day(70))]
     refs = [("t", 1, "a", day(3)), ("t", 2, "a", day(50)), ("t", 3, "x", day(45))]
