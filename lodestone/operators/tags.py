@@ -17,12 +17,13 @@ def _first_per_note(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(W.partitionBy("note_slug").orderBy("chunk_index", "id"))).where("_n = 1").drop("_n")
 
 
-def tag_search(chunks: DataFrame, tag: str, limit: int = 50, children: bool = False, where: Column | None = None) -> DataFrame:
-    """The first chunk of each note with the tag (``children``: or one below it), by title, score 1."""
+def tag_search(chunks: DataFrame, tag: str, limit: int | None = 50, children: bool = False, where: Column | None = None) -> DataFrame:
+    """The first chunk of each note with the tag (``children``: or one below it), by title, score 1; ``limit`` None gives all."""
     rows = chunks.where(where) if where is not None else chunks
     wanted = normal_tag(tag)
     hit = F.exists("tags", lambda t: (F.lower(t) == wanted) | F.startswith(F.lower(t), F.lit(wanted + "/"))) if children else tagged(wanted)
-    return _first_per_note(rows.where(hit)).withColumn("score", F.lit(1.0)).orderBy("title", "note_slug").limit(limit)
+    found = _first_per_note(rows.where(hit)).withColumn("score", F.lit(1.0)).orderBy("title", "note_slug")
+    return found if limit is None else found.limit(limit)
 
 
 def shared_tags(notes: DataFrame, slug: str, least: int = 1) -> DataFrame:

@@ -62,7 +62,7 @@ def tag_exact(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tag_children(spark: SparkSession, d: str) -> DataFrame:
-    return tags.tag_search(chunks(spark, d, "note_slug", "chunk_index", "title", "tags"), TAG, 10_000, True).select("note_slug", "title", "id")
+    return tags.tag_search(chunks(spark, d, "note_slug", "chunk_index", "title", "tags"), TAG, None, True).select("note_slug", "title", "id")
 
 
 def tag_list(spark: SparkSession, d: str) -> DataFrame:

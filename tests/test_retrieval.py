@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 
 from lodestone.operators import filters, graph, hybrid, lexical, notes, tags, vector
+from lodestone.plans import retrieval
 from lodestone.sources.store import CHUNKS
 
 LINK = "source_slug string, raw string"
@@ -129,3 +130,9 @@ def test_stats_without_first_chunks(spark):
     links = spark.createDataFrame([], "a string")
     assert tuple(notes.stats(table(spark, [chunk("a", 1, None), chunk("b", 2, None)]), links).first()) == (2, 2, 0)
     assert tuple(notes.stats(table(spark, []), links).first()) == (0, 0, 0)
+
+
+def test_tag_children_gives_all_notes(spark, tmp_path):
+    rows = spark.range(10_050).selectExpr("concat('n', id, ':0') AS id", "concat('n', id) AS note_slug", "0 AS chunk_index", "'t' AS title", "array('project/x') AS tags", "timestamp'2024-01-01' AS ingested_at")
+    rows.write.parquet(f"{tmp_path}/chunks.parquet")
+    assert retrieval.tag_children(spark, str(tmp_path)).count() == 10_050
