@@ -4,7 +4,8 @@ Linear grouping: the sizes above ``small`` of the capacity are cut into groups o
 up to their group's largest. For so few sizes the best mixture of container fillings is found by column
 generation (a linear program whose columns are knapsack fillings) and taken in whole numbers of
 containers. The slots are then filled with actual sizes, so what rounding wasted is free again, and all that is
-left over goes, largest first, to the container where it fits best.
+left over, the small sizes with it, goes, largest first, to the container where it fits best. At last containers with more
+room than a few tokens are taken apart and their items placed so once more, if that saves containers.
 
 Sizes are whole numbers up to the capacity, so the plan needs only the number of items of each size: the
 driver handles at most ``capacity`` numbers whatever the input, and containers of equal content stay one row with a
@@ -27,8 +28,11 @@ from pyspark.sql import functions as F
 from lodestone.llm import tokens
 from lodestone.scratch import materialise, spread
 
-GROUPS = 24
-SMALL = 1 / 8
+GROUPS = 256
+#: Shares of the capacity up to which a size counts as small; a plan is made with each, the better one counts.
+SMALL = (0.25, 0.4)
+#: Containers with more room than that are taken apart; each is tried, from the finished plan, and the best result kept.
+ROOMS = (0, 1, 4, 16, 64, 256)
 #: Items of one size in a bucket, about.
 BUCKET = 50_000
 
@@ -112,11 +116,16 @@ def few_size_mixture(sizes: np.ndarray, demand: np.ndarray, capacity: int, most:
     return [(a, basis[:, k].round().astype(int)) for k, a in enumerate(amount)]
 
 
-def plan_containers(counts: dict[int, int], capacity: int, groups: int = GROUPS, small: float = SMALL) -> Plan:
+def plan_containers(counts: dict[int, int], capacity: int, groups: int = GROUPS, small: tuple[float, ...] = SMALL) -> Plan:
     """Containers for ``counts[size]`` items of each size from 1 to the capacity."""
     if any(not 0 < s <= capacity for s in counts):
         raise ValueError("sizes must lie between 1 and the capacity")
-    left = defaultdict(int, {s: n for s, n in counts.items() if n})
+    plans = [_plan({s: n for s, n in counts.items() if n}, capacity, groups, share) for share in small]
+    return min([p for plan in plans for p in (plan, *(_again(plan, room) for room in ROOMS))], key=lambda p: p.containers)
+
+
+def _plan(counts: dict[int, int], capacity: int, groups: int, small: float) -> Plan:
+    left = defaultdict(int, counts)
     large = [(s, left[s]) for s in sorted(left, reverse=True) if s > capacity * small]
     kinds: list[tuple[int, dict[int, int]]] = []
     if large:
@@ -127,6 +136,19 @@ def plan_containers(counts: dict[int, int], capacity: int, groups: int = GROUPS,
     return Plan(capacity, _best_fit(kinds, left, capacity))
 
 
+def _again(plan: Plan, most_room: int) -> Plan:
+    """The plan with the items of containers with more than ``most_room`` placed once more by best fit."""
+    kept: list[tuple[int, dict[int, int]]] = []
+    loose: dict[int, int] = defaultdict(int)
+    for n, kind in plan.kinds:
+        if plan.capacity - sum(s * m for s, m in kind.items()) <= most_room:
+            kept.append((n, kind))
+        else:
+            for s, m in kind.items():
+                loose[s] += n * m
+    return Plan(plan.capacity, _best_fit(kept, loose, plan.capacity))
+
+
 def _substitute(wanted: int, filling: np.ndarray, runs: list[list[tuple[int, int]]], left: dict[int, int], kinds: list) -> None:
     """Fill the slots of ``wanted`` containers with actual sizes of their groups, the largest first."""
     slots = [(runs[g], int(m)) for g, m in enumerate(filling) if m]
@@ -205,7 +227,7 @@ def token_counts(rows: DataFrame, key: str, text: str, vocabulary: str) -> DataF
     return spread(wide).mapInArrow(run, f"key {dict(rows.dtypes)[key]}, n_tokens long")
 
 
-def pack(rows: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 2048, vocabulary: str | None = None, groups: int = GROUPS, small: float = SMALL) -> DataFrame:
+def pack(rows: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 2048, vocabulary: str | None = None, groups: int = GROUPS, small: tuple[float, ...] = SMALL) -> DataFrame:
     """``(key, piece, n_tokens, container_id)``: the container of every text, sizes in tokens of ``vocabulary``. ``rows`` is a scan.
 
     A text above the capacity is cut into pieces of ``capacity`` tokens and a rest, numbered from 0; others

@@ -40,6 +40,22 @@ def test_little_room_is_wasted():
     assert packing.plan_containers({}, 64).containers == 0
 
 
+def test_documents_are_packed_as_full_as_by_best_fit_decreasing():
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].drop_null().to_pylist()
+    counts: Counter[int] = Counter()
+    for t in texts:
+        n = tokens.count(t, tokens.default_vocabulary())
+        counts[2048] += n // 2048
+        counts[n % 2048] += 1
+    counts = Counter({s: n for s, n in counts.items() if s and n})
+    plain = packing.Plan(2048, packing._best_fit([], dict(counts), 2048))
+    plan = packing.plan_containers(counts, 2048)
+    least = -(-sum(s * n for s, n in counts.items()) // 2048)
+    assert least <= plan.containers <= plain.containers and plan.unused < 0.004
+
+
 def test_rows(spark):
     rng = random.Random(1)
     texts = [None, "", " ", "word " * 700] + [" ".join(["tree"] * rng.randrange(1, 60)) for _ in range(200)] + ["same text"] * 100
