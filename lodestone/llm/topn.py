@@ -1,63 +1,76 @@
 """Top N items within every group (problem 3).
 
 Partition lower bounds: if a partition holds N rows of a group, its N-th best row bounds the answer
-from below, for the group's N best rows of the whole table cannot be worse. Each partition gives
-one such row per group that it holds N rows of; the best bound of each group is joined back, the
-rows behind it are dropped where they lie, and only the survivors are shuffled and ranked. Of a group
-with a third of all rows about N rows per partition survive, whatever its size.
+from below, for the group's N best rows of the whole table cannot be worse. One pass over the rows keeps, in each
+partition, what its own bounds leave; the best bound of each group is joined to that, drops the rows behind it,
+and only the survivors are ranked. Of a group with a third of all rows at most N rows per partition
+are left before the join, whatever its size, so no key of the join or of the ranking is hot.
 
-The bounds of the ``BOUNDED`` largest groups are broadcast, which limits the broadcast however many groups there are. A
-group outside them holds less than one in ``BOUNDED`` of all rows and is ranked without a bound.
+Every group has a bound if some partition holds N of its rows. The bounds are broadcast while they are few, which is
+counted; more of them are joined by the shuffle that the ranking needs anyway.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.scratch import materialise
+
 #: Rows held before a partition's rows are cut to the best N of each group.
 HELD = 1 << 17
-#: Groups whose bounds are used.
-BOUNDED = 4000
+#: Bounds up to this number are broadcast, some 10 MB.
+BROADCAST = 100_000
+ORDER = ("o1", "o2", "o3")
+
 
+def _cut(held: list[pa.RecordBatch], n: int) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The best ``n`` rows of each group, with their places from 1."""
+    table = pa.Table.from_batches(held).combine_chunks()
+    code = pc.dictionary_encode(table["grp"]).combine_chunks().indices.to_numpy()
+    order = np.lexsort((*(table[c].to_numpy() for c in reversed(ORDER)), code))
+    code = code[order]
+    first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    place = np.arange(len(code)) - np.repeat(first, np.diff(np.r_[first, len(code)])) + 1
+    kept = place <= n
+    return table.take(pa.array(order[kept])).combine_chunks().to_batches()[0], place[kept]
 
-def partition_bounds(rows: DataFrame, n: int) -> DataFrame:
-    """``(grp, bound)``: for the largest groups the best of their partitions' N-th best rows."""
-    order = ["o1", "o2", "o3"]
 
-    def best(held: list[pd.DataFrame]) -> pd.DataFrame:
-        frame = pd.concat(held, ignore_index=True)
-        code = pd.factorize(frame["grp"])[0]
-        frame = frame.take(np.lexsort((frame["o3"], frame["o2"], frame["o1"], code)))
-        return frame[frame.groupby("grp", sort=False).cumcount() < n]
+def local_best(rows: DataFrame, n: int) -> DataFrame:
+    """``rows(grp, o1, o2, o3, ...)`` without those behind the bound of their own partition, and their ``place`` in it."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         size, limit = 0, HELD
-        counts: Counter[str] = Counter()
-        for frame in batches:
-            counts.update(frame["grp"].value_counts().to_dict())
-            held.append(frame)
-            size += len(frame)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.num_rows
             if size >= limit:
-                held = [best(held)]
-                size = len(held[0])
+                held = [_cut(held, n)[0]]
+                size = held[0].num_rows
                 limit = max(HELD, 2 * size)  # many groups: wait until as many rows again have come
         if size:
-            kept = best(held)
-            last = kept[kept.groupby("grp", sort=False).cumcount() == n - 1]
-            yield last.assign(n=last["grp"].map(counts))
+            best, place = _cut(held, n)
+            yield best.append_column("place", pa.array(place.astype(np.int32)))
+
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", place int")
+
 
-    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    local = rows.select("grp", *order).mapInPandas(run, "grp string, " + ", ".join(f"{c} {types[c]}" for c in order) + ", n long")
-    bounds = local.groupBy("grp").agg(F.min(F.struct(*order)).alias("bound"), F.sum("n").alias("n"))
-    return bounds.orderBy(F.col("n").desc(), "grp").limit(BOUNDED).select("grp", "bound")
+def survivors(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` without those behind the best bound of their group; at most ``n`` rows of a group and partition."""
+    local = materialise(local_best(rows, n), "best")
+    bounds = materialise(local.where(F.col("place") == n).groupBy("grp").agg(F.min(F.struct(*ORDER)).alias("bound")), "bounds")
+    few = bounds.count() <= BROADCAST
+    joined = local.join(F.broadcast(bounds) if few else bounds.hint("merge"), "grp", "left")
+    return joined.where(F.col("bound").isNull() | (F.struct(*ORDER) <= F.col("bound"))).drop("bound", "place")
 
 
 def top_n(rows: DataFrame, group: Column, n: int, score: Column, ties: Column, key: Column, *keep: str) -> DataFrame:
@@ -69,7 +82,5 @@ def top_n(rows: DataFrame, group: Column, n: int, score: Column, ties: Column, k
     """
     held = rows.select(group.cast("string").alias("grp"), (-score.cast("double")).alias("o1"), F.coalesce(ties.cast("long"), F.lit(0)).alias("o2"), key.cast("long").alias("o3"), *[F.col(c).alias(f"kept_{c}") for c in keep])
     held = held.where(F.col("grp").isNotNull() & F.col("o1").isNotNull() & ~F.isnan("o1") & F.col("o3").isNotNull())
-    bounds = partition_bounds(held, n)
-    left = held.join(F.broadcast(bounds), "grp", "left").where(F.col("bound").isNull() | (F.struct("o1", "o2", "o3") <= F.col("bound")))
-    rank = F.row_number().over(W.partitionBy("grp").orderBy("o1", "o2", "o3"))
-    return left.withColumn("rank", rank).where(F.col("rank") <= n).select("grp", "rank", *[F.col(f"kept_{c}").alias(c) for c in keep])
+    rank = F.row_number().over(W.partitionBy("grp").orderBy(*ORDER))
+    return survivors(held, n).withColumn("rank", rank).where(F.col("rank") <= n).select("grp", "rank", *[F.col(f"kept_{c}").alias(c) for c in keep])
