@@ -16,7 +16,8 @@ def _chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 
 def p1_similar(spark: SparkSession, d: str) -> DataFrame:
     """The five most similar chunks of every chunk."""
-    return vectors.most_similar(_chunks(spark, d, "embedding"), 5)
+    found = vectors.most_similar(_chunks(spark, d, "embedding"), 5)
+    return found.select("id", "similar_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -102,8 +103,8 @@ QUERIES = {f.__name__: f for f in _ALL}
 _CHUNKS = "c AS (SELECT * FROM chunks WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC NULLS LAST, embedding DESC NULLS LAST) = 1)"
 _NEAR = f"""{_CHUNKS},
 v AS (SELECT id, embedding::DOUBLE[] AS e FROM c WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-p AS (SELECT a.id, b.id AS similar_id, list_cosine_similarity(a.e, b.e) AS score FROM v a JOIN v b ON a.id <> b.id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
-r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, similar_id) AS rank FROM p QUALIFY rank <= 5)"""
+p AS (SELECT a.id, b.id AS similar_id, list_cosine_similarity(a.e, b.e) AS score FROM v a JOIN v b ON a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, similar_id) AS rank FROM p QUALIFY rank <= 5)"""
 _ENDS = " OR ".join(f"ends_with(bare, '{e}')" for e in ATTACHMENTS)
 _TOP = f"""l AS (SELECT * FROM search_results WHERE result_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY result_id ORDER BY loaded_at DESC NULLS LAST, note_slug DESC NULLS LAST) = 1),
 b AS (SELECT *, lower(trim(regexp_replace(regexp_replace(note_slug, '[#|].*$', '', 's'), '^.*/', '', 's'))) AS bare FROM l WHERE score IS NOT NULL AND NOT isnan(score) AND NOT coalesce(lexical, false)),
@@ -127,5 +128,6 @@ SELECT DISTINCT d.k AS doc_id, i.k AS item_id FROM g d JOIN g i USING (g) WHERE
 u AS (SELECT chunk_size FROM pipelines WHERE pipeline_name = 'default')
 SELECT section_id FROM s JOIN pipelines p ON p.pipeline_name = coalesce(s.pipeline_name, 'default') WHERE length(trim(text, chr(32) || chr(9) || chr(13) || chr(10))) > coalesce(p.chunk_size, (SELECT chunk_size FROM u))""",
     "p4_found": f"WITH {_EDITED} SELECT id_a, id_b FROM o JOIN s x ON x.id = id_a JOIN s y ON y.id = id_b WHERE common >= 0.6 * (x.n + y.n - common)",
-    "p1_found": f"WITH {_NEAR} SELECT DISTINCT least(id, similar_id) AS id_a, greatest(id, similar_id) AS id_b FROM r",
+    "p1_found": f"WITH {_NEAR} SELECT DISTINCT least(id, similar_id) AS id_a, greatest(id, similar_id) AS id_b FROM r WHERE score >= 0.9",
+    "p1_similar": f"WITH {_NEAR} SELECT id, similar_id, round(score, 4) AS score, rank FROM r",
 }

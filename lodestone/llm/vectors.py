@@ -10,8 +10,9 @@ exact cosine.
 Vectors of one direction form a class: only its smallest id is hashed, its members get their
 neighbours by the class, so a direction that a third of all rows share costs no more pairs than rows.
 
-That is the search for close pairs, :func:`similar_vectors`. Neighbours however far away, which no hash finds
-dependably, come from :func:`most_similar`: every vector is compared with all, block by block.
+That is the search for close pairs, :func:`similar_vectors`. :func:`most_similar` wants k neighbours however far away: a
+vector that hashing finds k close ones for is done; the others, whose neighbours no hash finds dependably, are queries
+that are compared with all rows, block by block.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ SIGMAS = 4.0
 AXES = 3
 #: Chance to lose a pair at the asked similarity that the number of tables aims at, above two digits.
 MISS = 0.005
+#: Cosine from which hashing is relied on for a vector's nearest ones.
+CLOSE = 0.9
 #: Vectors that are broadcast at a time, and the queries, rows and rows in a group that one product compares.
 BLOCK = 1 << 17
 QUERIES, ROWS, GROUP = 256, 4096, 64
@@ -129,17 +132,26 @@ def most_bits(similarity: float) -> int:
     return math.ceil(BITS * p + SIGMAS * math.sqrt(BITS * p * (1 - p)))
 
 
-def _usable(part: pa.RecordBatch, dim: int) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
-    """The rows whose vectors are usable, their unit vectors and their classes."""
-    vec = part["embedding"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+def _units_of(vec: np.ndarray) -> np.ndarray:
+    return vec / np.linalg.norm(vec, axis=1, keepdims=True)
+
+
+def _usable(part: pa.RecordBatch, dim: int) -> tuple[pa.RecordBatch, np.ndarray, pa.Array, np.ndarray]:
+    """The rows whose vectors are usable, their unit vectors, the vectors themselves as bytes, and their classes.
+
+    Vectors are scaled by a power of two only, so that no square under- or overflows and cosines are those of the vectors given.
+    """
+    raw = part["embedding"].flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    vec = raw.astype(np.float64)
     good = np.isfinite(vec).all(1) & (vec != 0).any(1)
     vec, part = vec[good], part.filter(pa.array(good))
     if not len(vec):
-        return part, vec, np.zeros(0, np.int64)
-    unit = vec / np.abs(vec).max(1, keepdims=True)  # first, so that no square under- or overflows
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        return part, vec, pa.array([], pa.binary()), np.zeros(0, np.int64)
+    vec = np.ldexp(vec, -np.frexp(np.abs(vec).max(1, keepdims=True))[1])
+    kept = pa.array([v.tobytes() for v in vec.astype(raw.dtype)], pa.binary())
+    unit = _units_of(vec)
     grid = np.ascontiguousarray(np.rint(unit * 1e6).astype(np.int32))
-    return part, unit, np.array([xxhash.xxh3_64_intdigest(g) for g in grid], np.uint64).view(np.int64)
+    return part, unit, kept, np.array([xxhash.xxh3_64_intdigest(g) for g in grid], np.uint64).view(np.int64)
 
 
 def _sketches(rows: DataFrame, dim: int, tables: int, probes: int, digits: int) -> DataFrame:
@@ -149,12 +161,11 @@ def _sketches(rows: DataFrame, dim: int, tables: int, probes: int, digits: int)
         sign = signer(dim, tables, probes, digits)
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
-                part, unit, cls = _usable(batch.slice(at, 4096), dim)
+                part, unit, raw, cls = _usable(batch.slice(at, 4096), dim)
                 if not len(unit):
                     continue
                 keys, bits = sign(unit.astype(np.float32))
                 flat = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), pa.array(keys.ravel().view(np.int64)))
-                raw = pa.array([u.tobytes() for u in unit.astype(np.float32)], pa.binary())
                 b = bits.view(np.int64)
                 yield pa.RecordBatch.from_arrays([part["id"], part["rid"], raw, pa.array(cls), flat, pa.array(b[:, 0]), pa.array(b[:, 1])], ["id", "rid", "vec", "class", "keys", "b0", "b1"])
 
@@ -182,13 +193,22 @@ def _classes(base: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, base.join(members.where("id != rep").select("id"), "id", "left_anti")
 
 
-def _cosines(pairs: DataFrame, schema: str, similarity: float) -> DataFrame:
+def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.minimum((a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1)), 1.0)
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """The vectors of a column of bytes, in single or double precision as they were given."""
+    raw = column.to_pylist()
+    return np.frombuffer(b"".join(raw), np.float32 if not raw or len(raw[0]) == 4 * dim else np.float64).reshape(-1, dim)
+
+
+def _cosines(pairs: DataFrame, schema: str, similarity: float, dim: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.float32).reshape(batch.num_rows, -1).astype(np.float64) for c in ("vec_a", "vec_b"))
-            cos = np.minimum((a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1)), 1.0)
+            cos = _cosine(*(_matrix(batch[c], dim).astype(np.float64) for c in ("vec_a", "vec_b")))
             near = cos >= similarity
             yield pa.RecordBatch.from_arrays([batch["id_a"].filter(pa.array(near)), batch["id_b"].filter(pa.array(near)), pa.array(cos[near])], ["id_a", "id_b", "score"])
 
@@ -220,7 +240,7 @@ def similar_vectors(rows: DataFrame, k: int, similarity: float, dim: int = 64, t
     near = pair_rows(split_hot(hashed, n * tables * probes), ["probe"], _close(similarity))
     side = lambda s: stand_ins.select(F.col("rid").alias(s), F.col("id").alias(f"id_{s}"), F.col("vec").alias(f"vec_{s}"))
     joined = near.join(side("a"), "a").join(side("b"), "b").where("id_a != id_b")
-    scored = materialise(_cosines(joined.select("id_a", "id_b", "vec_a", "vec_b"), f"id_a {kind}, id_b {kind}, score double", similarity), "cosines")
+    scored = materialise(_cosines(joined.select("id_a", "id_b", "vec_a", "vec_b"), f"id_a {kind}, id_b {kind}, score double", similarity, dim), "cosines")
     return ranked(scored, members, k)
 
 
@@ -229,17 +249,12 @@ def _units(rows: DataFrame, dim: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part, unit, cls = _usable(batch, dim)
-            raw = pa.array([u.tobytes() for u in unit.astype(np.float32)], pa.binary())
+            part, _, raw, cls = _usable(batch, dim)
             yield pa.RecordBatch.from_arrays([part["id"], raw, pa.array(cls)], ["id", "vec", "class"])
 
     return rows.where(F.size("embedding") == dim).select("id", "embedding").mapInArrow(run, f"id {dict(rows.dtypes)['id']}, vec binary, class long")
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dim)
-
-
 def _contenders(queries: np.ndarray, block: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, row of block) that hold the best of each query's rows and of the scores ``known`` to it, ``len(known)`` in all.
 
@@ -272,18 +287,18 @@ def _nearest(queries: DataFrame, block, k: int, dim: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors = block.value
+        units = _units_of(vectors.astype(np.float64)).astype(np.float32)
         for batch in batches:
             near: list[list] = []
             score: list[list[float]] = []
             for at in range(0, batch.num_rows, QUERIES):
                 part = batch.slice(at, QUERIES)
-                unit, own, before = _matrix(part["vec"], dim), part["id"].to_pylist(), list(zip(part["score"].to_pylist(), part["near"].to_pylist()))
+                asked, own, before = _matrix(part["vec"], dim).astype(np.float64), part["id"].to_pylist(), list(zip(part["score"].to_pylist(), part["near"].to_pylist()))
                 known = np.full((k + 1, len(own)), -2.0)  # one more, as a vector meets itself
                 for i, (s, _) in enumerate(before):
                     known[: len(s), i] = s
-                q, r = _contenders(unit, vectors, known)
-                a, b = unit[q].astype(np.float64), vectors[r].astype(np.float64)
-                cos = np.minimum((a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1)), 1.0)
+                q, r = _contenders(_units_of(asked).astype(np.float32), units, known)
+                cos = _cosine(asked[q], vectors[r].astype(np.float64))
                 order = np.lexsort((r, -cos, q))
                 starts = np.searchsorted(q[order], np.arange(len(own) + 1))
                 for i, x in enumerate(own):
@@ -297,22 +312,25 @@ def _nearest(queries: DataFrame, block, k: int, dim: int) -> DataFrame:
     return queries.mapInArrow(run, queries.schema)
 
 
-def most_similar(rows: DataFrame, k: int, dim: int = 64, id_col: str = "id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
+def most_similar(rows: DataFrame, k: int, dim: int = 64, id_col: str = "id", vector_col: str = "embedding", block: int = BLOCK, close: float = CLOSE) -> DataFrame:
     """``(id, similar_id, score, rank)``: for every usable vector its ``k`` most similar ones, however far away they are.
 
-    Usable vectors, classes and ties as in :func:`similar_vectors`. The result is exact: each class's vector is compared with
-    all others, ``block`` of which are broadcast in each round, so the work grows with the square of their number while
-    memory and disk do not; the best found so far go from round to round.
+    Usable vectors, classes and ties as in :func:`similar_vectors`, which is asked first: a vector with ``k`` neighbours of cosine
+    ``close`` or more has its result from there. Each other class's vector is a query that is compared with all rows, ``block`` of
+    which are broadcast in each round, exactly. So the work grows with the number of vectors that lie alone times that of
+    all, while memory and disk do not; the best found so far go from round to round.
     """
     kind = dict(rows.dtypes)[id_col]
     source = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("embedding")).where(F.col("id").isNotNull())
+    near = materialise(similar_vectors(source, k, close, dim), "close")
+    done = materialise(near.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("id"), "done")
     base = materialise(_units(source, dim), "units")
     members, stand_ins = _classes(base)
     stand_ins = materialise(stand_ins.select("id", "vec"), "directions")
-    settled = members.where((F.col("id") == F.col("rep")) & (F.col("n") > k)).select("id")  # they find all in their class
-    now = stand_ins.join(settled, "id", "left_anti").select("id", "vec", F.array().cast(f"array<{kind}>").alias("near"), F.array().cast("array<double>").alias("score"))
+    # All of a class have as many neighbours, so the one that stands for it decides.
+    now = stand_ins.join(done, "id", "left_anti").select("id", "vec", F.array().cast(f"array<{kind}>").alias("near"), F.array().cast("array<double>").alias("score"))
     now = materialise(now, "nearest")
-    blocks = max(1, math.ceil(stand_ins.count() / block))
+    blocks = max(1, math.ceil(stand_ins.count() / block)) if not now.isEmpty() else 0
     for b in range(blocks):
         table = stand_ins.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()  # about ``block`` rows
         ids = table["id"].to_pylist()
@@ -325,7 +343,8 @@ def most_similar(rows: DataFrame, k: int, dim: int = 64, id_col: str = "id", vec
         discard(now)
         now = after
     found = now.select(F.col("id").alias("id_a"), F.explode(F.arrays_zip("near", "score")).alias("z")).select("id_a", F.col("z.near").alias("id_b"), F.col("z.score").alias("score"))
-    return _ranked(found, members, k)
+    alone = _ranked(found, members, k).join(done, "id", "left_anti")
+    return near.join(done, "id", "left_semi").unionByName(alone)
 
 
 def ranked(scored: DataFrame, members: DataFrame, k: int) -> DataFrame:
@@ -344,7 +363,8 @@ def _ranked(both: DataFrame, members: DataFrame, k: int) -> DataFrame:
     across = across.select(F.coalesce("x", "id_a").alias("id"), F.coalesce("y", "id_b").alias("similar_id"), "score")
     within = members.select("rep", "id").join(few.select("rep", F.col("id").alias("similar_id")), "rep").where("id != similar_id")
     pairs = across.unionByName(within.select("id", "similar_id", F.lit(1.0).alias("score")))
-    best = W.partitionBy("id").orderBy(F.col("score").desc(), "similar_id")
+    # Scores that differ by less than their rounding are equal.
+    best = W.partitionBy("id").orderBy(F.round("score", 9).desc(), "similar_id")
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("id", "similar_id", "score", "rank")
 
 
