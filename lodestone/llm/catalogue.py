@@ -115,6 +115,14 @@ w AS (SELECT id, note_slug, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FR
 g AS (SELECT DISTINCT id, note_slug, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 3),
 s AS (SELECT id, count(*) AS n FROM g GROUP BY id),
 o AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS common FROM g a JOIN g b USING (g) WHERE a.id < b.id AND a.note_slug IS DISTINCT FROM b.note_slug GROUP BY ALL)"""
+_GROUPS = f"""{_EDITED},
+q AS (SELECT id, md5(string_agg(g, '|' ORDER BY g)) AS q FROM g GROUP BY id),
+b AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS common FROM g a JOIN g b USING (g) WHERE a.id < b.id GROUP BY ALL),
+e AS (SELECT id_a, id_b FROM b JOIN s x ON x.id = id_a JOIN s y ON y.id = id_b WHERE common >= 0.6 * (x.n + y.n - common)),
+z AS (SELECT id_a AS id, id_b AS other FROM e UNION ALL SELECT id_b, id_a FROM e),
+r(id, root) AS (SELECT id, id FROM s UNION SELECT z.other, r.root FROM r JOIN z USING (id)),
+l AS (SELECT z.id, count(*) AS n FROM z JOIN q x ON x.id = z.id JOIN q y ON y.id = z.other WHERE x.q <> y.q GROUP BY 1)
+SELECT r.id, min(root) AS group_id, coalesce(any_value(l.n), 0) AS n_links FROM r LEFT JOIN l USING (id) GROUP BY r.id"""
 # A pair is found if either side ranks the other, and cosines are cheap to compare where all are, so
 # the SQL joins everything; the driver's data for it are small.
 SQL = {
@@ -128,6 +136,7 @@ SELECT DISTINCT d.k AS doc_id, i.k AS item_id FROM g d JOIN g i USING (g) WHERE
 u AS (SELECT chunk_size FROM pipelines WHERE pipeline_name = 'default')
 SELECT section_id FROM s JOIN pipelines p ON p.pipeline_name = coalesce(s.pipeline_name, 'default') WHERE length(trim(text, chr(32) || chr(9) || chr(13) || chr(10))) > coalesce(p.chunk_size, (SELECT chunk_size FROM u))""",
     "p4_found": f"WITH {_EDITED} SELECT id_a, id_b FROM o JOIN s x ON x.id = id_a JOIN s y ON y.id = id_b WHERE common >= 0.6 * (x.n + y.n - common)",
+    "p4_groups": f"WITH RECURSIVE {_GROUPS}",
     "p1_found": f"WITH {_NEAR} SELECT DISTINCT least(id, similar_id) AS id_a, greatest(id, similar_id) AS id_b FROM r WHERE score >= 0.9",
     "p1_similar": f"WITH {_NEAR} SELECT id, similar_id, round(score, 4) AS score, rank FROM r",
 }

@@ -10,7 +10,7 @@ the sketch. The generalised pigeonhole gives every record a threshold for each p
 * none - the partition is not probed.
 
 Each choice has a price, the number of rows that would be met (counted over all records in hashed
-slots), and a worth, the logarithm of the chance to miss a pair that is just similar enough.
+slots, less what unrelated rows put into a slot on average), and a worth, the logarithm of the chance to miss a pair that is just similar enough.
 Dynamic programming takes the cheapest choices whose joint chance to miss stays below ``miss``, so
 a record full of common phrases spends its thresholds on its rarer partitions. What the probes find
 is tested on 128 sketch bits inside the task and then on the exact shingle sets.
@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.buckets import offsets, pair_rows, popcount, run_ends, split_hot
 from lodestone.llm.shingles import mix, overlaps, shingle_sets
-from lodestone.scratch import materialise
+from lodestone.scratch import discard, materialise
 
 SEED = 20240811
 SYMBOLS = 4
-#: Slots in which rows are counted; the counts only steer the thresholds, so collisions cost time, not pairs.
-SLOTS = 1 << 19
+#: Least and most slots in which rows are counted, a power of two. The counts only steer the thresholds, so collisions cost time, not pairs.
+LEAST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 21
 BLOCKS = 64
 BITS = 128
 SIGMAS = 4.0
@@ -126,25 +126,32 @@ def _matrix(column: pa.Array, parts: int) -> np.ndarray:
     return column.flatten().to_numpy().reshape(-1, parts)
 
 
-def _slot(keys: np.ndarray, fourth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64(SLOTS - 1)
+def slots_for(n: int) -> int:
+    """Slots for ``n`` counted rows: twice as many as rows, up to a size that can be broadcast."""
+    return min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (2 * n).bit_length()))
+
+
+def _slot(keys: np.ndarray, fourth: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    mask = np.uint64(slots - 1)
     keys = keys.view(np.uint64)
     return (keys & mask).astype(np.int64), (mix(keys + fourth.astype(np.uint64)) & mask).astype(np.int64)
 
 
-def _counts(base: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows met by each slot, for loose and for strict thresholds; 2 * SLOTS numbers whatever the input.
+def _counts(base: DataFrame, parts: int, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows met by each slot, for loose and for strict thresholds, less the mean of all slots: 2 * ``slots`` numbers.
 
-    Every task counts all its rows and passes its counts on in ``BLOCKS`` dense arrays, which are summed by block.
+    Every task counts all its rows and passes its counts on in ``BLOCKS`` dense arrays, which are summed by block. Where
+    slots are shared by many rows, most counts lie about the mean, and what stands out are frequent keys.
     """
-    width = 2 * SLOTS // BLOCKS
+    width = 2 * slots // BLOCKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * SLOTS, np.int64)
+        total = np.zeros(2 * slots, np.int64)
         for batch in batches:
             if batch.num_rows:
-                loose, strict = _slot(_matrix(batch["keys"], parts), _matrix(batch["fourth"], parts))
-                total += np.bincount(np.concatenate([loose.ravel(), strict.ravel() + SLOTS]), minlength=2 * SLOTS)
+                loose, strict = _slot(_matrix(batch["keys"], parts), _matrix(batch["fourth"], parts), slots)
+                which, n = np.unique(np.concatenate([loose.ravel(), strict.ravel() + slots]), return_counts=True)
+                total[which] += n
         yield _blocks({b: part for b, part in enumerate(total.reshape(BLOCKS, width)) if part.any()})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +167,8 @@ def _counts(base: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
     total = np.zeros((BLOCKS, width), np.int32)
     for row in summed.collect():  # BLOCKS rows of fixed size
         total[row["block"]] = np.minimum(np.frombuffer(row["counts"], np.uint32), 1 << 30)
-    return total.ravel()[:SLOTS], total.ravel()[SLOTS:]
+    loose, strict = total.ravel()[:slots], total.ravel()[slots:]
+    return np.maximum(loose - int(loose.mean()), 1), np.maximum(strict - int(strict.mean()), 1)
 
 
 def _blocks(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
@@ -168,9 +176,10 @@ def _blocks(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array(raw, pa.binary())], ["block", "counts"])
 
 
-def _probes(base: DataFrame, parts: int, similarity: float, miss: float) -> DataFrame:
-    """A row for each record and partition; ``size`` holds the set's size and the threshold."""
-    counts = base.sparkSession.sparkContext.broadcast(_counts(base, parts))
+def _probes(base: DataFrame, n: int, parts: int, similarity: float, miss: float) -> DataFrame:
+    """A row for each of the ``n`` records and each partition; ``size`` holds the set's size and the threshold."""
+    slots = slots_for(n * parts)
+    counts = base.sparkSession.sparkContext.broadcast(_counts(base, parts, slots))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loose_n, strict_n = counts.value
@@ -178,7 +187,7 @@ def _probes(base: DataFrame, parts: int, similarity: float, miss: float) -> Data
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 keys, fourth = _matrix(part["keys"], parts), _matrix(part["fourth"], parts)
-                loose, strict = _slot(keys, fourth)
+                loose, strict = _slot(keys, fourth, slots)
                 how = allocate((loose_n[loose] - 1).astype(np.float32), (strict_n[strict] - 1).astype(np.float32), similarity, miss)
                 wide = lambda c: np.repeat(part[c].to_numpy(), parts)
                 size = (wide("n").astype(np.int32) << 2) | how.ravel()
@@ -243,8 +252,8 @@ def similar_classes(rows: DataFrame, size: int = 5, similarity: float = 0.8, par
     copies = base.groupBy("class").agg(F.count("*").alias("many"), F.min("id").alias("rep")).where("many > 1")
     members = materialise(base.select("id", "owner", "class").join(copies, "class").select("rep", "id", "owner", "many"), "members")
     stand_ins = base.join(members.where("id != rep").select("id"), "id", "left_anti")
-    probes = _probes(stand_ins, parts, similarity, miss)
-    met = pair_rows(split_hot(probes, base.count() * parts), [], _met(similarity))
+    n = base.count()
+    met = pair_rows(split_hot(_probes(stand_ins, n, parts, similarity, miss), n * parts), [], _met(similarity))
     side = lambda s: stand_ins.select(F.col("rid").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("id", "owner", "text")])
     joined = met.join(side("a"), "a").join(side("b"), "b").where("id_a != id_b").drop("a", "b")
     pairs = materialise(_verified(joined, size, similarity, kind), "verified")
@@ -304,14 +313,14 @@ def near_duplicates(rows: DataFrame, write_out: int | None = WRITE_OUT, **option
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``(id, root)``: the smallest id that each id of ``edges(a, b)`` is connected to.
 
-    Large-star and small-star rounds on the edge table alone: every node links its larger, then its
-    smaller neighbours to the least one known, which halves distances; each round is written out.
+    Large-star and small-star rounds on the edge table alone, until nothing moves: every node links its larger, then its
+    smaller neighbours to the least one known, which halves distances; each round is written out and the one before deleted.
     """
     now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
-    for _ in range(most_rounds):
+    while True:
         sides = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = sides.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = sides.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
@@ -320,11 +329,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = down.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(root.select("a", F.col("m").alias("b"))).where("a != b").distinct()
         new = materialise(small, "edges")
         moved = new.join(now, ["a", "b"], "left_anti").limit(1).count() or now.join(new, ["a", "b"], "left_anti").limit(1).count()
+        discard(now)
         now = new
         if not moved:
             break
-    else:
-        raise RuntimeError(f"no end after {most_rounds} rounds")
     return now.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
 
 

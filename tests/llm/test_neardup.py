@@ -88,6 +88,24 @@ def test_representative_and_variant_in_one_note(spark):
     assert {x for p in starred if set(p) <= copies for x in p} == copies  # each has a link to another note
 
 
+def test_two_hundred_copies_of_three_owners_in_two_near_classes(spark):
+    words = [f"v{k}" for k in range(60)]
+    rows = [(f"a{k:03}", f"o{k % 3}", " ".join(words), 0.0) for k in range(200)] + [(f"b{k:03}", f"o{k % 3}", " ".join([*words, "end"]), 0.0) for k in range(200)]
+    got = [tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA), write_out=None, size=3, similarity=0.6, owner_col="note_slug").collect()]
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] != b[1]}
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_slots_grow_with_the_rows_and_shared_slots_show_frequent_keys(spark):
+    assert [neardup.slots_for(n) for n in (0, 10, 40_000, 10**6, 10**10)] == [1 << 16, 1 << 16, 1 << 17, 1 << 21, 1 << 21]
+    rng = np.random.default_rng(3)
+    keys = rng.integers(0, 1 << 62, (4000, 1))
+    keys[:300] = 5
+    df = spark.createDataFrame([([int(k[0])], [0]) for k in keys], "keys array<long>, fourth array<int>")
+    loose, _ = neardup._counts(df, 1, 64)
+    assert loose.argmax() == 5 and loose[5] > 250 and np.median(loose) <= 5
+
+
 def test_large_classes_are_joined_by_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SPREAD", 7)
     words = [f"v{k}" for k in range(60)]
