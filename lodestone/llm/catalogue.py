@@ -50,15 +50,31 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicate_groups(_chunks(spark, d, "note_slug", "text"), **EDITED)
 
 
-def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
-    """The pieces of every section above the chunk size that holds for it."""
+def _sections(spark: SparkSession, d: str) -> DataFrame:
+    """The sections with the size and overlap that hold for them."""
     rows = latest(spark.read.parquet(f"{d}/sections.parquet"), "section_id", "loaded_at", "section_id", "note_slug", "heading_path", "pipeline_name", "text")
     pipes = spark.read.parquet(f"{d}/pipelines.parquet").select("pipeline_name", "chunk_size", "chunk_overlap")
     usual = pipes.where("pipeline_name = 'default'").select(F.max("chunk_size").alias("usual_size"), F.max("chunk_overlap").alias("usual_overlap"))
     # One row, as it is an aggregate without groups.
     pipes = pipes.crossJoin(usual).select("pipeline_name", F.coalesce("chunk_size", "usual_size").alias("size"), F.coalesce("chunk_overlap", "usual_overlap").alias("overlap"))
-    rows = rows.withColumn("pipeline_name", F.coalesce("pipeline_name", F.lit("default"))).join(pipes, "pipeline_name")
-    return splitting.split_oversized(rows, "section_id", F.col("text"), F.col("size"), F.col("overlap"), "note_slug", "heading_path")
+    return rows.withColumn("pipeline_name", F.coalesce("pipeline_name", F.lit("default"))).join(pipes, "pipeline_name")
+
+
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of every section above the chunk size that holds for it."""
+    return splitting.split_oversized(_sections(spark, d), "section_id", F.col("text"), F.col("size"), F.col("overlap"), "note_slug", "heading_path")
+
+
+def p5_rejoined(spark: SparkSession, d: str) -> DataFrame:
+    """The split sections put together again from what is new in each piece, by their hash, and how many pieces are too long,
+    out of order, share more than the overlap, or are not the text between their ends."""
+    whole = _sections(spark, d).select("section_id", F.btrim("text", F.lit(splitting.BLANK)).alias("whole"), "size", "overlap")
+    met = p5_pieces(spark, d).join(whole, "section_id")
+    wrong = (F.length("text") > F.col("size")) | (F.col("fresh") - F.col("start") > F.col("overlap")) | (F.substring("whole", F.col("start") + 1, F.col("end") - F.col("start")) != F.col("text"))
+    new = F.struct("piece", "fresh", "end", F.substring("text", F.col("fresh") - F.col("start") + 1, F.col("end") - F.col("fresh")).alias("new"))
+    by = met.groupBy("section_id").agg(F.array_sort(F.collect_list(new)).alias("p"), F.count_if(wrong).alias("n_wrong"))
+    gaps = F.size(F.filter(F.transform("p", lambda x, k: x["piece"] != k), lambda x: x)) + F.when(F.element_at("p", 1)["fresh"] != 0, 1).otherwise(0)
+    return by.select("section_id", F.md5(F.array_join(F.transform("p", lambda x: x["new"]), "")).alias("text_md5"), (F.col("n_wrong") + gaps).alias("n_wrong"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +113,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_levels(spark, d).select("doc_id", "band")
 
 
-_ALL = (p1_found, p1_similar, p3_found, p3_top, p4_found, p4_groups, p5_found, p5_pieces, p6_packing, p7_found, p7_spans, p7_clean, p8_found, p8_levels)
+_ALL = (p1_found, p1_similar, p3_found, p3_top, p4_found, p4_groups, p5_found, p5_pieces, p5_rejoined, p6_packing, p7_found, p7_spans, p7_clean, p8_found, p8_levels)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _CHUNKS = "c AS (SELECT * FROM chunks WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC NULLS LAST, embedding DESC NULLS LAST) = 1)"
@@ -115,6 +131,9 @@ w AS (SELECT id, note_slug, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FR
 g AS (SELECT DISTINCT id, note_slug, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 3),
 s AS (SELECT id, count(*) AS n FROM g GROUP BY id),
 o AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS common FROM g a JOIN g b USING (g) WHERE a.id < b.id AND a.note_slug IS DISTINCT FROM b.note_slug GROUP BY ALL)"""
+_SPLIT = """s AS (SELECT *, trim(text, chr(32) || chr(9) || chr(13) || chr(10)) AS bare FROM sections WHERE section_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY section_id ORDER BY loaded_at DESC NULLS LAST) = 1),
+u AS (SELECT chunk_size FROM pipelines WHERE pipeline_name = 'default'),
+o AS (SELECT section_id, bare FROM s JOIN pipelines p ON p.pipeline_name = coalesce(s.pipeline_name, 'default') WHERE length(bare) > coalesce(p.chunk_size, (SELECT chunk_size FROM u)))"""
 _GROUPS = f"""{_EDITED},
 q AS (SELECT id, md5(string_agg(g, '|' ORDER BY g)) AS q FROM g GROUP BY id),
 b AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS common FROM g a JOIN g b USING (g) WHERE a.id < b.id GROUP BY ALL),
@@ -132,9 +151,8 @@ SQL = {
   UNION ALL SELECT item_id, 'i', regexp_extract_all(lower(regexp_replace(text, '[\\x{00AD}\\x{200B}\\x{200C}\\x{200D}\\x{FEFF}]', '', 'g')), '[a-z0-9]+') FROM eval_items),
 g AS (SELECT DISTINCT k, kind, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM words WHERE len(w) >= 12)
 SELECT DISTINCT d.k AS doc_id, i.k AS item_id FROM g d JOIN g i USING (g) WHERE d.kind = 'd' AND i.kind = 'i'""",
-    "p5_found": """WITH s AS (SELECT * FROM sections WHERE section_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY section_id ORDER BY loaded_at DESC NULLS LAST) = 1),
-u AS (SELECT chunk_size FROM pipelines WHERE pipeline_name = 'default')
-SELECT section_id FROM s JOIN pipelines p ON p.pipeline_name = coalesce(s.pipeline_name, 'default') WHERE length(trim(text, chr(32) || chr(9) || chr(13) || chr(10))) > coalesce(p.chunk_size, (SELECT chunk_size FROM u))""",
+    "p5_found": f"WITH {_SPLIT} SELECT section_id FROM o",
+    "p5_rejoined": f"WITH {_SPLIT} SELECT section_id, md5(bare) AS text_md5, 0::BIGINT AS n_wrong FROM o",
     "p4_found": f"WITH {_EDITED} SELECT id_a, id_b FROM o JOIN s x ON x.id = id_a JOIN s y ON y.id = id_b WHERE common >= 0.6 * (x.n + y.n - common)",
     "p4_groups": f"WITH RECURSIVE {_GROUPS}",
     "p1_found": f"WITH {_NEAR} SELECT DISTINCT least(id, similar_id) AS id_a, greatest(id, similar_id) AS id_b FROM r WHERE score >= 0.9",

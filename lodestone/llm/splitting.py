@@ -14,6 +14,7 @@ import unicodedata
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ _ITEM = re.compile(r"\s*([-*+]|\d{1,9}[.)])\s")
 _SENTENCE = re.compile(r"[.!?…]+[\"'”’)\]*_]*\s+(?![a-z])|[。！？]+[”’」』）]*\s*")
 _CLAUSE = re.compile(r"[,;:]\s+|[，、；：]\s*")
 _SPACE = re.compile(r"\s+")
+#: Texts that are cut before their pieces are passed on.
+ROWS = 256
 #: Strengths, the strongest first.
 HEADING, PARAGRAPH, BLOCK, LINE, SENTENCE, INNER, CLAUSE, SPACE = range(8)
 
@@ -122,7 +125,7 @@ def split_text(text: str | None, limit: int, overlap: int) -> list[tuple[int, in
 
     Null and blank texts have no piece, texts within the limit one. Without the overlaps the pieces make up the
     text. The overlap is as long as asked, or reaches back to the text's start; one of more than half
-    the limit counts as half of it.
+    the limit counts as half of it. Where it would begin within what one reads as a character, it begins behind that.
     """
     text = (text or "").strip(BLANK)
     if not text:
@@ -132,7 +135,14 @@ def split_text(text: str | None, limit: int, overlap: int) -> list[tuple[int, in
     overlap = max(0, min(overlap, limit // 2))
     begins = cuts(text, limit - overlap)
     ends = [*begins[1:], len(text)]
-    return [(max(0, b - overlap), b, e) for b, e in zip(begins, ends)]
+    return [(_overlap_start(text, b, overlap), b, e) for b, e in zip(begins, ends)]
+
+
+def _overlap_start(text: str, fresh: int, overlap: int) -> int:
+    start = max(0, fresh - overlap)
+    while 0 < start < fresh and _joined(text, start):
+        start += 1
+    return start
 
 
 def split_oversized(rows: DataFrame, key: str, text: Column, limit: Column, overlap: Column, *keep: str) -> DataFrame:
@@ -149,13 +159,19 @@ def split_oversized(rows: DataFrame, key: str, text: Column, limit: Column, over
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in range(batch.num_rows):
-                one = batch.slice(r, 1)
-                whole = one["text"][0].as_py()
-                parts = split_text(whole, one["limit"][0].as_py(), one["overlap"][0].as_py())
-                again = pa.array([0] * len(parts), pa.int32())
-                made = [pa.array(range(len(parts)), pa.int32()), *(pa.array([p[i] for p in parts], pa.int32()) for i in range(3)), pa.array([whole[a:e] for a, _, e in parts], pa.string())]
-                yield pa.RecordBatch.from_arrays([one[key].take(again), *made, *(one[f"kept_{c}"].take(again) for c in keep)], names)
+            for at in range(0, batch.num_rows, ROWS):
+                some = batch.slice(at, ROWS)
+                row: list[int] = []
+                made: list[tuple[int, int, int, int]] = []
+                pieces: list[str] = []
+                for r, (whole, most, shared) in enumerate(zip(*(some[c].to_pylist() for c in ("text", "limit", "overlap")))):
+                    for k, (start, fresh, end) in enumerate(split_text(whole, most, shared)):
+                        row.append(r)
+                        made.append((k, start, fresh, end))
+                        pieces.append(whole[start:end])
+                again = pa.array(row, pa.int32())
+                numbers = np.array(made, np.int32).reshape(-1, 4)
+                yield pa.RecordBatch.from_arrays([some[key].take(again), *(pa.array(numbers[:, i]) for i in range(4)), pa.array(pieces, pa.string()), *(some[f"kept_{c}"].take(again) for c in keep)], names)
 
     schema = ", ".join([f"{key} {types[key]}", "piece int, start int, fresh int, end int, text string", *(f"kept_{c} {types[c]}" for c in keep)])
     return wide.mapInArrow(run, schema).select(*names[:6], *[F.col(f"kept_{c}").alias(c) for c in keep])

@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestone.llm.splitting import BLANK, split_oversized, split_text
+from lodestone.llm.splitting import BLANK, _joined, split_oversized, split_text
 
 
 def check(text, limit, overlap):
@@ -14,7 +14,9 @@ def check(text, limit, overlap):
     assert all(0 < e - s <= limit for s, _, e in pieces)
     kept = min(overlap, limit // 2)
     for (s0, _, e0), (s, f, _) in zip(pieces, pieces[1:]):
-        assert e0 == f and f - s == min(kept, f) and s >= s0  # shared with the piece before
+        asked = f - min(kept, f)
+        assert e0 == f and s >= max(s0, asked)  # shared with the piece before
+        assert all(_joined(bare, p) for p in range(asked, s))  # less only where a character would be parted
     return [bare[s:e] for s, _, e in pieces]
 
 
@@ -32,7 +34,8 @@ def test_places():
     code = check("```\n" + "x = 1\n" * 30 + "```", 80, 0)
     assert all(p.startswith(("```", "x = 1")) for p in code)
     assert check("a" * 1000, 100, 10)
-    assert all(not p.startswith("́") for p in check("é" * 500, 51, 0))
+    assert all(not p.startswith("́") for o in (0, 10, 11) for p in check("é" * 500, 51, o))
+    assert all(not p.startswith("\n") for o in (10, 11, 12) for p in check("a\r\n" * 300, 50, o))
 
 
 def test_a_very_long_text_is_quick():
