@@ -131,6 +131,16 @@ w AS (SELECT id, note_slug, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FR
 g AS (SELECT DISTINCT id, note_slug, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 3),
 s AS (SELECT id, count(*) AS n FROM g GROUP BY id),
 o AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS common FROM g a JOIN g b USING (g) WHERE a.id < b.id AND a.note_slug IS DISTINCT FROM b.note_slug GROUP BY ALL)"""
+_BARE = "regexp_replace(text, '[\\x{00AD}\\x{200B}\\x{200C}\\x{200D}\\x{FEFF}]', '', 'g')"
+# Windows of 12 words by their place; those of one document and item that begin at most 12 words apart make up a span.
+_LEAKS = f"""dw AS (SELECT doc_id, {_BARE} AS bare, regexp_extract_all(lower({_BARE}), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
+iw AS (SELECT item_id, regexp_extract_all(lower({_BARE}), '[a-z0-9]+') AS w FROM eval_items WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, unnest(range(0, len(w) - 11)) AS pos, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM dw WHERE len(w) >= 12),
+ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM iw WHERE len(w) >= 12),
+m AS (SELECT DISTINCT doc_id, item_id, pos FROM dg JOIN ig USING (g)),
+mb AS (SELECT *, CASE WHEN pos > lag(pos) OVER (PARTITION BY doc_id, item_id ORDER BY pos) + 12 THEN 1 ELSE 0 END AS new FROM m),
+ms AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, item_id ORDER BY pos) AS span FROM mb),
+sp AS (SELECT doc_id, item_id, min(pos)::INT AS first_word, (max(pos) + 11)::INT AS last_word FROM ms GROUP BY doc_id, item_id, span)"""
 _SPLIT = """s AS (SELECT *, trim(text, chr(32) || chr(9) || chr(13) || chr(10)) AS bare FROM sections WHERE section_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY section_id ORDER BY loaded_at DESC NULLS LAST) = 1),
 u AS (SELECT chunk_size FROM pipelines WHERE pipeline_name = 'default'),
 o AS (SELECT section_id, bare FROM s JOIN pipelines p ON p.pipeline_name = coalesce(s.pipeline_name, 'default') WHERE length(bare) > coalesce(p.chunk_size, (SELECT chunk_size FROM u)))"""
@@ -147,10 +157,16 @@ SELECT r.id, min(root) AS group_id, coalesce(any_value(l.n), 0) AS n_links FROM
 SQL = {
     "p3_found": f"WITH {_TOP} SELECT note_slug, result_id FROM t",
     "p3_top": f"WITH {_TOP} SELECT note_slug, rank, result_id, score, chunk_index FROM t",
-    "p7_found": """WITH words AS (SELECT doc_id AS k, 'd' AS kind, regexp_extract_all(lower(regexp_replace(text, '[\\x{00AD}\\x{200B}\\x{200C}\\x{200D}\\x{FEFF}]', '', 'g')), '[a-z0-9]+') AS w FROM documents
-  UNION ALL SELECT item_id, 'i', regexp_extract_all(lower(regexp_replace(text, '[\\x{00AD}\\x{200B}\\x{200C}\\x{200D}\\x{FEFF}]', '', 'g')), '[a-z0-9]+') FROM eval_items),
-g AS (SELECT DISTINCT k, kind, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM words WHERE len(w) >= 12)
-SELECT DISTINCT d.k AS doc_id, i.k AS item_id FROM g d JOIN g i USING (g) WHERE d.kind = 'd' AND i.kind = 'i'""",
+    "p7_found": f"WITH {_LEAKS} SELECT DISTINCT doc_id, item_id FROM m",
+    "p7_spans": f"WITH {_LEAKS} SELECT doc_id, item_id, first_word, last_word FROM sp",
+    "p7_clean": f"""WITH {_LEAKS},
+gone AS (SELECT DISTINCT doc_id, unnest(range(first_word + 1, last_word + 2)) AS w FROM sp),
+inner_ AS (SELECT DISTINCT doc_id, unnest(range(first_word + 2, last_word + 2)) AS w FROM sp),
+per AS (SELECT doc_id, list(w) AS gone FROM gone GROUP BY 1),
+seps AS (SELECT doc_id, list(w) AS inside FROM inner_ GROUP BY 1),
+t AS (SELECT d.doc_id, d.w, gone, inside, regexp_extract_all(d.bare, '[A-Za-z0-9]+') AS raw, string_split_regex(d.bare, '[A-Za-z0-9]+') AS sep FROM dw d JOIN per USING (doc_id) JOIN seps USING (doc_id)),
+parts AS (SELECT doc_id, len(w) AS n_words, len(gone) AS n_leaked, sep[1] || array_to_string(list_transform(range(1, len(w) + 1), lambda i: (CASE WHEN list_contains(gone, i) THEN '' ELSE raw[i] END) || (CASE WHEN list_contains(inside, i + 1) THEN '' ELSE sep[i + 1] END)), '') AS text FROM t)
+SELECT doc_id, n_words::INT AS n_words, n_leaked::INT AS n_leaked, CASE WHEN n_leaked <= 0.5 * n_words THEN text END AS text FROM parts""",
     "p5_found": f"WITH {_SPLIT} SELECT section_id FROM o",
     "p5_rejoined": f"WITH {_SPLIT} SELECT section_id, md5(bare) AS text_md5, 0::BIGINT AS n_wrong FROM o",
     "p4_found": f"WITH {_EDITED} SELECT id_a, id_b FROM o JOIN s x ON x.id = id_a JOIN s y ON y.id = id_b WHERE common >= 0.6 * (x.n + y.n - common)",

@@ -5,7 +5,7 @@ test vocabulary, hashes every window of n known words in one pass of NumPy, look
 hit word by word, and joins overlapping hits to spans. Documents are neither shuffled nor collected.
 
 The size of the set is checked: items above ``BLOCK_CHARS`` characters in all are searched in several
-blocks, each scan with a set of bounded size.
+blocks, one scan after the other, so that one set of bounded size exists at a time.
 """
 
 from __future__ import annotations
@@ -21,12 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.shingles import WORD
-from lodestone.scratch import spread
+from lodestone.scratch import materialise, spread
 
 # Characters that are removed before words are read.
 INVISIBLE = "­​‌‍﻿"
 _INVISIBLE = re.compile(f"[{INVISIBLE}]")
-BLOCK_CHARS = 16_000_000
+#: Characters of test items in one set, whose n-grams then take some 60 MB.
+BLOCK_CHARS = 4_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,13 +45,16 @@ class NgramSet:
     @classmethod
     def of(cls, texts: list[tuple[int, str | None]], n: int) -> NgramSet:
         vocabulary: dict[str, int] = {}
-        rows, owners = [], []
-        for item, text in texts:
-            words = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
-            for k in range(len(words) - n + 1):
-                rows.append(words[k : k + n])
-                owners.append(item)
-        grams, items = np.array(rows, np.int64).reshape(-1, n), np.array(owners, np.int64)
+        flat: list[int] = []
+        ends: list[int] = []
+        for _, text in texts:
+            flat += [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
+            flat += [0] * n  # no window runs into the next item
+            ends.append(len(flat))
+        words = np.array(flat, np.int32)
+        windows = np.lib.stride_tricks.sliding_window_view(words, n) if len(words) >= n else np.zeros((0, n), np.int32)
+        at = np.flatnonzero((windows != 0).all(1))
+        grams, items = windows[at], np.array([item for item, _ in texts], np.int64)[np.searchsorted(ends, at, "right")]
         order = np.lexsort((items, *grams.T[::-1])) if len(items) else np.zeros(0, int)
         grams, items = grams[order], items[order]
         new = np.r_[True, (grams[1:] != grams[:-1]).any(1)] if len(items) else np.zeros(0, bool)
@@ -97,13 +101,20 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(visible(text).lower()) if text else []
 
 
-def _item_blocks(items: DataFrame, key: str, text: str, n: int) -> Iterator[NgramSet]:
-    held = items.select(F.col(key).cast("long").alias("item"), F.col(text).alias("text")).where("item is not null and text is not null")
-    chars = held.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = chars // BLOCK_CHARS + 1
-    for b in range(blocks):
-        part = held.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b) if blocks > 1 else held
-        yield NgramSet.of(sorted({(r["item"], r["text"]) for r in part.toLocalIterator()}), n)
+def _held_items(items: DataFrame, key: str, text: str) -> DataFrame:
+    return items.select(F.col(key).cast("long").alias("item"), F.col(text).alias("text")).where("item is not null and text is not null")
+
+
+def _block_number(items: DataFrame, key: str, text: str) -> int:
+    chars = _held_items(items, key, text).agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    return chars // BLOCK_CHARS + 1
+
+
+def _item_block(items: DataFrame, key: str, text: str, n: int, block: int, blocks: int) -> NgramSet:
+    """The set of about ``BLOCK_CHARS`` characters of items."""
+    held = _held_items(items, key, text)
+    part = held.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block) if blocks > 1 else held
+    return NgramSet.of(sorted({(r["item"], r["text"]) for r in part.toLocalIterator()}), n)
 
 
 def leaked_spans(docs: DataFrame, items: DataFrame, n: int = 12, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -116,9 +127,11 @@ def leaked_spans(docs: DataFrame, items: DataFrame, n: int = 12, doc_key: str =
     kind = dict(docs.dtypes)[doc_key]
     held = docs.select(F.col(doc_key).alias("key"), F.col(doc_text).alias("text")).where("key is not null and text is not null")
     held = spread(held)
+    sent = []
 
     def scan(grams: NgramSet) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(grams)
+        sent.append(shared)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = shared.value
@@ -131,11 +144,20 @@ def leaked_spans(docs: DataFrame, items: DataFrame, n: int = 12, doc_key: str =
                         flat += [look(w, 0) for w in words_of(text)]
                         flat.append(0)  # no window runs into the next text
                         ends.append(len(flat))
-                    yield _spans(known, np.array(flat, np.int64), np.array(ends), part["key"])
+                    yield _spans(known, np.array(flat, np.int32), np.array(ends), part["key"])
 
         return held.mapInArrow(run, f"{doc_key} {kind}, item_id long, first_word int, last_word int")
 
-    return reduce(DataFrame.unionByName, [scan(g) for g in _item_blocks(items, item_key, item_text, n)])
+    blocks = _block_number(items, item_key, item_text)
+    if blocks == 1:
+        return scan(_item_block(items, item_key, item_text, n, 0, 1))
+    found = []
+    for b in range(blocks):
+        grams = _item_block(items, item_key, item_text, n, b, blocks)
+        if len(grams.hashes):
+            found.append(materialise(scan(grams), "spans"))
+            sent.pop().destroy()
+    return reduce(DataFrame.unionByName, found) if found else scan(NgramSet.of([], n))
 
 
 def _spans(known: NgramSet, words: np.ndarray, ends: np.ndarray, keys: pa.Array) -> pa.RecordBatch:
