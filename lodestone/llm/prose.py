@@ -1,4 +1,4 @@
-"""The prose of a Markdown text, in blocks, with the language of each block."""
+"""The prose of a Markdown text, in blocks."""
 
 from __future__ import annotations
 
@@ -21,21 +21,6 @@ _MARKED = re.compile(r"[!`$<#@\[]|://|www\.")
 _ENCODED = re.compile(r"[A-Za-z0-9+/=_-]{30,}")  # base64, hashes, identifiers
 LETTERS = re.compile(r"[^\W\d_]+")
 
-# Frequent words that tell the languages apart.
-FUNCTION_WORDS = {
-    "en": "the of and to that with for it they is was by on at from which this but not my he she we had have are as be an or you whenever whether although because if",
-    "de": "der die das und ist nicht ein eine einen dem den des mit von auf für wurde wird sich auch nach bei aus wir haben im zu",
-    "fr": "le la les des est une un que pas avec pour nous avons du dans sur et qui au ce il elle été près tant",
-    "es": "el la los las que un una con por se del al está fue cuando para y en es su lo junto otra otro",
-    "it": "il lo gli che di con per una è sono della nel non si dal alla anche",
-    "pt": "os uma com não para do da em que por mais dos foi ao pela",
-    "nl": "het een van en niet dat met voor op zijn ook naar bij wordt aan",
-}
-_OF = {}
-for _lang, _words in FUNCTION_WORDS.items():
-    for _w in _words.split():
-        _OF.setdefault(_w, []).append(_lang)
-
 
 def blocks(text: str) -> list[str]:
     """Paragraphs, lists, quotes and callouts as plain text, one line for each of theirs, without markup.
@@ -98,15 +83,6 @@ def blocks(text: str) -> list[str]:
     return out
 
 
-def language(words: list[str]) -> str:
-    """The language of lower-case words by their function words; empty when they have none."""
-    votes: dict[str, int] = {}
-    for w in words:
-        for lang in _OF.get(w, ()):
-            votes[lang] = votes.get(lang, 0) + 1
-    return max(votes, key=lambda x: (votes[x], x == "en")) if votes else ""
-
-
 def sentences(block: str) -> list[str]:
     """A list item is a sentence at least; other lines run on."""
     joined = block.replace("\n\x00", ".\n").replace("\x00", "").replace("\n", " ")
