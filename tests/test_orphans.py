@@ -96,3 +96,17 @@ def test_empty_tables(spark):
 def test_latest_delivery(spark):
     rows = spark.createDataFrame([(1, "old", day(1), "x"), (1, None, day(2), "y"), (2, "one", None, "x"), (2, "one", None, "x"), (None, "no", day(1), "x")], "id long, v string, loaded timestamp, extra string")
     assert {tuple(r) for r in latest(rows, "id", "loaded", "id", "v").collect()} == {(1, None), (2, "one")}
+
+
+def test_latest_of_a_table_with_few_and_with_many_repeats(spark, tmp_path):
+    rows = [(k, f"v{k}", day(k % 9), "x") for k in range(3000)] + [(k, f"w{k}", day(20 + k % 3), "x") for k in range(0, 3000, 50)] + [(7, "v7", day(7), "x")]
+    df = spark.createDataFrame(rows, "id long, v string, loaded timestamp, row string")
+    df.write.parquet(f"{tmp_path}/t")
+    for table in (df, spark.read.parquet(f"{tmp_path}/t"), spark.read.parquet(f"{tmp_path}/t")):
+        got = {r["id"]: r["v"] for r in latest(table, "id", "loaded", "id", "v").collect()}
+        assert got == {k: f"w{k}" if k % 50 == 0 else f"v{k}" for k in range(3000)}
+        assert latest(table, "id", "loaded", "v", "id", "row").columns == ["v", "id", "row"] and latest(table, "id", "loaded", "id").count() == 3000
+    df.limit(10).write.mode("overwrite").parquet(f"{tmp_path}/t")  # other files: nothing known holds
+    assert latest(spark.read.parquet(f"{tmp_path}/t"), "id", "loaded", "id").count() == 10
+    every = df.unionByName(df.withColumn("v", F.upper("v")))
+    assert latest(every, "id", "loaded", "id", "v").count() == 3000
