@@ -11,7 +11,7 @@ from lodestone.operators.records import latest
 
 
 def _chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    return latest(spark.read.parquet(f"{d}/chunks.parquet"), "id", "ingested_at", "id", *columns)
+    return latest(spark.read.parquet(f"{d}/chunks.parquet"), "id", "ingested_at", "id", *columns, costly=True)
 
 
 def p1_similar(spark: SparkSession, d: str) -> DataFrame:
@@ -52,7 +52,7 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def _sections(spark: SparkSession, d: str) -> DataFrame:
     """The sections with the size and overlap that hold for them."""
-    rows = latest(spark.read.parquet(f"{d}/sections.parquet"), "section_id", "loaded_at", "section_id", "note_slug", "heading_path", "pipeline_name", "text")
+    rows = latest(spark.read.parquet(f"{d}/sections.parquet"), "section_id", "loaded_at", "section_id", "note_slug", "heading_path", "pipeline_name", "text", costly=True)
     pipes = spark.read.parquet(f"{d}/pipelines.parquet").select("pipeline_name", "chunk_size", "chunk_overlap")
     usual = pipes.where("pipeline_name = 'default'").select(F.max("chunk_size").alias("usual_size"), F.max("chunk_overlap").alias("usual_overlap"))
     # One row, as it is an aggregate without groups.

@@ -45,6 +45,7 @@ WRITE_OUT = 64
 #: Records of a class that one key of a join over its members holds.
 SPREAD = 1024
 NONE, STRICT, LOOSE = 0, 1, 2
+_COUNTS = (2 ** (np.arange(256) / 8)).astype(np.float32)
 
 
 def sketch(code: np.ndarray, bounds: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,8 +128,8 @@ def _matrix(column: pa.Array, parts: int) -> np.ndarray:
 
 
 def slots_for(n: int) -> int:
-    """Slots for ``n`` counted rows: twice as many as rows, up to a size that can be broadcast."""
-    return min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (2 * n).bit_length()))
+    """Slots for ``n`` counted rows: one for some twelve, up to a size that can be broadcast."""
+    return min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (n // 16).bit_length()))
 
 
 def _slot(keys: np.ndarray, fourth: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +139,7 @@ def _slot(keys: np.ndarray, fourth: np.ndarray, slots: int) -> tuple[np.ndarray,
 
 
 def _counts(base: DataFrame, parts: int, slots: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows met by each slot, for loose and for strict thresholds, less the mean of all slots: 2 * ``slots`` numbers.
+    """Rows met by each slot, for loose and for strict thresholds, less the mean of all slots: 2 * ``slots`` bytes.
 
     Every task counts all its rows and passes its counts on in ``BLOCKS`` dense arrays, which are summed by block. Where
     slots are shared by many rows, most counts lie about the mean, and what stands out are frequent keys.
@@ -167,8 +168,12 @@ def _counts(base: DataFrame, parts: int, slots: int) -> tuple[np.ndarray, np.nda
     total = np.zeros((BLOCKS, width), np.int32)
     for row in summed.collect():  # BLOCKS rows of fixed size
         total[row["block"]] = np.minimum(np.frombuffer(row["counts"], np.uint32), 1 << 30)
-    loose, strict = total.ravel()[:slots], total.ravel()[slots:]
-    return np.maximum(loose - int(loose.mean()), 1), np.maximum(strict - int(strict.mean()), 1)
+    return tuple(_steps(np.maximum(c - int(c.mean()), 1)) for c in (total.ravel()[:slots], total.ravel()[slots:]))
+
+
+def _steps(counts: np.ndarray) -> np.ndarray:
+    """Counts in a byte, as steps of an eighth of a power of two; see ``_COUNTS`` for what a step stands for."""
+    return np.rint(8 * np.log2(counts)).astype(np.uint8)
 
 
 def _blocks(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
@@ -188,7 +193,7 @@ def _probes(base: DataFrame, n: int, parts: int, similarity: float, miss: float)
                 part = batch.slice(at, 4096)
                 keys, fourth = _matrix(part["keys"], parts), _matrix(part["fourth"], parts)
                 loose, strict = _slot(keys, fourth, slots)
-                how = allocate((loose_n[loose] - 1).astype(np.float32), (strict_n[strict] - 1).astype(np.float32), similarity, miss)
+                how = allocate(_COUNTS[loose_n[loose]] - 1, _COUNTS[strict_n[strict]] - 1, similarity, miss)
                 wide = lambda c: np.repeat(part[c].to_numpy(), parts)
                 size = (wide("n").astype(np.int32) << 2) | how.ravel()
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(wide("rid")), pa.array(wide("b0")), pa.array(wide("b1")), pa.array(fourth.ravel()), pa.array(size.astype(np.int32))], ["key", "rid", "b0", "b1", "fourth", "size"])
