@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.names import ATTACHMENTS, note_names
 from lodestone.operators.orphans import OrphanState, advance, orphan_counts, parent_events
 from lodestone.operators.records import latest
+from lodestone.scratch import materialise
 
 
 def references(spark: SparkSession, d: str) -> DataFrame:
@@ -15,7 +16,7 @@ def references(spark: SparkSession, d: str) -> DataFrame:
     batches = latest(spark.read.parquet(f"{d}/ingest_batches.parquet"), "batch_id", "loaded_at", "batch_id", "loaded_at", "run_at", "links")
     results = latest(spark.read.parquet(f"{d}/search_results.parquet"), "result_id", "loaded_at", "result_id", "loaded_at", "run_at", "note_slug")
     at = F.coalesce("run_at", "loaded_at").alias("at")
-    named = lambda rows, table, ref, raws: rows.select(F.lit(table).alias("ref_table"), F.col(ref).alias("ref_id"), F.explode(note_names(raws)).alias("key"), at)
+    named = lambda rows, table, ref, raws: rows.select(F.lit(table).alias("ref_table"), F.col(ref).alias("ref_id"), F.explode(F.array_distinct(note_names(raws))).alias("key"), at)
     return named(batches, "ingest_batches", "batch_id", F.col("links")).unionByName(named(results, "search_results", "result_id", F.array("note_slug")))
 
 
@@ -24,16 +25,32 @@ def note_events(spark: SparkSession, d: str) -> DataFrame:
     return parent_events(notes, F.col("note_slug"), F.col("indexed_at"), F.col("deleted_at"))
 
 
+def _tracked(spark: SparkSession, d: str) -> OrphanState:
+    """The state after a step for each year of references, to which the notes' events of that time belong; the first and last
+    step take the events before and after."""
+    refs = references(spark, d).where("key is not null and at is not null").withColumn("year", F.year("at"))
+    refs = materialise(refs, "refs", "year")
+    events = note_events(spark, d)
+    years = sorted(r[0] for r in refs.select("year").distinct().collect())
+    state = OrphanState.empty(spark)
+    if not years:
+        return advance(state, refs, events, stored=True)
+    for k, year in enumerate(years):
+        inside = F.lit(True)
+        inside = inside & (F.year("at") >= year) if k else inside
+        inside = inside & (F.year("at") < years[k + 1]) if k + 1 < len(years) else inside
+        state = advance(state, refs.where(F.col("year") == year), events.where(inside), stored=True)
+    return state
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    state = advance(OrphanState.empty(spark), references(spark, d), note_events(spark, d))
-    return state.orphans.select("ref_table", "ref_id", F.col("key").alias("target_slug"))
+    return _tracked(spark, d).verdicts.select("ref_table", "ref_id", F.col("key").alias("target_slug"))
 
 
 def p2_counts(spark: SparkSession, d: str) -> DataFrame:
     """New orphan references per table and month, and how many of all so far wait at its end."""
-    empty, events = OrphanState.empty(spark), note_events(spark, d)
-    state = advance(empty, references(spark, d), events)
-    counts = orphan_counts(state.orphans, empty.live, events)
+    state = _tracked(spark, d)
+    counts = orphan_counts(state.verdicts, OrphanState.empty(spark).live, state.all_events)
     return counts.select("ref_table", F.date_format("period", "yyyy-MM").alias("month"), "n_orphans", "n_open")
 
 

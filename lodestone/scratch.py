@@ -25,11 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def materialise(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` to the shared folder and return the table read back, rows and columns unchanged."""
+def materialise(df: DataFrame, name: str = "table", *by: str) -> DataFrame:
+    """Write ``df`` to the shared folder, in folders ``by`` columns if given, and return the table read back, rows and columns unchanged."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,27 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from lodestone.operators.orphans import OrphanState, advance
-from lodestone.scratch import materialise
+from lodestone.operators.orphans import OrphanState, advance, compacted
+
+#: Steps after which the logs of the state are put together.
+COMPACT = 8
 
 
 class OrphanTracker:
-    """Holds the state as three tables in the shared folder and replaces them with each step.
+    """Holds the state and takes it further with each step, whose references and events may come late or again.
 
-    Steps must follow one another in the time of their events; references may load late. ``counts`` gives the snapshot after a step.
+    Every ``compact`` steps the tables of the state are put together and the old ones deleted. ``counts`` gives the snapshot after a step.
     """
 
-    def __init__(self, state: OrphanState, period: str = "month"):
-        self.state, self.period = state, period
+    def __init__(self, state: OrphanState, period: str = "month", compact: int = COMPACT):
+        self.state, self.period, self.compact = state, period, compact
 
     def step(self, refs: DataFrame, events: DataFrame) -> OrphanState:
-        new = advance(self.state, refs, events, self.period)
-        self.state = OrphanState(materialise(new.live, "live"), materialise(new.orphans, "orphans"), materialise(new.events, "events"))
+        self.state = advance(self.state, refs, events, self.period)
+        if self.state.version % self.compact == 0:
+            self.state = compacted(self.state)
         return self.state
 
     def counts(self) -> DataFrame:
         """``(ref_table, n_orphans, n_open)`` of all references so far."""
-        from pyspark.sql import functions as F
-
         return self.state.orphans.groupBy("ref_table").agg(F.count("*").alias("n_orphans"), F.count_if("is_open").alias("n_open"))

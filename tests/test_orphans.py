@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -77,6 +78,39 @@ def test_references_that_load_late(spark):
     assert tracker.state.orphans.count() == 3
 
 
+def test_parents_and_ends_that_load_late(spark):
+    parents = [("a", day(1), None), ("b", day(2), day(8)), ("c", day(1), None), ("d", day(4), day(6))]
+    refs = [("t", 1, "a", day(5)), ("t", 2, "b", day(9)), ("t", 3, "b", day(3)), ("t", 4, "c", day(5)), ("t", 5, "d", day(5)), ("t", 6, "d", day(7)), ("t", 7, "x", day(5))]
+    events, rows = made(spark, parents, refs)
+    for order in ([("c",), ("a", "b", "d")], [("a", "b", "c", "d"), ()], [("d", "b"), ("b", "a"), ("c",)]):
+        tracker = OrphanTracker(OrphanState.empty(spark), compact=2)
+        tracker.step(rows, events.limit(0))
+        assert len(keys(tracker.state.orphans)) == 7  # no parent yet
+        for some in order:
+            tracker.step(rows.where("ref_id in (1, 6)"), events.where(F.col("key").isin(*some)))  # references again
+        assert keys(tracker.state.orphans) == brute(parents, refs) == {("t", 2, "b"), ("t", 6, "d"), ("t", 7, "x")}
+        assert tracker.state.orphans.count() == 3 and tracker.state.verdicts.count() == 3
+    tracker = OrphanTracker(OrphanState.empty(spark))
+    begins, ends = events.where("step > 0"), events.where("step < 0")
+    tracker.step(rows, begins)
+    assert keys(tracker.state.orphans) == {("t", 7, "x")}
+    tracker.step(rows.limit(0), ends)  # ends of parents that had been found
+    tracker.step(rows.limit(0), ends)
+    assert keys(tracker.state.orphans) == brute(parents, refs)
+    assert {r["ref_id"]: r["is_open"] for r in tracker.state.orphans.collect()} == {2: True, 6: True, 7: True}
+
+
+def test_the_tables_of_old_states_are_deleted(spark):
+    events, rows = made(spark, [("a", day(1), None)], [("t", 1, "b", day(2))])
+    tracker = OrphanTracker(OrphanState.empty(spark), compact=3)
+    for _ in range(2):
+        tracker.step(rows, events)
+    old = [f for t in (*tracker.state.refs, *tracker.state.found, *tracker.state.events) for f in t.inputFiles()]
+    tracker.step(rows, events)
+    assert len(tracker.state.refs) == 1 and keys(tracker.state.orphans) == {("t", 1, "b")}
+    assert old and not any(Path(f.removeprefix("file://")).exists() for f in old)
+
+
 def test_counts_reopen(spark):
     parents = [("a", day(40), day(70))]
     refs = [("t", 1, "a", day(3)), ("t", 2, "a", day(50)), ("t", 3, "x", day(45))]
