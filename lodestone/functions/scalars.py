@@ -5,9 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Extensions of files that are attachments, not notes.
-IMAGES = "png jpg jpeg gif svg webp bmp tiff tif ico avif heic".split()
-OTHER_FILES = "mp3 wav ogg m4a flac mp4 mov avi mkv webm canvas excalidraw zip tar gz docx xlsx pptx csv json html".split()
+# Extensions of files that are attachments, not notes; first those of images.
+IMAGES = [
+    "png",
+    "jpg",
+    "jpeg",
+    "gif",
+    "svg",
+    "webp",
+    "avif",
+    "bmp",
+    "tiff",
+    "ico",
+    "heic",
+]
+OTHER_FILES = [
+    "mp4",
+    "webm",
+    "mov",
+    "mkv",
+    "avi",
+    "mp3",
+    "wav",
+    "ogg",
+    "flac",
+    "m4a",
+    "aac",
+    "canvas",
+    "excalidraw",
+    "zip",
+    "gz",
+    "tar",
+    "7z",
+    "rar",
+    "docx",
+    "pptx",
+    "xlsx",
+    "epub",
+]
 # The version of the chunk layout and the length from which a title may be cut off a heading.
 SCHEMA_VERSION = 5
 LEAST_TITLE = 12
@@ -63,7 +98,8 @@ def estimated_tokens(c: Column) -> Column:
 
 
 def is_code_only(c: Column) -> Column:
-    return c.rlike(r"^(?s)\s*```.*```\s*\z")
+    """Whether a chunk's plain text is nothing but what stands for blocks of code: ``[code]`` or ``[code:language]``."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "").rlike(r"^(\[code(:[^\]]+)?\]\s*)+$")
 
 
 def word_count(c: Column) -> Column:

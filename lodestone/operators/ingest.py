@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.functions.scalars import embed_text, slugify, title_from_path, word_count
+from lodestone.functions.scalars import embed_text, is_code_only, slugify, title_from_path, word_count
 from lodestone.functions.scalars import SCHEMA_VERSION
 from lodestone.operators.tags import MOST_TAGS
 from lodestone.sources import markdown, vault
@@ -89,21 +89,20 @@ def stale(known: DataFrame, files: DataFrame, keep_pdf: bool = True, scope: str
 
 
 def pack_pages(pages: Sequence[str], tokens: int) -> list[str]:
-    """Pages joined while they fit into four characters a token; a longer page is cut at that length."""
+    """Pages joined while they fit into four characters a token; a longer page is cut at that length, and shares no part with others."""
     room = 4 * tokens
     out: list[str] = []
-    held = ""
+    open_part = False
     for page in pages:
-        joined = held + PAGE_BREAK + page if held else page
-        if len(joined) <= room:
-            held = joined
-            continue
-        if held:
-            out.append(held)
-        whole = len(page) // room * room if len(page) > room else 0
-        out += [page[k : k + room] for k in range(0, whole, room)]
-        held = page[whole:]
-    return [*out, held] if held else out
+        if len(page) > room:
+            out += [page[k : k + room] for k in range(0, len(page), room)]
+            open_part = False
+        elif open_part and len(out[-1]) + len(PAGE_BREAK) + len(page) <= room:
+            out[-1] += PAGE_BREAK + page
+        elif page:
+            out.append(page)
+            open_part = True
+    return out
 
 
 PARSED = "file_path string, note_slug string, title string, file_type string, content_hash string, position int, heading_path string, heading_level int, has_task boolean, has_code boolean, tags array<string>, text string, plain string, links array<string>, error string"
@@ -150,8 +149,9 @@ def parsed(files: DataFrame, settings: Settings, pages: Callable[[bytes], list[s
 
 
 def numbered(rows: DataFrame, settings: Settings) -> DataFrame:
-    """Chunks of enough words (and not of code marks alone), numbered anew within their note."""
-    enough = rows.where(F.col("error").isNull() & (word_count(F.col("text")) >= settings.min_words))
+    """Chunks of enough words, numbered anew within their note. One whose text is empty has its plain one, unless that is marks of code alone."""
+    shown = F.when(F.col("text") != "", F.col("text")).when(~is_code_only(F.col("plain")), F.col("plain"))
+    enough = rows.where(F.col("error").isNull()).withColumn("text", shown).where(F.col("text").isNotNull() & (word_count(F.col("text")) >= settings.min_words))
     index = (F.row_number().over(W.partitionBy("note_slug").orderBy("file_path", "position")) - 1).cast("int")
     return enough.withColumn("chunk_index", index).withColumn("id", F.concat_ws(":", "note_slug", F.col("chunk_index").cast("string")))
 
@@ -221,7 +221,7 @@ class Ingest:
     def _write(self, scanned: int, rows: DataFrame, gone: DataFrame | None) -> Report:
         from lodestone.scratch import materialise
 
-        ready = numbered(rows, self.settings).withColumn("embed", embed_text(F.col("title"), F.col("heading_path"), F.col("tags"), F.col("plain"), self.settings.max_tokens))
+        ready = numbered(rows, self.settings).withColumn("embed", embed_text(F.col("title"), F.col("heading_path"), F.col("tags"), F.when(is_code_only(F.col("plain")), F.col("text")).otherwise(F.col("plain")), self.settings.max_tokens))
         new = materialise(embedded(ready.drop("error"), "embed", self.embedder), "chunks")
         links = new.where("chunk_index = 0").select(F.col("note_slug").alias("source_slug"), F.explode("links").alias("raw"))
         written = new.select("note_slug").distinct().count()

@@ -40,7 +40,7 @@ def replace_by_key(spark: SparkSession, d: str) -> DataFrame:
 
 def chunk_filter(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of ten words or more, numbered anew within their note."""
-    rows = chunks(spark, d, "note_slug", "chunk_index", "file_path", "text").withColumn("position", F.col("chunk_index")).withColumn("error", F.lit(None).cast("string"))
+    rows = chunks(spark, d, "note_slug", "chunk_index", "file_path", "text").withColumn("plain", F.col("text")).withColumn("position", F.col("chunk_index")).withColumn("error", F.lit(None).cast("string"))
     return ingest.numbered(rows.withColumnRenamed("id", "old_id").drop("chunk_index"), SETTINGS).select("old_id", "id", "chunk_index")
 
 

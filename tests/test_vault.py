@@ -58,7 +58,7 @@ def test_blocks(body, plain, rich):
 
 
 def test_note_parts():
-    note = markdown.parse('---\ntitle: "T"\ntags: a, #b\n---\n# H\ntext #C [[X|y]] ![[p.png]] `#no`\n\n#only #tags\n\n## Sub\n- [ ] task\n```\n# not a heading [[no]]\n```\n', 500, 0)
+    note = markdown.parse('---\ntitle: "T"\ntags: "a, #b"\n---\n# H\ntext #C [[X|y]] ![[p.png]] `#no`\n\n#only #tags\n\n## Sub\n- [ ] task\n```\n# not a heading [[no]]\n```\n', 500, 0)
     assert (note.tags, note.links, note.front["title"]) == (["a", "b", "c", "only", "tags"], ["X"], "T")
     assert [(c.heading_path, c.heading_level, c.has_task, c.has_code) for c in note.chunks] == [("H", 1, False, False), ("H > Sub", 2, True, True)]
     assert markdown.parse("", 100, 0).chunks == [] and markdown.parse("# only a heading", 100, 0).chunks == []
@@ -73,17 +73,48 @@ def test_parser_takes_anything(text, size):
         assert c.rich
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(alphabet="abc. \n", min_size=1, max_size=500), st.integers(10, 60))
-def test_pieces_are_lossless(text, limit):
-    pieces = markdown._pieces(text, limit)
-    assert "".join(pieces) == text and all(len(p) <= limit for p in pieces)
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="abc. \n", min_size=1, max_size=500), st.integers(10, 60), st.integers(0, 4))
+def test_cuts_are_lossless(text, limit, overlap):
+    pieces = list(markdown._cut(text, limit, overlap))
+    assert "".join("".join(p for p, _ in pieces).split()) == "".join(text.split())
+    assert all(len(p) <= limit + 1 and e.endswith(p) for p, e in pieces)  # a full stop at the very end is taken along
+
+
+def test_headings_notes_and_what_makes_no_block():
+    note = markdown.parse("Title\n=====\n\nbody\n\nSub *x*\n---\ntwo http://a.b/c. and $E=mc^2$ foot[^n], [^none].\n\n[^n]: Note with **bold**.\n\n```mermaid\ngraph;\n```\n", 800, 0)
+    assert [(c.heading_path, c.heading_level, c.plain) for c in note.chunks] == [("Title", 1, "body"), ("Title > Sub x", 2, "two http://a.b/c. and $E=mc^2$ foot, [^none].\n\n[code:mermaid]\n\nNote with bold.")]
+    assert note.chunks[1].rich.endswith("```mermaid\ngraph;\n```\n\nNote with **bold**.") and note.chunks[1].has_code
+    note = markdown.parse("one\n\n    indented\n\n<div>\nx\n</div>\n\n<!-- a\n\nb -->\n***\n[r]: http://u\n\nsee [r] and <b>bold</b>", 800, 0)
+    assert [(c.plain, c.rich) for c in note.chunks] == [("one see r and bold", "one see [r](http://u) and bold")]
+    assert markdown.parse("[[A#b|c]] [[#here]] ![[d.epub]] [[e.7z]] [[f.json]]", 800, 0).links == ["A", "f.json"]
+    assert markdown.parse("# a #x\n\n[l](#not) `#no` \\#no #1 #y/z", 800, 0).tags == ["x", "y/z"]
+
+
+def test_front_matter():
+    front, rest = markdown.front_matter("---\ntitle: >\n  Folded\n  title\nmeta:\n  tags: [x]\ntag: p q\n---\nbody")
+    assert front["title"] == "Folded title\n" and rest == "body" and markdown.front_tags(front) == ["p", "q"]
+    assert markdown.front_tags({"tags": ["#a", 3, "", "b"]}) == ["a", "b"] and markdown.front_tags({"tags": None, "tag": "x"}) == []
+    assert markdown.front_matter("---\n- a\n---\nx") == ({}, "x") and markdown.front_matter("---\na: [\n---\nx") == ({}, "x")
+    assert markdown.front_matter("text\n---\n") == ({}, "text\n---\n")
+    assert markdown._lines_of('title: "T"\ntags:\n - a\n - b\nx: [c, d]') == {"title": "T", "tags": ["a", "b"], "x": ["c", "d"]}
+
+
+def test_long_sections_are_not_cut_within_a_mark():
+    text = "Some words before it [a long link text with words](http://example.com/address) and then more words after it, on and on and on."
+    note = markdown.parse(text, 60, 20)
+    assert len(note.chunks) > 1 and any("[a long link text with words](http://example.com/address)" in c.rich for c in note.chunks)
+    assert note.chunks[1].embed != note.chunks[1].plain and note.chunks[1].embed.endswith(note.chunks[1].plain)
+    code = markdown.parse("word " * 30 + "\n\n```py\n" + "x = 1\n" * 40 + "```\n\n" + "tail " * 30, 100, 0)
+    assert sum(c.has_code for c in code.chunks) == 1 and [c.rich.count("x = 1") for c in code.chunks if c.has_code] == [40]
 
 
 def test_pages():
     pages = ["a" * 20, "b" * 15, "c" * 10, "d" * 45]
     packed = ingest.pack_pages(pages, 10)
     assert packed == ["a" * 20, "b" * 15 + ingest.PAGE_BREAK + "c" * 10, "d" * 40, "d" * 5]
+    assert [len(p) for p in ingest.pack_pages(["x" * 45, "y" * 10], 10)] == [40, 5, 10]  # the rest of a page stays alone
+    assert [len(p) for p in ingest.pack_pages(["x" * 10, "", "y" * 10], 10)] == [34]
     assert ingest.pack_pages([], 10) == []
     assert ingest.retry_delays(404, None) == [] and ingest.retry_delays(429, 5) == [5] * 3 and ingest.retry_delays(None, None) == [2, 4, 8]
 
