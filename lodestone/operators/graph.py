@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.scalars import basename, is_attachment, slugify, title_from_path, without_anchor
@@ -44,20 +43,43 @@ def resolve_links(raw: DataFrame, aliases: DataFrame, skip_attachments: bool = T
     return first.select("source_slug", "target_slug", "target_path", F.col("target_path").alias("display_text"))
 
 
-def canonical_edges(links: DataFrame, aliases: DataFrame, skip_attachments: bool = True) -> DataFrame:
-    """``(source, target, display_text)`` with both ends as note names where they have one."""
-    rows = links.where(~is_attachment(F.col("target_path"))) if skip_attachments else links
-    rows = _alias(rows, aliases, F.col("source_slug"), "s")
-    rows = _alias(rows, aliases, F.col("target_slug"), "t1")
+def _kept(links: DataFrame, skip_attachments: bool) -> DataFrame:
+    return links.where(~is_attachment(F.col("target_path"))) if skip_attachments else links
+
+
+def candidates(aliases: DataFrame) -> DataFrame:
+    """``(key, note_slug)``: the target names by which edges into each note are found; a slugified name may belong to another note too."""
+    both = aliases.select("key", "note_slug").unionByName(aliases.select(slugify(F.col("key")).alias("key"), "note_slug"))
+    return both.where("key <> ''").distinct()
+
+
+def outgoing(links: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``(a, b)``: the source of each link and what it leads to, a note if its target or else its text names one."""
+    rows = _alias(links, aliases, F.col("target_slug"), "t1")
     rows = _alias(rows, aliases, F.col("target_path"), "t2")
-    return rows.select(F.coalesce("s", "source_slug").alias("source"), F.coalesce("t1", "t2", "target_slug").alias("target"), "display_text")
+    return rows.select(F.col("source_slug").alias("a"), F.coalesce("t1", "t2", "target_slug").alias("b"))
+
+
+def incoming(links: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``(a, b)``: each note or phantom that a link's target or text may mean, and the note that the link is in."""
+    names = links.select(F.explode(F.array_distinct(F.array("target_slug", "target_path"))).alias("key"), "source_slug")
+    met = names.join(candidates(aliases), "key", "left")
+    each = met.select(F.explode(F.array_distinct(F.array_compact(F.array("key", "note_slug")))).alias("a"), "source_slug")
+    return _alias(each, aliases, F.col("source_slug"), "s").select("a", F.coalesce("s", "source_slug").alias("b")).distinct()
 
 
 def candidate_keys(aliases: DataFrame, slug: str) -> DataFrame:
-    """``(key)``: the target names by which edges into a note are found; a slugified name may belong to another note too."""
-    mine = aliases.where(F.col("note_slug") == slug).select("key")
-    both = mine.unionByName(mine.select(slugify(F.col("key")).alias("key")))
-    return both.unionByName(both.sparkSession.range(1).select(F.lit(slug).alias("key"))).where("key <> ''").distinct()
+    """``(key)``: the names by which edges into one note or phantom are found."""
+    mine = candidates(aliases.where(F.col("note_slug") == slug)).select("key")
+    return mine.unionByName(mine.sparkSession.range(1).select(F.lit(slug).alias("key"))).where("key <> ''").distinct()
+
+
+def _links_into(links: DataFrame, aliases: DataFrame, slug: str) -> DataFrame:
+    """The links whose target or text means a note. Two semi-joins, as a join on either of two columns would compare all with all."""
+    keys = candidate_keys(aliases, slug)
+    by_slug = links.join(keys.withColumnRenamed("key", "target_slug"), "target_slug", "left_semi")
+    by_path = links.join(keys.withColumnRenamed("key", "target_path"), "target_path", "left_semi")
+    return by_slug.unionByName(by_path.select(by_slug.columns))
 
 
 def _headed(rows: DataFrame, notes: DataFrame) -> DataFrame:
@@ -69,21 +91,20 @@ def _headed(rows: DataFrame, notes: DataFrame) -> DataFrame:
 
 def backlinks(links: DataFrame, aliases: DataFrame, notes: DataFrame, slug: str, skip_attachments: bool = True) -> DataFrame:
     """The notes that link to a note, by title, with the first link's text; score 1."""
-    keys = candidate_keys(aliases, slug)
-    rows = links.where(~is_attachment(F.col("target_path"))) if skip_attachments else links
-    # Two semi-joins, as a join on either of two columns would compare all with all.
-    by_slug = rows.join(keys.withColumnRenamed("key", "target_slug"), "target_slug", "left_semi")
-    by_path = rows.join(keys.withColumnRenamed("key", "target_path"), "target_path", "left_semi")
-    met = by_slug.unionByName(by_path.select(by_slug.columns))
+    met = _links_into(_kept(links, skip_attachments), aliases, slug)
     met = _alias(met, aliases, F.col("source_slug"), "s").groupBy(F.coalesce("s", "source_slug").alias("note_slug")).agg(F.min("display_text").alias("extra"))
     return _headed(met, notes).withColumn("score", F.lit(1.0)).orderBy("title", "note_slug")
 
 
 def linked_slugs(links: DataFrame, aliases: DataFrame, slug: str) -> DataFrame:
-    """``(note_slug)``: all notes and phantoms one link away, in either direction."""
-    edges = canonical_edges(links, aliases, skip_attachments=False)
-    out = edges.where(F.col("source") == slug).select(F.col("target").alias("note_slug"))
-    back = edges.where(F.col("target") == slug).select(F.col("source").alias("note_slug"))
+    """``(note_slug)``: all notes and phantoms one link away, in either direction.
+
+    A link leads to what its target means, or else to the target itself, and to what its text means, if that is a note.
+    """
+    rows = links.where(F.col("source_slug") == slug)
+    rows = _alias(_alias(rows, aliases, F.col("target_slug"), "t1"), aliases, F.col("target_path"), "t2")
+    out = rows.select(F.explode(F.array_compact(F.array(F.coalesce("t1", "target_slug"), "t2"))).alias("note_slug"))
+    back = _alias(_links_into(links, aliases, slug), aliases, F.col("source_slug"), "s").select(F.coalesce("s", "source_slug").alias("note_slug"))
     return out.unionByName(back).distinct()
 
 
@@ -92,8 +113,8 @@ def connections(links: DataFrame, aliases: DataFrame, notes: DataFrame, slug: st
 
     Each hop is one join of the last hop's notes with the edges, written to the shared folder.
     """
-    edges = canonical_edges(links, aliases, skip_attachments)
-    both = materialise(edges.select(F.col("source").alias("a"), F.col("target").alias("b")).unionByName(edges.select(F.col("target").alias("a"), F.col("source").alias("b"))).distinct(), "edges")
+    rows = _kept(links, skip_attachments)
+    both = materialise(outgoing(rows, aliases).unionByName(incoming(rows, aliases)).distinct(), "edges")
     front = links.sparkSession.range(1).select(F.lit(slug).alias("note_slug"))
     seen = front.withColumn("score", F.lit(0))
     for hop in range(1, hops + 1):
@@ -105,7 +126,3 @@ def connections(links: DataFrame, aliases: DataFrame, notes: DataFrame, slug: st
     found = _headed(seen.where("score > 0"), notes)
     return found.withColumn("extra", F.concat(F.col("score").cast("string"), F.lit(" hop(s)"))).orderBy("score", "title", "note_slug")
 
-
-def first_of(rows: DataFrame, key: str, *order: Column | str) -> DataFrame:
-    """The first row of each key in the given order."""
-    return rows.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")

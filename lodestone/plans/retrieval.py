@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import scalars as S
 from lodestone.operators import filters, graph, hybrid, lexical, notes, tags, vector
-from lodestone.plans.vault import C, L, chunks, heads, hub, linked, raw_links, seeds, sql_slug, sql_stem
+from lodestone.plans.vault import SQL_IMAGES, SQL_OTHERS, C, L, chunks, heads, hub, linked, raw_links, seeds, sql_slug, sql_stem
 
 SHOWN = ("id", "note_slug", "round(score, 4) AS score")
 # Columns that the searches need; the others are never read.
@@ -169,8 +169,13 @@ def slugify(spark: SparkSession, d: str) -> DataFrame:
     return raw.select("raw", S.slugify(F.col("raw")).alias("slug"), S.title_from_path(F.col("raw")).alias("title")).distinct()
 
 
+ENDINGS = ".7z .rar .aac .epub .tif .csv .json .html .PNG .gz#x .mp3|y .md".split()
+
+
 def attachment_flag(spark: SparkSession, d: str) -> DataFrame:
+    """Raw links as they are, and with each of some endings."""
     raw = raw_links(spark, d).where("raw is not null")
+    raw = raw.select(F.explode(F.array("raw", *[F.concat("raw", F.lit(e)) for e in ENDINGS])).alias("raw"))
     return raw.select("raw", S.attachment_kind(F.col("raw")).alias("kind")).distinct()
 
 
@@ -212,9 +217,10 @@ mq AS (SELECT * FROM mk ORDER BY n_queries DESC, score DESC, note_slug, chunk_in
 
 _THREE = "SELECT row_number() OVER (ORDER BY id) AS k, 'query_' || row_number() OVER (ORDER BY id) AS label, e FROM (SELECT id, e FROM v ORDER BY id LIMIT 3)"
 _SCORE = "id, note_slug, round(score, 4) AS score"
-_NEAR = "nb AS (SELECT target AS note_slug FROM ed, hub WHERE source = slug UNION SELECT source FROM ed, hub WHERE target = slug)"
+_NEAR = """nb AS (SELECT coalesce(a.note_slug, target_slug) AS note_slug FROM l JOIN hub ON source_slug = slug LEFT JOIN al a ON a.key = target_slug
+  UNION SELECT b.note_slug FROM l JOIN hub ON source_slug = slug JOIN al b ON b.key = target_path UNION SELECT b FROM inn, hub WHERE a = slug)"""
 _HIT = " + ".join(f"(CASE WHEN contains(lower(title), '{w}') THEN 2 ELSE 0 END) + (CASE WHEN contains(lower(file_path), '{w}') THEN 1 ELSE 0 END) + (CASE WHEN contains(lower(text), '{w}') THEN 1 ELSE 0 END) + len(list_filter(tags, lambda t: contains(lower(t), '{w}')))" for w in WORDS.split())
-_BFS = "both_ AS (SELECT source AS a, target AS b FROM ed UNION SELECT target, source FROM ed), h1 AS (SELECT DISTINCT b AS note_slug FROM both_, hub WHERE a = slug AND b <> slug), h2 AS (SELECT DISTINCT b AS note_slug FROM both_ WHERE a IN (SELECT note_slug FROM h1) AND b NOT IN (SELECT note_slug FROM h1) AND b <> (SELECT slug FROM hub))"
+_BFS = "both_ AS (SELECT a, b FROM outt UNION SELECT a, b FROM inn), h1 AS (SELECT DISTINCT b AS note_slug FROM both_, hub WHERE a = slug AND b <> slug), h2 AS (SELECT DISTINCT b AS note_slug FROM both_ WHERE a IN (SELECT note_slug FROM h1) AND b NOT IN (SELECT note_slug FROM h1) AND b <> (SELECT slug FROM hub))"
 _HOPS = "SELECT x.note_slug, coalesce(nullif(h.title, ''), x.note_slug) AS title, x.score, x.score || ' hop(s)' AS extra, h.note_slug IS NULL AS is_phantom FROM ({}) x LEFT JOIN h USING (note_slug)"
 _FIRST = "SELECT note_slug, title, id FROM (SELECT * FROM c WHERE {} QUALIFY row_number() OVER (PARTITION BY note_slug ORDER BY chunk_index, id) = 1) ORDER BY title, note_slug LIMIT {}"
 _BODY = """p AS (SELECT note_slug, chunk_index, text, heading_level AS lv, CASE WHEN heading_path = '' THEN [] ELSE list_filter(string_split(heading_path, ' > '), lambda x: x <> '') END AS parts FROM c),
@@ -271,7 +277,7 @@ o AS (SELECT input, list_filter(ls, lambda x: len(x) = 1)[1][1] AS note_slug, cs
 SELECT input, note_slug, CASE WHEN note_slug IS NOT NULL THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'missing' END AS status, coalesce(cs, '') AS candidates FROM o""",
     "stats": f"WITH {L} SELECT (SELECT count(DISTINCT note_slug) FROM h) AS notes, (SELECT count(*) FROM c) AS chunks, (SELECT count(*) FROM l) AS links",
     "slugify": f"WITH {L} SELECT DISTINCT raw, {sql_slug('raw')} AS slug, {sql_stem('raw')} AS title FROM rl WHERE raw IS NOT NULL",
-    "attachment_flag": f"WITH {L}, x AS (SELECT DISTINCT raw, lower(regexp_extract(trim(regexp_replace(raw, '[#|].*$', '', 's')), '\\.([A-Za-z0-9]+)$', 1)) AS ext FROM rl WHERE raw IS NOT NULL) SELECT raw, CASE WHEN ext IN ({', '.join(f"'{e}'" for e in S.IMAGES)}) THEN 'image' WHEN ext IN ({', '.join(f"'{e}'" for e in S.OTHER_FILES)}) THEN 'attachment' END AS kind FROM x",
+    "attachment_flag": f"WITH {L}, e AS (SELECT unnest(string_split(' {" ".join(ENDINGS)}', ' ')) AS e), x AS (SELECT DISTINCT raw || e AS raw, lower(regexp_extract(trim(regexp_replace(raw || e, '[#|].*$', '', 's')), '\\.([A-Za-z0-9]+)$', 1)) AS ext FROM rl, e WHERE raw IS NOT NULL) SELECT raw, CASE WHEN ext IN ({SQL_IMAGES}) THEN 'image' WHEN ext IN ({SQL_OTHERS}) THEN 'attachment' END AS kind FROM x",
     "content_hash": "SELECT doc_id, sha256(text || chr(0) || 'schema=5' || chr(0) || 'size=800' || chr(0) || 'overlap=100' || chr(0) || 'model=m' || chr(0)) AS hash FROM documents WHERE text IS NOT NULL",
     "embed_text": f"WITH {C} SELECT id, md5(CASE WHEN coalesce({_FIT}, '') = '' THEN text ELSE {_FIT} || chr(10) || chr(10) || text END) AS embed_md5 FROM c",
 }

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.scalars import IMAGES, OTHER_FILES
 from lodestone.operators import graph
 from lodestone.operators.records import latest
 from lodestone.operators.tags import MOST_TAGS
@@ -74,7 +73,10 @@ def sql_stem(x: str) -> str:
 
 
 _NAME = "trim(regexp_replace(raw, '[#|].*$', '', 's'))"
-_FILES = ", ".join(f"'{e}'" for e in [*IMAGES, *OTHER_FILES])
+# Written by hand, so that they check the module's list.
+SQL_IMAGES = "'png', 'jpg', 'jpeg', 'gif', 'svg', 'webp', 'avif', 'bmp', 'tiff', 'ico', 'heic'"
+SQL_OTHERS = "'mp4', 'webm', 'mov', 'mkv', 'avi', 'mp3', 'wav', 'ogg', 'flac', 'm4a', 'aac', 'canvas', 'excalidraw', 'zip', 'gz', 'tar', '7z', 'rar', 'docx', 'pptx', 'xlsx', 'epub'"
+_FILES = f"{SQL_IMAGES}, {SQL_OTHERS}"
 C = f"""c AS (SELECT id, note_slug, coalesce(title, '') AS title, coalesce(file_path, '') AS file_path, coalesce(chunk_index, 0) AS chunk_index, coalesce(heading_path, '') AS heading_path, coalesce(heading_level, 0) AS heading_level,
   coalesce(has_task, false) AS has_task, coalesce(has_code, false) AS has_code, coalesce(file_type, '') AS file_type, coalesce(content_hash, '') AS content_hash, coalesce(tags, [])[:{MOST_TAGS}] AS tags, coalesce(text, '') AS text, embedding
   FROM chunks WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC NULLS LAST) = 1),
@@ -89,5 +91,8 @@ rl AS (SELECT note_slug AS source_slug, unnest(links) AS raw FROM lb),
 nl AS (SELECT source_slug, raw, {_NAME} AS name FROM rl WHERE raw IS NOT NULL AND {_NAME} <> '' AND lower(regexp_extract({_NAME}, '\\.([A-Za-z0-9]+)$', 1)) NOT IN ({_FILES})),
 ls AS (SELECT source_slug, coalesce(t1.note_slug, t2.note_slug, t3.note_slug, {sql_slug("name")}) AS target_slug, min(raw) AS target_path FROM nl LEFT JOIN al t1 ON t1.key = name LEFT JOIN al t2 ON t2.key = lower(name) LEFT JOIN al t3 ON t3.key = {sql_slug("name")} GROUP BY 1, 2),
 l AS (SELECT * FROM ls WHERE target_slug <> ''),
-ed AS (SELECT coalesce(s.note_slug, source_slug) AS source, coalesce(a.note_slug, b.note_slug, target_slug) AS target, target_path AS display_text FROM l LEFT JOIN al s ON s.key = source_slug LEFT JOIN al a ON a.key = target_slug LEFT JOIN al b ON b.key = target_path),
+cd AS (SELECT key, note_slug FROM al UNION SELECT {sql_slug("key")}, note_slug FROM al WHERE {sql_slug("key")} <> ''),
+outt AS (SELECT source_slug AS a, coalesce(a.note_slug, b.note_slug, target_slug) AS b FROM l LEFT JOIN al a ON a.key = target_slug LEFT JOIN al b ON b.key = target_path),
+inn AS (SELECT DISTINCT a, coalesce(s.note_slug, source_slug) AS b FROM (SELECT target_slug AS a, source_slug FROM l UNION SELECT target_path, source_slug FROM l
+  UNION SELECT cd.note_slug, source_slug FROM l JOIN cd ON cd.key = target_slug UNION SELECT cd.note_slug, source_slug FROM l JOIN cd ON cd.key = target_path) LEFT JOIN al s ON s.key = source_slug),
 hub AS (SELECT target_slug AS slug FROM l WHERE target_slug IN (SELECT note_slug FROM h) GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"""
