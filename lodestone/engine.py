@@ -42,7 +42,7 @@ class Engine:
         rows = {r["input"]: r for r in notes.resolve_names(self.notes, self.store.spark.createDataFrame([(n,) for n in wanted], "input string")).collect()}
         for n in wanted:
             if rows[n]["status"] == "ambiguous":
-                raise LookupError(f"{n!r} is ambiguous: {', '.join(rows[n]['candidates'])}")
+                raise LookupError(f"{n!r} is ambiguous: {notes.candidates_of(self.notes, n)}")
         return list(dict.fromkeys(rows[n]["note_slug"] or n for n in wanted)), [n for n in wanted if rows[n]["status"] == "missing"]
 
     def search(self, queries: Sequence[str], limit: int = 10, per_note: int = 3, where: filters.SearchFilter | None = None, min_score: float = 0.0, context: int = 0, exclude: Sequence[str] = ()) -> DataFrame:

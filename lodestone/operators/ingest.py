@@ -23,6 +23,10 @@ from lodestone.sources.store import CHUNKS, Store
 
 #: ``<!-- page -->`` breaks are written between the pages of one chunk.
 PAGE_BREAK = "\n\n---\n\n"
+#: Files whose chunks are passed on together.
+FILES = 64
+#: Places of a file whose chunks are numbered by one task.
+BLOCK = 1000
 
 
 class Embedder(Protocol):
@@ -140,10 +144,10 @@ def parsed(files: DataFrame, settings: Settings, pages: Callable[[bytes], list[s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                made = list(rows_of(batch.slice(k, 1).to_pylist()[0]))
+            for at in range(0, batch.num_rows, FILES):
+                made = [r for f in batch.slice(at, FILES).to_pylist() for r in rows_of(f)]
                 if made:
-                    yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in made], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in made], schema.field(n).type) for n in names], schema=schema)
 
     return files.select("file_path", "content", "error", "note_slug", "file_title", "file_type", "content_hash").mapInArrow(run, PARSED)
 
@@ -152,8 +156,14 @@ def numbered(rows: DataFrame, settings: Settings) -> DataFrame:
     """Chunks of enough words, numbered anew within their note. One whose text is empty has its plain one, unless that is marks of code alone."""
     shown = F.when(F.col("text") != "", F.col("text")).when(~is_code_only(F.col("plain")), F.col("plain"))
     enough = rows.where(F.col("error").isNull()).withColumn("text", shown).where(F.col("text").isNotNull() & (word_count(F.col("text")) >= settings.min_words))
-    index = (F.row_number().over(W.partitionBy("note_slug").orderBy("file_path", "position")) - 1).cast("int")
-    return enough.withColumn("chunk_index", index).withColumn("id", F.concat_ws(":", "note_slug", F.col("chunk_index").cast("string")))
+    # Chunks are counted by blocks of places of a file, and numbered within a block, so no task sees a whole note.
+    block = ["note_slug", "file_path", "block"]
+    enough = enough.withColumn("block", F.floor(F.col("position") / BLOCK))
+    before = W.partitionBy("note_slug").orderBy("file_path", "block").rowsBetween(W.unboundedPreceding, -1)
+    counts = enough.groupBy(*block).agg(F.count("*").alias("n")).select(*block, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    index = (F.col("before") + F.row_number().over(W.partitionBy(*block).orderBy("position")) - 1).cast("int")
+    joined = enough.join(counts, block).withColumn("chunk_index", index).drop("block", "before")
+    return joined.withColumn("id", F.concat_ws(":", "note_slug", F.col("chunk_index").cast("string")))
 
 
 def embedded(rows: DataFrame, text: str, embedder: Embedder) -> DataFrame:

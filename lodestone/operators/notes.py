@@ -16,25 +16,41 @@ def headers(chunks: DataFrame) -> DataFrame:
     return chunks.where(F.col("chunk_index") == 0)
 
 
-def note_texts(chunks: DataFrame) -> DataFrame:
-    """``(note_slug, n_chunks, content)``: each note put together again, chunks in order, joined by a blank line.
+#: Chunks of a note that one task puts together.
+PART = 1000
+
+
+def note_parts(chunks: DataFrame, size: int = PART) -> DataFrame:
+    """``(note_slug, part, n_chunks, content)``: each note put together again in parts of ``size`` places, joined by a blank line.
 
     A heading is written where the path changes: of the parts that the chunk before does not share, the last with the chunk's
-    level, the others with their depth. Null texts and headings are empty. A note's text must fit one row.
+    level, the others with their depth. Null texts and headings are empty. The chunk before the first of a part
+    is found among the last ones of the parts, so no task sees a whole note.
     """
     parts = F.filter(F.split(F.coalesce("heading_path", F.lit("")), " > "), lambda x: x != "")
-    rows = chunks.select("note_slug", "chunk_index", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("heading_level", F.lit(0)).alias("level"), parts.alias("parts"))
-    w = W.partitionBy("note_slug").orderBy("chunk_index")
-    rows = rows.withColumn("before", F.coalesce(F.lag("parts").over(w), F.array().cast("array<string>")))
+    rows = chunks.select("note_slug", "chunk_index", F.floor(F.col("chunk_index") / size).cast("int").alias("part"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("heading_level", F.lit(0)).alias("level"), parts.alias("parts"))
+    ends = rows.groupBy("note_slug", "part").agg(F.max_by("parts", "chunk_index").alias("end"))
+    ends = ends.select("note_slug", "part", F.lag("end").over(W.partitionBy("note_slug").orderBy("part")).alias("end"))
+    none = F.array().cast("array<string>")
+    before = F.coalesce(F.lag("parts").over(W.partitionBy("note_slug", "part").orderBy("chunk_index")), "end", none)
+    rows = rows.join(ends, ["note_slug", "part"]).withColumn("before", before)
     depth = F.sequence(F.lit(1), F.size("parts"))
     # The first part that differs; all before it are shared.
     differs = F.filter(depth, lambda k: ~F.get(F.col("parts"), k - 1).eqNullSafe(F.get(F.col("before"), k - 1)))
     fresh = F.when(F.size("parts") == 0, F.array().cast("array<int>")).otherwise(F.filter(depth, lambda k: k >= F.array_min(differs)))
     level = lambda k: F.when((k == F.size("parts")) & (F.col("level") > 0), F.col("level")).otherwise(k)
     lines = F.transform(fresh, lambda k: F.concat(F.repeat(F.lit("#"), level(k)), F.lit(" "), F.get(F.col("parts"), k - 1)))
-    body = F.concat(lines, F.when(F.col("text") != "", F.array("text")).otherwise(F.array().cast("array<string>")))
-    ordered = rows.withColumn("body", body).groupBy("note_slug").agg(F.count("*").alias("n_chunks"), F.array_sort(F.collect_list(F.struct("chunk_index", "body"))).alias("all"))
-    return ordered.select("note_slug", "n_chunks", F.array_join(F.flatten(F.transform("all", lambda x: x["body"])), "\n\n").alias("content"))
+    body = F.concat(lines, F.when(F.col("text") != "", F.array("text")).otherwise(none))
+    ordered = rows.withColumn("body", body).groupBy("note_slug", "part").agg(F.count("*").alias("n_chunks"), F.array_sort(F.collect_list(F.struct("chunk_index", "body"))).alias("all"))
+    return ordered.select("note_slug", "part", "n_chunks", F.array_join(F.flatten(F.transform("all", lambda x: x["body"])), "\n\n").alias("content"))
+
+
+def note_texts(chunks: DataFrame) -> DataFrame:
+    """``(note_slug, n_chunks, content)``: the parts of :func:`note_parts` in one row, which a note's text must fit."""
+    each = F.array_sort(F.collect_list(F.struct("part", "content")))
+    whole = note_parts(chunks).groupBy("note_slug").agg(F.sum("n_chunks").alias("n_chunks"), each.alias("all"))
+    shown = F.filter(F.transform("all", lambda x: x["content"]), lambda c: c != "")
+    return whole.select("note_slug", "n_chunks", F.array_join(shown, "\n\n").alias("content"))
 
 
 def get_note(chunks: DataFrame, slug: str, head: int | None = None) -> DataFrame:
@@ -54,10 +70,11 @@ def note_meta(chunks: DataFrame) -> DataFrame:
 
 def with_context(results: DataFrame, chunks: DataFrame, window: int) -> DataFrame:
     """``results`` with ``context``: the texts of the chunks at most ``window`` places away in the note, in order, without its own."""
-    near = chunks.select(F.col("note_slug").alias("_s"), F.col("chunk_index").alias("_i"), F.col("text").alias("_t"))
-    on = (F.col("note_slug") == F.col("_s")) & F.col("_i").between(F.col("chunk_index") - window, F.col("chunk_index") + window) & (F.col("_i") != F.col("chunk_index"))
-    keys = results.select("note_slug", "chunk_index").distinct()
-    found = keys.join(near, on).groupBy("note_slug", "chunk_index").agg(F.array_sort(F.collect_list(F.struct("_i", "_t"))).alias("c"))
+    near = chunks.select("note_slug", F.col("chunk_index").alias("_i"), F.col("text").alias("_t"))
+    # Each place asked for is a key, so chunks of a long note are not compared with one another.
+    places = F.explode(F.filter(F.sequence(F.col("chunk_index") - window, F.col("chunk_index") + window), lambda i: i != F.col("chunk_index")))
+    keys = results.select("note_slug", "chunk_index").distinct().select("note_slug", "chunk_index", places.alias("_i"))
+    found = keys.join(near, ["note_slug", "_i"]).groupBy("note_slug", "chunk_index").agg(F.array_sort(F.collect_list(F.struct("_i", "_t"))).alias("c"))
     context = F.coalesce(F.transform("c", lambda x: x["_t"]), F.array().cast("array<string>"))
     return results.join(found, ["note_slug", "chunk_index"], "left").withColumn("context", context).drop("c")
 
@@ -85,17 +102,29 @@ def classify(notes: DataFrame, inputs: DataFrame) -> DataFrame:
 
 
 def resolve_names(notes: DataFrame, inputs: DataFrame) -> DataFrame:
-    """``(input, note_slug, status, candidates)`` of each input: ``resolved``, ``ambiguous`` or ``missing``.
+    """``(input, note_slug, status, n_candidates)`` of each input: ``resolved``, ``ambiguous`` or ``missing``.
 
-    A single path match wins, then a single title, then a single suffix; else all that match are candidates, in order.
+    A single path match wins, then a single title, then a single suffix; else all that match are candidates,
+    which :func:`classify` lists.
     """
     met = classify(notes, inputs)
-    of = lambda c: F.array_sort(F.collect_set(F.when(F.col("class") == c, F.col("note_slug"))))
-    by = met.groupBy("input").agg(*[of(c).alias(c) for c in CLASSES], F.array_sort(F.collect_set("note_slug")).alias("candidates"))
-    single: Column = F.coalesce(*[F.when(F.size(c) == 1, F.get(c, F.lit(0))) for c in CLASSES], F.when(F.size("candidates") == 1, F.get("candidates", F.lit(0))))
+    of = lambda c: F.when(F.col("class") == c, F.col("note_slug"))
+    by = met.groupBy("input").agg(*[f(of(c)).alias(f"{c}_{f.__name__}") for c in CLASSES for f in (F.count, F.min)], F.count("*").alias("n"), F.min("note_slug").alias("any"))
+    single: Column = F.coalesce(*[F.when(F.col(f"{c}_count") == 1, F.col(f"{c}_min")) for c in CLASSES], F.when(F.col("n") == 1, F.col("any")))
     out = inputs.select("input").distinct().join(by.withColumn("note_slug", single), "input", "left")
-    status = F.when(F.col("note_slug").isNotNull(), "resolved").when(F.size("candidates") > 1, "ambiguous").otherwise("missing")
-    return out.select("input", "note_slug", status.alias("status"), F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates"))
+    status = F.when(F.col("note_slug").isNotNull(), "resolved").when(F.col("n") > 1, "ambiguous").otherwise("missing")
+    return out.select("input", "note_slug", status.alias("status"), F.coalesce("n", F.lit(0)).alias("n_candidates"))
+
+
+#: Candidates that the message about an ambiguous name lists.
+NAMED = 20
+
+
+def candidates_of(notes: DataFrame, name: str) -> str:
+    """The notes that an ambiguous name may mean, for a message."""
+    inputs = notes.sparkSession.createDataFrame([(name,)], "input string")
+    found = [r[0] for r in classify(notes, inputs).select("note_slug").orderBy("note_slug").limit(NAMED + 1).collect()]
+    return ", ".join([*found[:NAMED], *(["and more"] if len(found) > NAMED else [])])
 
 
 def resolve_name(notes: DataFrame, name: str) -> str:
@@ -109,7 +138,7 @@ def resolve_name(notes: DataFrame, name: str) -> str:
     row = resolve_names(notes, notes.sparkSession.createDataFrame([(wanted,)], "input string")).first()
     if row["status"] == "resolved":
         return row["note_slug"]
-    raise LookupError(f"{name!r} is ambiguous: {', '.join(row['candidates'])}" if row["candidates"] else f"{name!r} names no note")
+    raise LookupError(f"{name!r} is ambiguous: {candidates_of(notes, wanted)}" if row["n_candidates"] else f"{name!r} names no note")
 
 
 def stats(chunks: DataFrame, links: DataFrame) -> DataFrame:
@@ -120,8 +149,9 @@ def stats(chunks: DataFrame, links: DataFrame) -> DataFrame:
 
 def group_by_note(results: DataFrame, position: str = "position") -> DataFrame:
     """One row per note, its best-scored (the first of equals), in the order of first appearance; ``extra`` counts the others."""
-    best = W.partitionBy("note_slug").orderBy(F.col("score").desc(), position)
-    of_note = W.partitionBy("note_slug")
-    rows = results.withColumns({"_r": F.row_number().over(best), "_n": F.count("*").over(of_note), "_first": F.min(position).over(of_note)}).where("_r = 1")
-    old = F.col("extra") if "extra" in results.columns else F.lit(None).cast("string")
-    return rows.withColumn("extra", F.when(F.col("_n") > 1, F.concat(F.col("_n").cast("string"), F.lit(" matching chunks"))).otherwise(old)).orderBy("_first").drop("_r", "_n", "_first")
+    worst_last = F.struct(F.coalesce(-F.col("score"), F.lit(float("inf"))), F.col(position))
+    by = results.groupBy("note_slug").agg(F.min_by(F.struct("*"), worst_last).alias("r"), F.count("*").alias("n"), F.min(position).alias("first"))
+    old = F.col("r.extra") if "extra" in results.columns else F.lit(None).cast("string")
+    extra = F.when(F.col("n") > 1, F.concat(F.col("n").cast("string"), F.lit(" matching chunks"))).otherwise(old)
+    shown = [F.col("note_slug") if c == "note_slug" else F.col(f"r.{c}") for c in results.columns if c != "extra"]
+    return by.select(*shown, extra.alias("extra"), "first").orderBy("first").drop("first")

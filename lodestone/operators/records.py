@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.scratch import materialise, spread
+from lodestone.scratch import materialise, remembered, spread, state_of
 
-#: Files of a table up to which its state is asked for, so that what was found out about it is used again.
-MOST_FILES = 200
 #: Share of records delivered once that are taken for records delivered again; they are looked at, not lost.
 FALSE_ALARMS = 0.03
-_KNOWN: dict[tuple, bytes | None] = {}
 
 
 def latest(df: DataFrame, key: str, loaded: str, *columns: str, costly: bool = False) -> DataFrame:
@@ -41,19 +38,17 @@ def latest(df: DataFrame, key: str, loaded: str, *columns: str, costly: bool = F
 def _delivered_again(keys: DataFrame) -> Column | None:
     """Whether a row's key may occur more than once; None if none does."""
     name = keys.columns[0]
-    state = _state(keys)
-    if state is None or state not in _KNOWN:
-        found = materialise(keys.groupBy(name).agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64(name).alias("h")), "again")
-        n = found.count()
-        raw = None
-        if n:
-            stream = keys.sparkSession._jvm.java.io.ByteArrayOutputStream()
-            found._jdf.stat().bloomFilter("h", max(n, 1000), FALSE_ALARMS).writeTo(stream)
-            raw = bytes(stream.toByteArray())
-        if state is None:
-            return _may_hold(keys, name, raw)
-        _KNOWN[state] = raw
-    return _may_hold(keys, name, _KNOWN[state])
+    return _may_hold(keys, name, remembered(state_of(keys), "delivered again", lambda: _filter(keys, name)))
+
+
+def _filter(keys: DataFrame, name: str) -> bytes | None:
+    found = materialise(keys.groupBy(name).agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64(name).alias("h")), "again")
+    n = found.count()
+    if not n:
+        return None
+    stream = keys.sparkSession._jvm.java.io.ByteArrayOutputStream()
+    found._jdf.stat().bloomFilter("h", max(n, 1000), FALSE_ALARMS).writeTo(stream)
+    return bytes(stream.toByteArray())
 
 
 def _may_hold(keys: DataFrame, name: str, raw: bytes | None) -> Column | None:
@@ -67,16 +62,3 @@ def _may_hold(keys: DataFrame, name: str, raw: bytes | None) -> Column | None:
     test = sql.catalyst.expressions.BloomFilterMightContain(tree(F.lit(bytearray(raw))), tree(F.xxhash64(name)))
     return F.coalesce(JvmColumn(sql.classic.ExpressionUtils.column(test)), F.lit(True))
 
-
-def _state(keys: DataFrame) -> tuple | None:
-    """The plan, and path, size and time of the files below it; None if they are not files or many."""
-    files = sorted(keys.inputFiles())
-    if not files or len(files) > MOST_FILES:
-        return None
-    spark = keys.sparkSession
-    out = []
-    for f in files:
-        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(f))
-        at = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
-        out.append((f, at.getLen(), at.getModificationTime()))
-    return (spark.sparkContext.applicationId, keys.semanticHash(), *out)

@@ -74,8 +74,7 @@ def tag_suggest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shared_tags(spark: SparkSession, d: str) -> DataFrame:
-    links, _, heads_ = linked(spark, d)
-    return tags.shared_tags(heads(spark, d), hub(links, heads_)).select("note_slug", "score", _joined("tags").alias("tags"))
+    return tags.shared_tags(heads(spark, d), hub(spark, d)).select("note_slug", "score", _joined("tags").alias("tags"))
 
 
 def alias_table(spark: SparkSession, d: str) -> DataFrame:
@@ -88,17 +87,17 @@ def link_resolve(spark: SparkSession, d: str) -> DataFrame:
 
 def backlinks(spark: SparkSession, d: str) -> DataFrame:
     links, aliases, heads_ = linked(spark, d)
-    return graph.backlinks(links, aliases, heads_, hub(links, heads_)).select("note_slug", "title", "extra", "is_phantom")
+    return graph.backlinks(links, aliases, heads_, hub(spark, d)).select("note_slug", "title", "extra", "is_phantom")
 
 
 def neighbours(spark: SparkSession, d: str) -> DataFrame:
-    links, aliases, heads_ = linked(spark, d)
-    return graph.linked_slugs(links, aliases, hub(links, heads_))
+    links, aliases, _ = linked(spark, d)
+    return graph.linked_slugs(links, aliases, hub(spark, d))
 
 
 def _connected(spark: SparkSession, d: str, hops: int) -> DataFrame:
     links, aliases, heads_ = linked(spark, d)
-    return graph.connections(links, aliases, heads_, hub(links, heads_), hops)
+    return graph.connections(links, aliases, heads_, hub(spark, d), hops)
 
 
 def connections_1hop(spark: SparkSession, d: str) -> DataFrame:
@@ -114,23 +113,23 @@ def phantom_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hidden_unlinked(spark: SparkSession, d: str) -> DataFrame:
-    links, aliases, heads_ = linked(spark, d)
-    return hybrid.hidden(chunks(spark, d, *VECTORS), links, aliases, seeds(spark, d, 1)[0], hub(links, heads_)).selectExpr(*SHOWN)
+    links, aliases, _ = linked(spark, d)
+    return hybrid.hidden(chunks(spark, d, *VECTORS), links, aliases, seeds(spark, d, 1)[0], hub(spark, d)).selectExpr(*SHOWN)
 
 
 def hidden_include_linked(spark: SparkSession, d: str) -> DataFrame:
-    links, aliases, heads_ = linked(spark, d)
-    return hybrid.hidden(chunks(spark, d, *VECTORS), links, aliases, seeds(spark, d, 1)[0], hub(links, heads_), include_linked=True).selectExpr(*SHOWN)
+    links, aliases, _ = linked(spark, d)
+    return hybrid.hidden(chunks(spark, d, *VECTORS), links, aliases, seeds(spark, d, 1)[0], hub(spark, d), include_linked=True).selectExpr(*SHOWN)
 
 
 def hidden_deep(spark: SparkSession, d: str) -> DataFrame:
-    links, aliases, heads_ = linked(spark, d)
-    return hybrid.hidden_deep(chunks(spark, d, *VECTORS, "heading_path", "title"), links, aliases, hub(links, heads_)).select("id", "n_queries", F.round("score", 4).alias("score"))
+    links, aliases, _ = linked(spark, d)
+    return hybrid.hidden_deep(chunks(spark, d, *VECTORS, "heading_path", "title"), links, aliases, hub(spark, d)).select("id", "n_queries", F.round("score", 4).alias("score"))
 
 
 def graph_boosted(spark: SparkSession, d: str) -> DataFrame:
-    links, aliases, heads_ = linked(spark, d)
-    return hybrid.boosted(chunks(spark, d, *VECTORS), links, aliases, seeds(spark, d, 1)[0], hub(links, heads_)).selectExpr(*SHOWN, "extra")
+    links, aliases, _ = linked(spark, d)
+    return hybrid.boosted(chunks(spark, d, *VECTORS), links, aliases, seeds(spark, d, 1)[0], hub(spark, d)).selectExpr(*SHOWN, "extra")
 
 
 def note_reconstruct(spark: SparkSession, d: str) -> DataFrame:
@@ -139,8 +138,7 @@ def note_reconstruct(spark: SparkSession, d: str) -> DataFrame:
 
 
 def note_head(spark: SparkSession, d: str) -> DataFrame:
-    links, _, heads_ = linked(spark, d)
-    return notes.get_note(chunks(spark, d, *TEXTS), hub(links, heads_), 1).select("note_slug", "title", "total", "content")
+    return notes.get_note(chunks(spark, d, *TEXTS), hub(spark, d), 1).select("note_slug", "title", "total", "content")
 
 
 def note_meta(spark: SparkSession, d: str) -> DataFrame:
@@ -148,16 +146,16 @@ def note_meta(spark: SparkSession, d: str) -> DataFrame:
 
 
 def context_window(spark: SparkSession, d: str) -> DataFrame:
-    """One chunk of context on either side of every chunk that holds a task."""
-    every = chunks(spark, d, "note_slug", "chunk_index", "has_task", "text")
-    return notes.with_context(every.where("has_task").select("id", "note_slug", "chunk_index"), every, 1).select("id", F.md5(_joined("context")).alias("context_md5"), F.size("context").cast("long").alias("n"))
+    """One chunk of context on either side of every chunk."""
+    every = chunks(spark, d, "note_slug", "chunk_index", "text")
+    return notes.with_context(every.select("id", "note_slug", "chunk_index"), every, 1).select("id", F.md5(_joined("context")).alias("context_md5"), F.size("context").cast("long").alias("n"))
 
 
 def resolve_name(spark: SparkSession, d: str) -> DataFrame:
     """Every recorded title as a name, and every slug's last word."""
     notes_ = heads(spark, d)
     asked = notes_.select(F.col("title").alias("input")).unionByName(notes_.select(F.element_at(F.split("note_slug", "-"), -1).alias("input"))).where("input <> ''")
-    return notes.resolve_names(notes_, asked).select("input", "note_slug", "status", _joined("candidates").alias("candidates"))
+    return notes.resolve_names(notes_, asked).select("input", "note_slug", "status", "n_candidates")
 
 
 def stats(spark: SparkSession, d: str) -> DataFrame:
@@ -269,12 +267,12 @@ SELECT id, n_queries, round(score, 4) AS score FROM mq ORDER BY n_queries DESC,
     "note_reconstruct": f"WITH {C}, {_BODY} SELECT note_slug, count(*) AS n_chunks, md5(array_to_string(flatten(list(body ORDER BY chunk_index)), chr(10) || chr(10))) AS content_md5 FROM pl GROUP BY note_slug",
     "note_head": f"WITH {L}, {_BODY} SELECT h.note_slug, h.title, (SELECT count(*) FROM c WHERE c.note_slug = h.note_slug) AS total, array_to_string(body, chr(10) || chr(10)) AS content FROM h JOIN hub ON slug = h.note_slug JOIN pl ON pl.note_slug = slug AND pl.chunk_index = 0",
     "note_meta": f"WITH {C} SELECT h.note_slug, h.title, h.file_path, h.file_type, h.content_hash, n AS n_chunks FROM h JOIN (SELECT note_slug, count(*) AS n FROM c GROUP BY 1) USING (note_slug)",
-    "context_window": f"WITH {C} SELECT t.id, md5(coalesce(string_agg(o.text, '|' ORDER BY o.chunk_index), '')) AS context_md5, count(o.id) AS n FROM c t LEFT JOIN c o ON o.note_slug = t.note_slug AND o.chunk_index BETWEEN t.chunk_index - 1 AND t.chunk_index + 1 AND o.chunk_index <> t.chunk_index WHERE t.has_task GROUP BY t.id",
+    "context_window": f"WITH {C} SELECT t.id, md5(coalesce(string_agg(o.text, '|' ORDER BY o.chunk_index), '')) AS context_md5, count(o.id) AS n FROM c t LEFT JOIN c o ON o.note_slug = t.note_slug AND o.chunk_index BETWEEN t.chunk_index - 1 AND t.chunk_index + 1 AND o.chunk_index <> t.chunk_index GROUP BY t.id",
     "resolve_name": f"""WITH {C}, i AS (SELECT input, {sql_slug("input")} AS slug FROM ({_IDX}) WHERE input <> ''),
 k AS (SELECT input, note_slug, CASE WHEN lower(title) = lower(input) THEN 'title' WHEN file_path IN (input, input || '.md') OR ends_with(file_path, '/' || input) OR ends_with(file_path, '/' || input || '.md') THEN 'path' WHEN slug <> '' AND ends_with(note_slug, slug) THEN 'suffix' END AS class FROM i, h),
-g AS (SELECT input, [list(note_slug) FILTER (class = 'path'), list(note_slug) FILTER (class = 'title'), list(note_slug) FILTER (class = 'suffix'), list(note_slug) FILTER (class IS NOT NULL)] AS ls, string_agg(note_slug, '|' ORDER BY note_slug) FILTER (class IS NOT NULL) AS cs, count(class) AS n FROM k GROUP BY input),
-o AS (SELECT input, list_filter(ls, lambda x: len(x) = 1)[1][1] AS note_slug, cs, n FROM g)
-SELECT input, note_slug, CASE WHEN note_slug IS NOT NULL THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'missing' END AS status, coalesce(cs, '') AS candidates FROM o""",
+g AS (SELECT input, [list(note_slug) FILTER (class = 'path'), list(note_slug) FILTER (class = 'title'), list(note_slug) FILTER (class = 'suffix'), list(note_slug) FILTER (class IS NOT NULL)] AS ls, count(class) AS n FROM k GROUP BY input),
+o AS (SELECT input, list_filter(ls, lambda x: len(x) = 1)[1][1] AS note_slug, n FROM g)
+SELECT input, note_slug, CASE WHEN note_slug IS NOT NULL THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'missing' END AS status, n AS n_candidates FROM o""",
     "stats": f"WITH {L} SELECT (SELECT count(DISTINCT note_slug) FROM h) AS notes, (SELECT count(*) FROM c) AS chunks, (SELECT count(*) FROM l) AS links",
     "slugify": f"WITH {L} SELECT DISTINCT raw, {sql_slug('raw')} AS slug, {sql_stem('raw')} AS title FROM rl WHERE raw IS NOT NULL",
     "attachment_flag": f"WITH {L}, e AS (SELECT unnest(string_split(' {" ".join(ENDINGS)}', ' ')) AS e), x AS (SELECT DISTINCT raw || e AS raw, lower(regexp_extract(trim(regexp_replace(raw || e, '[#|].*$', '', 's')), '\\.([A-Za-z0-9]+)$', 1)) AS ext FROM rl, e WHERE raw IS NOT NULL) SELECT raw, CASE WHEN ext IN ({SQL_IMAGES}) THEN 'image' WHEN ext IN ({SQL_OTHERS}) THEN 'attachment' END AS kind FROM x",

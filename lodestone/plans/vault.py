@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import graph
 from lodestone.operators.records import latest
 from lodestone.operators.tags import MOST_TAGS
-from lodestone.scratch import materialise
+from lodestone.scratch import materialise, remembered, state_of
 
 
 NAMES = ("id", "note_slug", "title", "file_path", "chunk_index", "heading_path", "heading_level", "has_task", "has_code", "file_type", "content_hash", "tags", "text", "embedding")
@@ -38,11 +38,19 @@ def raw_links(spark: SparkSession, d: str) -> DataFrame:
     return last.select(F.col("note_slug").alias("source_slug"), F.explode("r.links").alias("raw"))
 
 
+def _vault_state(spark: SparkSession, d: str) -> tuple | None:
+    return state_of(spark.read.parquet(f"{d}/chunks.parquet"), spark.read.parquet(f"{d}/ingest_batches.parquet"))
+
+
 def linked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Links, aliases and note headers, as a store keeps them: written once, read by every step."""
-    notes = materialise(heads(spark, d, "note_slug", "title", "file_path", "file_type").drop("id", "chunk_index"), "notes")
-    aliases = materialise(graph.alias_table(notes), "aliases")
-    return materialise(graph.resolve_links(raw_links(spark, d), aliases), "links"), aliases, notes
+    """Links, aliases and note headers, as a store keeps them: written once while the vault's tables stay the same."""
+
+    def make() -> tuple[DataFrame, DataFrame, DataFrame]:
+        notes = materialise(heads(spark, d, "note_slug", "title", "file_path", "file_type").drop("id", "chunk_index"), "notes")
+        aliases = materialise(graph.alias_table(notes), "aliases")
+        return materialise(graph.resolve_links(raw_links(spark, d), aliases), "links"), aliases, notes
+
+    return remembered(_vault_state(spark, d), "linked", make)
 
 
 def seeds(spark: SparkSession, d: str, n: int) -> list[list[float]]:
@@ -51,10 +59,15 @@ def seeds(spark: SparkSession, d: str, n: int) -> list[list[float]]:
     return [list(r["embedding"]) for r in usable.select("id", "embedding").orderBy("id").limit(n).collect()]
 
 
-def hub(links: DataFrame, notes: DataFrame) -> str:
+def hub(spark: SparkSession, d: str) -> str:
     """The note with the most incoming links."""
-    met = links.groupBy("target_slug").count().join(notes.select(F.col("note_slug").alias("target_slug")), "target_slug", "left_semi")
-    return met.orderBy(F.col("count").desc(), "target_slug").first()["target_slug"]
+
+    def make() -> str:
+        links, _, notes = linked(spark, d)
+        met = links.groupBy("target_slug").count().join(notes.select(F.col("note_slug").alias("target_slug")), "target_slug", "left_semi")
+        return met.orderBy(F.col("count").desc(), "target_slug").first()["target_slug"]
+
+    return remembered(_vault_state(spark, d), "hub", make)
 
 
 def sql_slug(x: str) -> str:

@@ -9,9 +9,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a temporary folder where it is unset and Spark runs on one machine."""
@@ -48,7 +52,40 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+_REMEMBERED: dict[tuple, object] = {}
+#: Files of a table up to which its state is asked for.
+MOST_FILES = 200
+
+
+def state_of(*tables: DataFrame) -> tuple | None:
+    """The plans, and path, size and time of the files below them, as a key of what was made of them; None if they are not
+    files or many."""
+    out: list = []
+    for table in tables:
+        files = sorted(table.inputFiles())
+        if not files or len(files) > MOST_FILES:
+            return None
+        spark = table.sparkSession
+        out += [spark.sparkContext.applicationId, table.semanticHash()]
+        for f in files:
+            path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(f))
+            at = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+            out.append((f, at.getLen(), at.getModificationTime()))
+    return tuple(out)
+
+
+def remembered(state: tuple | None, name: str, make: Callable[[], T]) -> T:
+    """What ``make`` gives, made once for each state of the tables it is made of; always anew if that is not known."""
+    if state is None:
+        return make()
+    key = (name, *state)
+    if key not in _REMEMBERED:
+        _REMEMBERED[key] = make()
+    return _REMEMBERED[key]  # type: ignore[return-value]
+
+
 def clear(spark: SparkSession) -> None:
     """Delete every table that :func:`materialise` wrote; call it once the results are stored."""
+    _REMEMBERED.clear()
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lodestone")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
