@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.scalars import embed_text, is_code_only, slugify, title_from_path, word_count
 from lodestone.functions.scalars import SCHEMA_VERSION
 from lodestone.operators.tags import MOST_TAGS
+from lodestone.scratch import materialise
 from lodestone.sources import markdown, vault
 from lodestone.sources.store import CHUNKS, Store
 
@@ -65,6 +66,8 @@ class Settings:
     min_words: int = 10
     max_tokens: int = 256
     skip_attachments: bool = True
+    #: Whether what the vault's own settings exclude is left out.
+    respect_excludes: bool = False
 
 
 def hashed(files: DataFrame, settings: Settings, model: str) -> DataFrame:
@@ -181,13 +184,14 @@ def embedded(rows: DataFrame, text: str, embedder: Embedder) -> DataFrame:
 
 @dataclass
 class Report:
-    """What an ingest did; ``failed`` holds at most 20 files and their faults, ``n_failed`` counts all."""
+    """What an ingest did. ``failures`` is a table ``(file_path, reason)`` of all files that failed, ``failed`` shows the first 20."""
 
     scanned: int
     written: int
     deleted: int
     n_failed: int
     failed: list[tuple[str, str]]
+    failures: DataFrame | None = None
 
 
 class Ingest:
@@ -200,16 +204,15 @@ class Ingest:
             raise ValueError("the overlap must be less than half the size")
 
     def files(self, root: str, pattern: str | None = None) -> DataFrame:
-        paths = vault.list_files(root, pattern, self.pages is not None, vault.load_excludes(root))
-        return vault.read_files(self.spark, root, paths)
+        excludes = vault.load_excludes(root) if self.settings.respect_excludes else None
+        listed = materialise(vault.list_files(self.spark, root, pattern, self.pages is not None, excludes), "listed")
+        return vault.read_files(listed, root)
 
     def run(self, root: str, pattern: str | None = None) -> Report:
         """One pass: only changed notes are parsed; notes without a file any more go, unless nothing was found at all.
 
         A note none of whose chunks has enough words keeps its old rows. With a ``pattern`` only notes whose path fits may go.
         """
-        from lodestone.scratch import materialise
-
         found = materialise(hashed(self.files(root, pattern), self.settings, self.embedder.name), "files")
         scanned = found.count()
         if not scanned:
@@ -222,15 +225,11 @@ class Ingest:
 
     def apply(self, files: DataFrame) -> Report:
         """Add or replace the notes of some files, deleting none; what a stream calls for each batch."""
-        from lodestone.scratch import materialise
-
         found = hashed(files, self.settings, self.embedder.name)
         rows = materialise(parsed(changed(found, self.store.meta()), self.settings, self.pages, self.convert), "parsed")
         return self._write(files.count(), rows, None)
 
     def _write(self, scanned: int, rows: DataFrame, gone: DataFrame | None) -> Report:
-        from lodestone.scratch import materialise
-
         ready = numbered(rows, self.settings).withColumn("embed", embed_text(F.col("title"), F.col("heading_path"), F.col("tags"), F.when(is_code_only(F.col("plain")), F.col("text")).otherwise(F.col("plain")), self.settings.max_tokens))
         new = materialise(embedded(ready.drop("error"), "embed", self.embedder), "chunks")
         links = new.where("chunk_index = 0").select(F.col("note_slug").alias("source_slug"), F.explode("links").alias("raw"))
@@ -238,8 +237,8 @@ class Ingest:
         deleted = gone.distinct().count() if gone is not None else 0
         if written or deleted:
             self.store.replace(new.select([c.split()[0] for c in CHUNKS.split(", ")]), links, gone)
-        faults = rows.where(F.col("error").isNotNull())
-        return Report(scanned, written, deleted, faults.count(), [(r["file_path"], r["error"]) for r in faults.orderBy("file_path").limit(20).collect()])
+        faults = vault.failed(rows)
+        return Report(scanned, written, deleted, faults.count(), [tuple(r) for r in faults.orderBy("file_path").limit(20).collect()], faults)
 
 
 def retry_delays(status: int | None, retry_after: float | None, tries: int = 3, first: float = 2.0, most: float = 60.0) -> list[float]:

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import json
-import os
 import re
 from collections.abc import Iterator
-from pathlib import PurePosixPath
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FILES = "file_path string, content binary, error string"
+#: Files, and bytes of files, that are passed on together, and files of a task, about.
+FILES_AT_ONCE, BYTES, PER_TASK = 64, 1 << 24, 256
 
 
 def glob_regex(pattern: str, segments: bool = True) -> re.Pattern[str]:
@@ -54,12 +55,20 @@ def glob_regex(pattern: str, segments: bool = True) -> re.Pattern[str]:
     return re.compile(out + r"\Z", re.S)
 
 
+def opened(root: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder, local or of an address such as ``hdfs://``, and the folder's path in it."""
+    if "://" in root:
+        return fs.FileSystem.from_uri(root.rstrip("/"))
+    return fs.LocalFileSystem(), root.rstrip("/")
+
+
 def load_excludes(vault: str) -> list[str]:
     """Excluded paths of the vault's own settings; none if it has none or they cannot be read."""
     try:
-        with open(f"{vault}/.obsidian/app.json", encoding="utf-8") as f:
-            settings = json.load(f)
-    except (OSError, ValueError):
+        system, base = opened(vault)
+        with system.open_input_stream(f"{base}/.obsidian/app.json") as f:
+            settings = json.loads(f.read())
+    except (OSError, ValueError, pa.ArrowException):
         return []
     if not isinstance(settings, dict):
         return []
@@ -89,42 +98,61 @@ def is_excluded(path: str, filters: list[str]) -> bool:
     return False
 
 
-def list_files(vault: str, pattern: str | None = None, pdf: bool = False, excludes: list[str] | None = None) -> list[str]:
-    """Vault-relative paths of notes, in order. Hidden names are skipped, hidden folders with all they hold."""
+def list_files(spark: SparkSession, vault: str, pattern: str | None = None, pdf: bool = False, excludes: list[str] | None = None) -> DataFrame:
+    """``(file_path)``: the notes' paths within the vault. Hidden names are skipped, hidden folders with all they hold.
+
+    The vault's own entries are listed here, what lies below its folders in the tasks.
+    """
     wanted = glob_regex(pattern) if pattern else None
-    found = []
-    for folder, names, files in os.walk(vault):
-        names[:] = sorted(n for n in names if not n.startswith("."))
-        for name in sorted(files):
-            path = PurePosixPath(os.path.relpath(f"{folder}/{name}", vault)).as_posix()
-            ending = os.path.splitext(name)[1].lower()
-            if name.startswith(".") or not (ending == ".md" or (pdf and ending == ".pdf")):
-                continue
-            if (wanted and not wanted.match(path)) or (excludes and is_excluded(path, excludes)):
-                continue
-            found.append(path)
-    return found
-
-
-def read_files(spark: SparkSession, vault: str, paths: list[str], per_task: int = 64) -> DataFrame:
-    """``(file_path, content, error)``: the files, read in the tasks from a folder that all executors see.
+
+    def fits(path: str) -> bool:
+        note = path.lower().endswith(".md") or (pdf and path.lower().endswith(".pdf"))
+        return note and not any(p.startswith(".") for p in path.split("/")) and (not wanted or bool(wanted.match(path))) and not (excludes and is_excluded(path, excludes))
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = opened(vault)
+        for batch in batches:
+            for path, folder in zip(batch["path"].to_pylist(), batch["folder"].to_pylist()):
+                found = [x.path[len(base) + 1 :] for x in system.get_file_info(fs.FileSelector(f"{base}/{path}", recursive=True)) if x.type == fs.FileType.File] if folder else [path]
+                yield pa.RecordBatch.from_arrays([pa.array([p for p in found if fits(p)], pa.string())], ["file_path"])
+
+    system, base = opened(vault)
+    top = [(x.base_name, x.type == fs.FileType.Directory) for x in system.get_file_info(fs.FileSelector(base)) if not x.base_name.startswith(".")]
+    entries = spark.createDataFrame(top, "path string, folder boolean")
+    return entries.repartition(max(1, min(len(top), 1000))).mapInArrow(below, "file_path string")
+
+
+def read_files(listed: DataFrame, vault: str) -> DataFrame:
+    """``(file_path, content, error)``: the files, read in the tasks. ``listed`` is a table that was written.
 
     What cannot be read has a null content and the reason. Spark's own file source skips names that begin with an
     underscore, which notes may have.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = opened(vault)
+        rows: list[tuple[str, bytes | None, str | None]] = []
+        size = 0
         for batch in batches:
             for path in batch["file_path"].to_pylist():
                 try:
-                    with open(f"{vault}/{path}", "rb") as f:
-                        row = (path, f.read(), None)
-                except OSError as e:
-                    row = (path, None, str(e))
-                yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.string()), pa.array([row[1]], pa.binary()), pa.array([row[2]], pa.string())], ["file_path", "content", "error"])
-
-    listed = spark.createDataFrame([(p,) for p in paths], "file_path string").repartition(max(1, len(paths) // per_task))
-    return listed.mapInArrow(run, FILES)
+                    with system.open_input_stream(f"{base}/{path}") as f:
+                        rows.append((path, f.read(), None))
+                except (OSError, pa.ArrowException) as e:
+                    rows.append((path, None, str(e)))
+                size += len(rows[-1][1] or b"")
+                if size > BYTES or len(rows) == FILES_AT_ONCE:
+                    yield _files(rows)
+                    rows, size = [], 0
+        if rows:
+            yield _files(rows)
+
+    return listed.repartition(max(1, listed.count() // PER_TASK)).mapInArrow(run, FILES)
+
+
+def _files(rows: list[tuple[str, bytes | None, str | None]]) -> pa.RecordBatch:
+    path, content, error = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(content, pa.binary()), pa.array(error, pa.string())], ["file_path", "content", "error"])
 
 
 def failed(files: DataFrame) -> DataFrame:

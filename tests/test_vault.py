@@ -31,19 +31,27 @@ def root(tmp_path):
     return at
 
 
-def test_listing(root):
-    assert vault.list_files(str(root)) == ["Alpha.md", "_odd.md", "sub/Beta.md"]
-    assert vault.list_files(str(root), "sub/**") == ["sub/Beta.md"] == vault.list_files(str(root), "**/B*.md")
-    assert vault.list_files(str(root), "*.md") == ["Alpha.md", "_odd.md"]
+def listed(spark, root, *args, **options):
+    return sorted(r[0] for r in vault.list_files(spark, str(root), *args, **options).collect())
+
+
+def test_listing(spark, root):
+    assert listed(spark, root) == ["Alpha.md", "_odd.md", "sub/Beta.md"]
+    assert listed(spark, root, "sub/**") == ["sub/Beta.md"] == listed(spark, root, "**/B*.md")
+    assert listed(spark, root, "*.md") == ["Alpha.md", "_odd.md"] == listed(spark, f"file://{root}", "*.md")
+    put(root, "sub/.in/x.md", BODY)
+    put(root, "sub/deep/er/Y.MD", BODY)
+    put(root, "sub/z.pdf", "")
+    assert listed(spark, root, "sub/**", True) == ["sub/Beta.md", "sub/deep/er/Y.MD", "sub/z.pdf"]
     with pytest.raises(ValueError):
-        vault.list_files(str(root), "a[")
+        listed(spark, root, "a[")
 
 
-def test_excludes(root):
+def test_excludes(spark, root):
     put(root, ".obsidian/app.json", json.dumps({"userIgnoreFilters": ["sub/", "**/_*"], "attachmentFolderPath": "./files"}))
     filters = vault.load_excludes(str(root))
     assert filters == ["sub/", "**/_*", "files/"]
-    assert vault.list_files(str(root), excludes=filters) == ["Alpha.md"]
+    assert listed(spark, root, excludes=filters) == ["Alpha.md"]
     assert vault.load_excludes("/nowhere") == []
 
 
@@ -143,6 +151,29 @@ def test_ingest_follows_the_vault(spark, root, tmp_path):
     assert store.chunks.count() == 0 and store.links.count() == 0
 
 
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), buckets=8)
+    run = ingest.Ingest(spark, store, ingest.HashingEmbedder(8), ingest.Settings(400, 50, 3))
+    put(tmp_path, "v/x.md", "# X\n\nlinks to [[Later]] and [[b0]] here")
+    for k in range(12):
+        put(tmp_path, f"v/b{k}.md", f"note number {k} with [[x]]")
+    run.run(str(tmp_path / "v"))
+    before = store.manifest()["folders"]
+    put(tmp_path, "v/Later.md", "now it is there")
+    assert run.run(str(tmp_path / "v")).written == 1
+    after = store.manifest()["folders"]
+    changed = {t: [b for b in {*before[t], *after[t]} if before[t].get(b) != after[t].get(b)] for t in after}
+    assert len(changed["chunks"]) == 1 and len(changed["raw"]) <= 1 and 1 <= len(changed["links"]) <= 2
+    assert ("x", "later") in {(r["source_slug"], r["target_slug"]) for r in store.links.collect()} and store.links.count() == 14
+    assert store.chunks.count() == 14 and set(store.check().values()) == {0}
+    for _ in range(2):  # folders of older states go
+        put(tmp_path, "v/Later.md", f"now it is there {_}")
+        run.run(str(tmp_path / "v"))
+    used = {f for m in (store.manifest(), json.loads(store._load(store.manifest()["before"]))) for f in m["folders"]["chunks"].values()}
+    assert {p.name for p in (tmp_path / "s/chunks").iterdir() if not p.name.startswith(".")} == used
+    assert len(list((tmp_path / "s").glob("manifest-*.json"))) == 2
+
+
 def test_faulty_files_are_reported(spark, root, tmp_path):
     put(root, "bad.pdf", "x")
 
@@ -152,6 +183,7 @@ def test_faulty_files_are_reported(spark, root, tmp_path):
     run = ingest.Ingest(spark, Store(spark, str(tmp_path / "s")), ingest.HashingEmbedder(8), ingest.Settings(400, 50, 5), pages)
     report = run.run(str(root))
     assert report.n_failed == 1 and report.failed[0][0] == "bad.pdf" and "no text" in report.failed[0][1]
+    assert [r["file_path"] for r in report.failures.collect()] == ["bad.pdf"]
 
 
 def test_stream_of_files(spark, root, tmp_path):
