@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +16,9 @@ from lodestone.sources.store import Store
 class Engine:
     """Answers questions about the notes of a store. Results are DataFrames, bounded by their limits where they have one."""
 
-    def __init__(self, store: Store, embedder: Embedder):
-        self.store, self.embedder = store, embedder
+    def __init__(self, store: Store, embedder: Embedder, exact: bool = False):
+        """``exact`` searches rank all chunks and have no limit of 100 rows."""
+        self.store, self.embedder, self.exact = store, embedder, exact
         self._at: str | None = None
 
     def _read(self) -> None:
@@ -62,10 +64,10 @@ class Engine:
             return tags.tag_search(self.chunks, where.tag, limit, where=where.column())
         vecs = self.vectors(asked)
         if len(asked) == 1:
-            found = vector.semantic_search(self.chunks, vecs[0], limit, per_note, where.column())
+            found = vector.semantic_search(self.chunks, vecs[0], limit, per_note, where.column(), self.exact)
             found = found.withColumn("matched_queries", F.when(F.col("score") > 0, F.array(F.lit(asked[0]))))
         else:
-            found = vector.multi_search(self.chunks, vecs, asked, limit, per_note, where.column())
+            found = vector.multi_search(self.chunks, vecs, asked, limit, per_note, where.column(), self.exact)
         if lexical.needs_fallback(found, min_score):
             return lexical.lexical_search(self.chunks, " ".join(asked), limit, where.column())
         return notes.with_context(found, self.chunks, context) if context > 0 else found
@@ -75,15 +77,15 @@ class Engine:
         return tags.tag_search(self.chunks, tag, limit or 50, children)
 
     def shared_tags(self, name: str, least: int = 1) -> DataFrame:
-        return tags.shared_tags(self._headers(), self.resolve(name), least)
+        return tags.shared_tags(self.headers(), self.resolve(name), least)
 
     def list_tags(self, limit: int | None = None) -> DataFrame:
-        return tags.list_tags(self._headers(), limit)
+        return tags.list_tags(self.headers(), limit)
 
     def suggest_tags(self, tag: str, limit: int = 3) -> DataFrame:
-        return tags.suggest_tags(self._headers(), tag, limit)
+        return tags.suggest_tags(self.headers(), tag, limit)
 
-    def _headers(self) -> DataFrame:
+    def headers(self) -> DataFrame:
         self._read()
         return self.notes
 
@@ -99,23 +101,33 @@ class Engine:
         """Similar notes without a link: to the name as a query, or (``deep``) to each chunk of the note."""
         slug = self.resolve(name)
         if deep:
-            return hybrid.hidden_deep(self.chunks, self.links, self.aliases, slug, limit, per_note, include_linked)
-        return hybrid.hidden(self.chunks, self.links, self.aliases, self.vectors([name])[0], slug, limit, include_linked)
+            return hybrid.hidden_deep(self.chunks, self.links, self.aliases, slug, limit, per_note, include_linked, self.exact)
+        return hybrid.hidden(self.chunks, self.links, self.aliases, self.vectors([name])[0], slug, limit, include_linked, self.exact)
 
     def boosted(self, query: str, seed: str, boost: float = 1.5, limit: int = 10) -> DataFrame:
         slug = self.resolve(seed)
-        return hybrid.boosted(self.chunks, self.links, self.aliases, self.vectors([query])[0], slug, boost, limit)
+        return hybrid.boosted(self.chunks, self.links, self.aliases, self.vectors([query])[0], slug, boost, limit, exact=self.exact)
 
     def get(self, name: str, head: int | None = None) -> DataFrame:
         slug = self.resolve(name)
         return notes.get_note(self.chunks, slug, head)
 
+    def content(self, name: str, head: int | None = None, meta: bool = False) -> dict[str, Any]:
+        """One note with its text, or its beginning, or (``meta``) without."""
+        slug = self.resolve(name)
+        row = (self.meta(slug) if meta else notes.get_note(self.chunks, slug, head)).first()
+        if row is None:
+            raise LookupError(f"{name!r} names no note")
+        found = row.asDict()
+        tags = self.chunks.where((F.col("note_slug") == slug) & (F.col("chunk_index") == 0)).select("tags").first() if meta else None
+        return {"note_slug": slug, "title": found["title"], "file_path": found["file_path"], "tags": tags[0] if tags else found.get("tags"), "text": "" if meta else found["content"], "chunks": found["n_chunks"] if meta else found["total"]}
+
     def meta(self, name: str) -> DataFrame:
         slug = self.resolve(name)
         return notes.note_meta(self.chunks.where(F.col("note_slug") == slug))
 
     def slugs(self) -> DataFrame:
-        return self._headers().select("note_slug").distinct().orderBy("note_slug")
+        return self.headers().select("note_slug").distinct().orderBy("note_slug")
 
     def stats(self) -> DataFrame:
         self._read()

@@ -17,13 +17,14 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.scalars import embed_text, is_code_only, slugify, title_from_path, word_count
 from lodestone.functions.scalars import SCHEMA_VERSION
-from lodestone.operators.tags import MOST_TAGS
 from lodestone.scratch import materialise
 from lodestone.sources import markdown, vault
 from lodestone.sources.store import CHUNKS, Store
 
 #: ``<!-- page -->`` breaks are written between the pages of one chunk.
 PAGE_BREAK = "\n\n---\n\n"
+# Tokens of a converter's window if none are given, and those reserved for its task and answer.
+WINDOW, RESERVED = 128000, 8192
 #: Files whose chunks are passed on together.
 FILES = 64
 #: Places of a file whose chunks are numbered by one task.
@@ -115,10 +116,11 @@ def pack_pages(pages: Sequence[str], tokens: int) -> list[str]:
 PARSED = "file_path string, note_slug string, title string, file_type string, content_hash string, position int, heading_path string, heading_level int, has_task boolean, has_code boolean, tags array<string>, text string, plain string, links array<string>, error string"
 
 
-def parsed(files: DataFrame, settings: Settings, pages: Callable[[bytes], list[str]] | None = None, convert: Callable[[str], str] | None = None) -> DataFrame:
+def parsed(files: DataFrame, settings: Settings, pages: Callable[[bytes], list[str]] | None = None, convert: Callable[[str], str] | None = None, window: int = WINDOW) -> DataFrame:
     """One row per chunk. A file that cannot be read or parsed gives one row with the reason in ``error``.
 
-    ``pages`` gives the text of each page of a PDF, ``convert`` turns such text into Markdown.
+    ``pages`` gives the text of each page of a PDF, ``convert`` turns such text into Markdown, as much at a time as fits ``window`` tokens
+    less those reserved. A PDF of which nothing is left after that keeps its old rows.
     """
     names = [f.split(" ")[0] for f in PARSED.split(", ")]
     schema = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}[f.split(" ")[1]]) for n, f in zip(names, PARSED.split(", "))])
@@ -131,7 +133,7 @@ def parsed(files: DataFrame, settings: Settings, pages: Callable[[bytes], list[s
             if f["file_type"] == "pdf":
                 if pages is None:
                     raise ValueError("no reader for PDF files")
-                parts = pack_pages(pages(f["content"]), 3000)
+                parts = pack_pages(pages(f["content"]), window - RESERVED)
                 text = "\n\n".join(convert(p) if convert else p for p in parts)
             else:
                 text = f["content"].decode("utf-8", "replace")
@@ -143,7 +145,7 @@ def parsed(files: DataFrame, settings: Settings, pages: Callable[[bytes], list[s
         if f["file_type"] == "md" and isinstance(title, str) and title.strip():
             base["title"] = title.strip()
         for k, c in enumerate(note.chunks):
-            yield base | {"position": k, "heading_path": c.heading_path, "heading_level": c.heading_level, "has_task": c.has_task, "has_code": c.has_code, "tags": note.tags[:MOST_TAGS], "text": c.rich, "plain": c.embed, "links": note.links}
+            yield base | {"position": k, "heading_path": c.heading_path, "heading_level": c.heading_level, "has_task": c.has_task, "has_code": c.has_code, "tags": note.tags, "text": c.rich, "plain": c.embed, "links": note.links}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,9 +199,9 @@ class Report:
 class Ingest:
     """Brings a store up to date with a vault."""
 
-    def __init__(self, spark: SparkSession, store: Store, embedder: Embedder, settings: Settings | None = None, pages: Callable[[bytes], list[str]] | None = None, convert: Callable[[str], str] | None = None):
+    def __init__(self, spark: SparkSession, store: Store, embedder: Embedder, settings: Settings | None = None, pages: Callable[[bytes], list[str]] | None = None, convert: Callable[[str], str] | None = None, window: int = WINDOW):
         self.spark, self.store, self.embedder, self.settings = spark, store, embedder, settings or Settings()
-        self.pages, self.convert = pages, convert
+        self.pages, self.convert, self.window = pages, convert, window
         if self.settings.overlap * 2 >= self.settings.size:
             raise ValueError("the overlap must be less than half the size")
 
@@ -220,13 +222,13 @@ class Ingest:
         known = self.store.chunks.where("chunk_index = 0").select("note_slug", "content_hash", "file_type", "file_path")
         scope = vault.glob_regex(pattern).pattern.replace(r"\Z", r"\z") if pattern else None
         gone = materialise(stale(known, found, self.pages is None, f"^(?s){scope}" if scope else None), "stale")
-        rows = materialise(parsed(changed(found, known), self.settings, self.pages, self.convert), "parsed")
+        rows = materialise(parsed(changed(found, known), self.settings, self.pages, self.convert, self.window), "parsed")
         return self._write(scanned, rows, gone)
 
     def apply(self, files: DataFrame) -> Report:
         """Add or replace the notes of some files, deleting none; what a stream calls for each batch."""
         found = hashed(files, self.settings, self.embedder.name)
-        rows = materialise(parsed(changed(found, self.store.meta()), self.settings, self.pages, self.convert), "parsed")
+        rows = materialise(parsed(changed(found, self.store.meta()), self.settings, self.pages, self.convert, self.window), "parsed")
         return self._write(files.count(), rows, None)
 
     def _write(self, scanned: int, rows: DataFrame, gone: DataFrame | None) -> Report:

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 from lodestone.functions.scalars import normal_tag
 from lodestone.operators.filters import tagged
 
-# A fixed value: tags of a note that are kept.
-MOST_TAGS = 20
-
 
 def _first_per_note(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(W.partitionBy("note_slug").orderBy("chunk_index", "id"))).where("_n = 1").drop("_n")

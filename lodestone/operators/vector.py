@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -25,8 +26,12 @@ def cosine(vector: Column, query: Sequence[float]) -> Column:
     return F.when(F.size(vector) == len(query), F.try_divide(dot, F.sqrt(square) * length))
 
 
-def clamp(limit: int) -> int:
-    return max(1, min(limit, MOST))
+def clamp(limit: int, exact: bool = False) -> int:
+    """A limit that can be met: at least 1, and, but for ``exact`` searches, at most ``MOST``, of which is warned."""
+    if limit > MOST and not exact:
+        logging.getLogger("lodestone").warning("limit %d is above %d, results are cut; an exact search has no such limit", limit, MOST)
+        return MOST
+    return max(1, limit)
 
 
 def fetch_size(limit: int, per_note: int) -> int:
@@ -48,17 +53,17 @@ def semantic_search(chunks: DataFrame, query: Sequence[float], limit: int = 10,
     """The chunks nearest to ``query``, with ``score``, at most ``per_note`` of a note.
 
     As an index does, only the nearest ``fetch_size`` chunks are looked at before the cap, so fewer than
-    ``limit`` may come; ``exact`` caps over all chunks. The limit is 1 to 100. Ties rank by note and position.
+    ``limit`` may come; ``exact`` caps over all chunks. The limit is 1 to 100, unless ``exact``. Ties rank by note and position.
     """
-    limit, per_note = clamp(limit), max(per_note, 1)
+    limit, per_note = clamp(limit, exact), max(per_note, 1)
     scored = (chunks.where(where) if where is not None else chunks).withColumn("score", cosine(F.col("embedding"), query))
     # Null scores sort last and go after the limit; a filter before it would compute every score twice.
     near = scored if exact else scored.orderBy(*_best()).limit(fetch_size(limit, per_note))
     return cap_per_note(near.where("score is not null"), per_note, limit, _best())
 
 
-def _scored(rows: DataFrame, queries: Sequence[Sequence[float]], names: Sequence[str], most: int) -> DataFrame:
-    """``(id, note_slug, chunk_index, k, query, score)`` of at least the ``most`` best rows of each query.
+def _scored(rows: DataFrame, queries: Sequence[Sequence[float]], names: Sequence[str], most: int | None) -> DataFrame:
+    """``(id, note_slug, chunk_index, k, query, score)`` of at least the ``most`` best rows of each query, or of all.
 
     One matrix product per batch scores all queries; a batch passes on only what may be among the best of all rows.
     """
@@ -80,7 +85,7 @@ def _scored(rows: DataFrame, queries: Sequence[Sequence[float]], names: Sequence
                 with np.errstate(all="ignore"):
                     score = (vec @ matrix[ks, :size].T) / (np.linalg.norm(vec, axis=1)[:, None] * norms[ks])
                 score[~np.isfinite(score)] = -np.inf
-                least = np.partition(score, -most, axis=0)[-most] if len(score) > most else np.full(len(ks), -np.inf)
+                least = np.partition(score, -most, axis=0)[-most] if most and len(score) > most else np.full(len(ks), -np.inf)
                 row, col = np.nonzero((score >= least) & (score > -np.inf))
                 kept = pa.array(row)
                 yield pa.RecordBatch.from_arrays([part[c].take(kept) for c in ("id", "note_slug", "chunk_index")] + [pa.array(ks[col].astype(np.int32)), labels.take(pa.array(ks[col])), pa.array(score[row, col])], ["id", "note_slug", "chunk_index", "k", "query", "score"])
@@ -88,21 +93,23 @@ def _scored(rows: DataFrame, queries: Sequence[Sequence[float]], names: Sequence
     return rows.select("id", "note_slug", F.col("chunk_index").cast("int").alias("chunk_index"), "embedding").mapInArrow(run, "id string, note_slug string, chunk_index int, k int, query string, score double")
 
 
-def multi_search(chunks: DataFrame, queries: Sequence[Sequence[float]], labels: Sequence[str], limit: int = 10, per_note: int = 3, where: Column | None = None) -> DataFrame:
+def multi_search(chunks: DataFrame, queries: Sequence[Sequence[float]], labels: Sequence[str], limit: int = 10, per_note: int = 3, where: Column | None = None, exact: bool = False) -> DataFrame:
     """Chunks near to any of several queries: notes that more queries meet come first, then better scores.
 
-    One scan scores all queries. Each contributes its nearest chunks as a search of its own would; scores of 0 or less do
+    One scan scores all queries. Each contributes its nearest chunks as a search of its own would, ``exact`` or not; scores of 0 or less do
     not count. ``matched_queries`` names the note's queries that pass :func:`attribution`. Blank labels are numbered, equal ones are one query.
     """
     if not len(queries):
         return chunks.limit(0).selectExpr("*", "0D AS score", "0L AS n_queries", "array('') AS matched_queries")
-    limit, per_note = clamp(limit), max(per_note, 1)
+    limit, per_note = clamp(limit, exact), max(per_note, 1)
     names = [lab if lab.strip() else f"query_{k + 1}" for k, lab in enumerate(labels)]
-    fetch, cap = min(max(2 * limit, 20), MOST), max(2 * per_note, 6)
+    fetch, cap = max(2 * limit, 20), max(2 * per_note, 6)
+    fetch = fetch if exact else min(fetch, MOST)
+    window = None if exact else fetch_size(fetch, cap)
     rows = chunks.where(where) if where is not None else chunks
-    scored = _scored(rows, queries, names, fetch_size(fetch, cap))
+    scored = _scored(rows, queries, names, window)
     per_query = lambda *more: W.partitionBy("k", *more).orderBy(*_best())
-    near = scored.withColumn("r", F.row_number().over(per_query())).where(F.col("r") <= fetch_size(fetch, cap)).drop("r")
+    near = scored.withColumn("r", F.row_number().over(per_query())).where(F.col("r") <= window).drop("r") if window else scored
     near = near.withColumn("r", F.row_number().over(per_query("note_slug"))).where(F.col("r") <= cap).drop("r")
     near = near.withColumn("r", F.row_number().over(per_query())).where(F.col("r") <= fetch).drop("r").where("score > 0")
     of_note = near.groupBy("note_slug", "query").agg(F.max("score").alias("s")).groupBy("note_slug").agg(F.count("*").alias("n_queries"), F.collect_list(F.struct(F.col("s"), F.col("query").alias("q"))).alias("by_query"))

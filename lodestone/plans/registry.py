@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lodestone.plans import orphans, pipeline, retrieval
+from lodestone.plans import cases, orphans, pipeline, retrieval
 
 FLAGSHIP = "semantic_topk"
-_MODULES = (orphans, retrieval, pipeline)
+_MODULES = (orphans, retrieval, pipeline, cases)
 
 
 def queries() -> dict:

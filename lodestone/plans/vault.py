@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import graph
 from lodestone.operators.records import latest
-from lodestone.operators.tags import MOST_TAGS
 from lodestone.scratch import materialise, remembered, state_of
 
 
@@ -15,13 +14,13 @@ NAMES = ("id", "note_slug", "title", "file_path", "chunk_index", "heading_path",
 
 
 def chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    """The latest delivery of every chunk, of all or some columns; missing texts are empty, missing flags false, tags cut to those kept."""
+    """The latest delivery of every chunk, of all or some columns; missing texts are empty, missing flags false, missing tags none."""
     names = [n for n in NAMES if n in (*columns, "id")] if columns else list(NAMES)
     rows = latest(spark.read.parquet(f"{d}/chunks.parquet"), "id", "ingested_at", *names)
     empty = {c: F.coalesce(F.col(c), F.lit("")) for c in ("title", "file_path", "heading_path", "file_type", "content_hash", "text")}
     flags = {c: F.coalesce(F.col(c), F.lit(False)) for c in ("has_task", "has_code")}
     zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("chunk_index", "heading_level")}
-    tags = {"tags": F.slice(F.coalesce("tags", F.array().cast("array<string>")), 1, MOST_TAGS)}
+    tags = {"tags": F.coalesce("tags", F.array().cast("array<string>"))}
     return rows.withColumns({c: f for c, f in (empty | flags | zero | tags).items() if c in names})
 
 
@@ -91,7 +90,7 @@ SQL_IMAGES = "'png', 'jpg', 'jpeg', 'gif', 'svg', 'webp', 'avif', 'bmp', 'tiff',
 SQL_OTHERS = "'mp4', 'webm', 'mov', 'mkv', 'avi', 'mp3', 'wav', 'ogg', 'flac', 'm4a', 'aac', 'canvas', 'excalidraw', 'zip', 'gz', 'tar', '7z', 'rar', 'docx', 'pptx', 'xlsx', 'epub'"
 _FILES = f"{SQL_IMAGES}, {SQL_OTHERS}"
 C = f"""c AS (SELECT id, note_slug, coalesce(title, '') AS title, coalesce(file_path, '') AS file_path, coalesce(chunk_index, 0) AS chunk_index, coalesce(heading_path, '') AS heading_path, coalesce(heading_level, 0) AS heading_level,
-  coalesce(has_task, false) AS has_task, coalesce(has_code, false) AS has_code, coalesce(file_type, '') AS file_type, coalesce(content_hash, '') AS content_hash, coalesce(tags, [])[:{MOST_TAGS}] AS tags, coalesce(text, '') AS text, embedding
+  coalesce(has_task, false) AS has_task, coalesce(has_code, false) AS has_code, coalesce(file_type, '') AS file_type, coalesce(content_hash, '') AS content_hash, coalesce(tags, []) AS tags, coalesce(text, '') AS text, embedding
   FROM chunks WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC NULLS LAST) = 1),
 h AS (SELECT * FROM c WHERE chunk_index = 0),
 v AS (SELECT *, embedding::DOUBLE[] AS e FROM c WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)"""

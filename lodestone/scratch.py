@@ -75,15 +75,24 @@ def state_of(*tables: DataFrame) -> tuple | None:
 
 
 def remembered(state: tuple | None, name: str, make: Callable[[], T]) -> T:
-    """What ``make`` gives, made once for each state of the tables it is made of; always anew if that is not known."""
+    """What ``make`` gives, made once for each state of the tables it is made of; anew if that is not known, or if tables among it are gone."""
     if state is None:
         return make()
     key = (name, *state)
-    if key not in _REMEMBERED:
+    if key not in _REMEMBERED or not _there(_REMEMBERED[key]):
         _REMEMBERED[key] = make()
     return _REMEMBERED[key]  # type: ignore[return-value]
 
 
+def _there(made: object) -> bool:
+    for table in made if isinstance(made, tuple) else (made,):
+        if isinstance(table, DataFrame) and (files := table.inputFiles()):
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.sparkSession._jvm.java.net.URI(files[0]))
+            if not path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).exists(path):
+                return False
+    return True
+
+
 def clear(spark: SparkSession) -> None:
     """Delete every table that :func:`materialise` wrote; call it once the results are stored."""
     _REMEMBERED.clear()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
@@ -98,17 +98,35 @@ def is_excluded(path: str, filters: list[str]) -> bool:
     return False
 
 
-def list_files(spark: SparkSession, vault: str, pattern: str | None = None, pdf: bool = False, excludes: list[str] | None = None) -> DataFrame:
-    """``(file_path)``: the notes' paths within the vault. Hidden names are skipped, hidden folders with all they hold.
-
-    The vault's own entries are listed here, what lies below its folders in the tasks.
-    """
+def note_test(pattern: str | None = None, pdf: bool = False, excludes: list[str] | None = None) -> Callable[[str], bool]:
+    """Whether a path within the vault is one of a note that is wanted."""
     wanted = glob_regex(pattern) if pattern else None
 
     def fits(path: str) -> bool:
         note = path.lower().endswith(".md") or (pdf and path.lower().endswith(".pdf"))
         return note and not any(p.startswith(".") for p in path.split("/")) and (not wanted or bool(wanted.match(path))) and not (excludes and is_excluded(path, excludes))
 
+    return fits
+
+
+def wanted_files(paths: DataFrame, pattern: str | None = None, pdf: bool = False, excludes: list[str] | None = None) -> DataFrame:
+    """The rows of ``paths(file_path)`` that :func:`note_test` lets pass."""
+    fits = note_test(pattern, pdf, excludes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([p is not None and fits(p) for p in batch["file_path"].to_pylist()], pa.bool_()))
+
+    return paths.select("file_path").mapInArrow(run, "file_path string")
+
+
+def list_files(spark: SparkSession, vault: str, pattern: str | None = None, pdf: bool = False, excludes: list[str] | None = None) -> DataFrame:
+    """``(file_path)``: the notes' paths within the vault. Hidden names are skipped, hidden folders with all they hold.
+
+    The vault's own entries are listed here, what lies below its folders in the tasks.
+    """
+    fits = note_test(pattern, pdf, excludes)
+
     def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = opened(vault)
         for batch in batches:

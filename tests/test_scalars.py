@@ -41,7 +41,9 @@ def test_word_count_and_tokens(spark):
 
 
 def test_code_only(spark):
-    assert column(spark, ["```py\nx\n```", "a ```x```"], S.is_code_only) == [True, False]
+    given = ["[code:go]", " [code]\n\n[code:py]\n", "[code] and words", "```x```", ""]
+    df = spark.createDataFrame([(t,) for t in given], "t string")
+    assert [r[0] for r in df.select(S.is_code_only(F.col("t"))).collect()] == [True, True, False, False, False]
 
 
 def test_tsv_escape(spark):

@@ -210,3 +210,21 @@ def test_output(spark):
     assert [r[0] for r in output.text_lines(rows).collect()] == ["0.5000  medium  T\tx", "0.2500  low  U > H"]
     with pytest.raises(ValueError):
         output.json_path({}, "a[")
+
+
+def test_what_is_remembered(spark, tmp_path):
+    from lodestone import scratch
+
+    spark.range(5).write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    made = []
+
+    def make():
+        made.append(scratch.materialise(table))
+        return made[-1]
+
+    state = scratch.state_of(table)
+    assert scratch.remembered(state, "x", make) is scratch.remembered(scratch.state_of(spark.read.parquet(f"{tmp_path}/t")), "x", make) and len(made) == 1
+    scratch.discard(made[0])
+    assert scratch.remembered(state, "x", make).count() == 5 and len(made) == 2  # its files were gone
+    assert scratch.state_of(spark.range(3).toDF("id")) is None and scratch.remembered(None, "x", make) is made[-1] and len(made) == 3
