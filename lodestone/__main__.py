@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone import __version__
-from lodestone.engine import Engine
+from lodestone.engine import Engine, distinct_queries
 from lodestone.operators import filters, ingest, output
 from lodestone.operators.notes import group_by_note
 from lodestone.operators.tags import suggest_tags
@@ -79,7 +79,7 @@ def named(spec: str) -> Callable[..., Any]:
 
 def queries_of(a: argparse.Namespace) -> list[str]:
     given = a.query or ([] if sys.stdin is None or sys.stdin.isatty() else [sys.stdin.read()])
-    return [q for q in dict.fromkeys(q.strip() for q in given) if q]
+    return distinct_queries(given)
 
 
 def answer(a: argparse.Namespace, engine: Engine) -> DataFrame:

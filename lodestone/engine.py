@@ -13,6 +13,11 @@ from lodestone.operators.ingest import Embedder
 from lodestone.sources.store import Store
 
 
+def distinct_queries(queries: Sequence[str]) -> list[str]:
+    """Queries without outer blanks, blank ones and repeats, in their order."""
+    return [q for q in dict.fromkeys(q.strip() for q in queries) if q]
+
+
 class Engine:
     """Answers questions about the notes of a store. Results are DataFrames, bounded by their limits where they have one."""
 
@@ -53,7 +58,7 @@ class Engine:
         Queries are trimmed, blank and repeated ones dropped. ``context`` adds the texts of so many chunks on either side.
         """
         self._read()
-        asked = [q for q in dict.fromkeys(q.strip() for q in queries) if q]
+        asked = distinct_queries(queries)
         where = where or filters.SearchFilter()
         slugs, _ = self.excluded(exclude)
         if slugs:
@@ -127,7 +132,7 @@ class Engine:
         return notes.note_meta(self.chunks.where(F.col("note_slug") == slug))
 
     def slugs(self) -> DataFrame:
-        return self.headers().select("note_slug").distinct().orderBy("note_slug")
+        return notes.slugs(self.headers())
 
     def stats(self) -> DataFrame:
         self._read()

@@ -20,6 +20,11 @@ def headers(chunks: DataFrame) -> DataFrame:
 PART = 1000
 
 
+def slugs(heads: DataFrame) -> DataFrame:
+    """``(note_slug)`` of all notes, in order."""
+    return heads.select("note_slug").distinct().orderBy("note_slug")
+
+
 def note_parts(chunks: DataFrame, size: int = PART) -> DataFrame:
     """``(note_slug, part, n_chunks, content)``: each note put together again in parts of ``size`` places, joined by a blank line.
 

@@ -10,6 +10,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.engine import distinct_queries
 from lodestone.operators import ingest, output
 from lodestone.sources import convert, markdown
 from lodestone.sources.config import Settings
@@ -192,6 +193,31 @@ SERVICES = Cases(_service, (
     ("not tried again", {"status": 404}, ""),
 ))
 
-_ALL = {"markdown_chunks": MARKDOWN, "markdown_links_tags": COLLECTED, "page_packing": PACKING, "json_paths": PATHS, "text_output": SHOWN, "settings_values": SETTINGS, "converter_choice": SERVICES}
-QUERIES = {name: cases.query for name, cases in _ALL.items()}
-SQL = {name: cases.sql() for name, cases in _ALL.items()}
+
+QUERY_INPUTS = Cases(lambda given: "|".join(distinct_queries(given)), (
+    ("trimmed, once, in order", ["b ", " a", "b", ""], "b|a"),
+    ("case counts", ["A", "a"], "A|a"),
+    ("none", ["", " \n"], ""),
+))
+
+
+def _broken(content: bytes) -> list[str]:
+    if content == b"broken":
+        raise RuntimeError("no text")
+    return content.decode().split("\f")
+
+
+def ingest_files(spark: SparkSession, d: str) -> DataFrame:
+    """Four files through hashing, reading, conversion and parsing; one cannot be read, one not converted."""
+    files = [("A b.md", b"---\ntitle: T\n---\n# H\nwords of a note", None), ("p.pdf", b"page one\fpage two", None), ("q.pdf", b"broken", None), ("r.md", None, "gone")]
+    df = spark.createDataFrame([(p, bytearray(c) if c else None, e) for p, c, e in files], "file_path string, content binary, error string")
+    rows = ingest.parsed(ingest.hashed(df, ingest.Settings(), "m"), ingest.Settings(), _broken, lambda text: "# Paper\n\n" + text.replace("one", "1"), 20000)
+    return rows.select("file_path", "note_slug", "title", "file_type", "heading_path", "text", "error")
+
+
+# The line between two pages is a rule, so their paragraphs follow one another.
+_FILES_SQL = """SELECT * FROM (VALUES ('A b.md', 'a-b', 'T', 'md', 'H', 'words of a note', NULL), ('p.pdf', 'p-pdf', 'p', 'pdf', 'Paper', 'page 1 page two', NULL),
+('q.pdf', 'q-pdf', 'q', 'pdf', NULL, NULL, 'RuntimeError: no text'), ('r.md', 'r', 'r', 'md', NULL, NULL, 'ValueError: gone')) AS t(file_path, note_slug, title, file_type, heading_path, text, error)"""
+_ALL = {"query_inputs": QUERY_INPUTS, "markdown_chunks": MARKDOWN, "markdown_links_tags": COLLECTED, "page_packing": PACKING, "json_paths": PATHS, "text_output": SHOWN, "settings_values": SETTINGS, "converter_choice": SERVICES}
+QUERIES = {name: cases.query for name, cases in _ALL.items()} | {"ingest_files": ingest_files}
+SQL = {name: cases.sql() for name, cases in _ALL.items()} | {"ingest_files": _FILES_SQL}

@@ -158,6 +158,36 @@ def resolve_name(spark: SparkSession, d: str) -> DataFrame:
     return notes.resolve_names(notes_, asked).select("input", "note_slug", "status", "n_candidates")
 
 
+def name_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Slugs and paths of four notes, which name them whatever else they fit, and what names none."""
+    notes_ = heads(spark, d)
+    four = notes_.where("file_path <> ''").orderBy("note_slug").limit(4).collect()
+    out = []
+    for name in [*(r["note_slug"] for r in four), *(f" {r['file_path']} " for r in four), "no such note at all", " "]:
+        try:
+            out.append((name, notes.resolve_name(notes_, name)))
+        except LookupError:
+            out.append((name, "-"))
+    return spark.createDataFrame(out, "name string, note_slug string")
+
+
+def slug_list(spark: SparkSession, d: str) -> DataFrame:
+    return notes.slugs(heads(spark, d))
+
+
+def limit_clamped(spark: SparkSession, d: str) -> DataFrame:
+    """A limit of 500, of which 100 are given."""
+    return vector.semantic_search(chunks(spark, d, *VECTORS), seeds(spark, d, 1)[0], 500, 100).selectExpr(*SHOWN)
+
+
+def fallback_search(spark: SparkSession, d: str) -> DataFrame:
+    """Keyword hits, as no chunk is as similar as asked."""
+    found = vector.semantic_search(chunks(spark, d, *VECTORS), seeds(spark, d, 1)[0])
+    if not lexical.needs_fallback(found, 1.01) or lexical.needs_fallback(found, 0.5):
+        return found.selectExpr("note_slug", "0L AS hits")
+    return lexical.lexical_search(chunks(spark, d, *TEXTS, "file_type"), WORDS, 20).select("note_slug", "hits")
+
+
 def stats(spark: SparkSession, d: str) -> DataFrame:
     return notes.stats(chunks(spark, d, "note_slug", "chunk_index"), linked(spark, d)[0])
 
@@ -273,6 +303,10 @@ k AS (SELECT input, note_slug, CASE WHEN lower(title) = lower(input) THEN 'title
 g AS (SELECT input, [list(note_slug) FILTER (class = 'path'), list(note_slug) FILTER (class = 'title'), list(note_slug) FILTER (class = 'suffix'), list(note_slug) FILTER (class IS NOT NULL)] AS ls, count(class) AS n FROM k GROUP BY input),
 o AS (SELECT input, list_filter(ls, lambda x: len(x) = 1)[1][1] AS note_slug, n FROM g)
 SELECT input, note_slug, CASE WHEN note_slug IS NOT NULL THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'missing' END AS status, n AS n_candidates FROM o""",
+    "name_lookup": f"WITH {C}, f AS (SELECT note_slug, file_path FROM h WHERE file_path <> '' ORDER BY note_slug LIMIT 4) SELECT note_slug AS name, note_slug FROM f UNION ALL SELECT ' ' || file_path || ' ', note_slug FROM f UNION ALL SELECT 'no such note at all', '-' UNION ALL SELECT ' ', ''",
+    "slug_list": f"WITH {C} SELECT DISTINCT note_slug FROM h",
+    "limit_clamped": f"WITH {C}, {_semantic(100, 100)} SELECT {_SCORE} FROM q",
+    "fallback_search": f"WITH {C}, x AS (SELECT note_slug, ({_HIT})::BIGINT AS hits FROM h) SELECT * FROM x WHERE hits > 0 ORDER BY hits DESC, note_slug LIMIT 20",
     "stats": f"WITH {L} SELECT (SELECT count(DISTINCT note_slug) FROM h) AS notes, (SELECT count(*) FROM c) AS chunks, (SELECT count(*) FROM l) AS links",
     "slugify": f"WITH {L} SELECT DISTINCT raw, {sql_slug('raw')} AS slug, {sql_stem('raw')} AS title FROM rl WHERE raw IS NOT NULL",
     "attachment_flag": f"WITH {L}, e AS (SELECT unnest(string_split(' {" ".join(ENDINGS)}', ' ')) AS e), x AS (SELECT DISTINCT raw || e AS raw, lower(regexp_extract(trim(regexp_replace(raw || e, '[#|].*$', '', 's')), '\\.([A-Za-z0-9]+)$', 1)) AS ext FROM rl, e WHERE raw IS NOT NULL) SELECT raw, CASE WHEN ext IN ({SQL_IMAGES}) THEN 'image' WHEN ext IN ({SQL_OTHERS}) THEN 'attachment' END AS kind FROM x",
@@ -281,6 +315,6 @@ SELECT input, note_slug, CASE WHEN note_slug IS NOT NULL THEN 'resolved' WHEN n
 }
 _FUNCTIONS = (
     semantic_topk, semantic_exact, semantic_filtered, multi_query_rank, multi_query_attribution, min_score_round, group_by_note, lexical_search, tag_exact, tag_children, tag_list, tag_suggest, shared_tags, alias_table, link_resolve, backlinks,
-    neighbours, connections_1hop, connections_2hop, phantom_nodes, hidden_unlinked, hidden_include_linked, hidden_deep, graph_boosted, note_reconstruct, note_head, note_meta, context_window, resolve_name, stats, slugify, attachment_flag, content_hash, embed_text,
+    neighbours, connections_1hop, connections_2hop, phantom_nodes, hidden_unlinked, hidden_include_linked, hidden_deep, graph_boosted, note_reconstruct, note_head, note_meta, context_window, resolve_name, name_lookup, slug_list, limit_clamped, fallback_search, stats, slugify, attachment_flag, content_hash, embed_text,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
