@@ -64,7 +64,8 @@ def hub(spark: SparkSession, d: str) -> str:
     def make() -> str:
         links, _, notes = linked(spark, d)
         met = links.groupBy("target_slug").count().join(notes.select(F.col("note_slug").alias("target_slug")), "target_slug", "left_semi")
-        return met.orderBy(F.col("count").desc(), "target_slug").first()["target_slug"]
+        row = met.orderBy(F.col("count").desc(), "target_slug").first()
+        return row["target_slug"] if row else ""
 
     return remembered(_vault_state(spark, d), "hub", make)
 
