@@ -201,13 +201,13 @@ def test_settings(tmp_path):
 
 def test_output(spark):
     rows = spark.createDataFrame([("a", "T\tx", 0.5, 0, "", [], False), ("b", "U", 0.25, 3, "H", ["x"], True)], "note_slug string, title string, score double, chunk_index int, heading_path string, tags array<string>, lexical boolean")
-    assert [r[0] for r in output.tsv_rows(rows).collect()] == ["a\tT\\tx\t\t0.500000\t0\t\t\t", "b\tU\t\t0.250000\t3\tH\t\t"]
+    assert [r[0] for r in output.tsv_rows(rows).collect()] == ["a\tT\\tx\t\t0.500000\t\t\t\t", "b\tU\t\t0.250000\tx\t\tH\t"]
     made = output.envelope(rows, "search", "q")
     assert made["results"] == [{"note_slug": "a", "title": "T\tx", "score": 0.5}, {"note_slug": "b", "title": "U", "score": 0.25, "chunk_index": 3, "heading_path": "H", "tags": ["x"], "lexical": True}]
     assert output.printed(made, "{.results[*].note_slug}") == ["a", "b"]
     assert output.printed(made, "$.results[?(@.score > 0.3)].title") == ["T\tx"]
     assert output.printed(made, "..tags[0]") == ["x"] and output.printed(made, "total") == ["2"]
-    assert [r[0] for r in output.text_lines(rows).collect()] == ["0.5000  medium  T\tx", "0.2500  low  U > H"]
+    assert output.text_lines([r.asDict() for r in rows.collect()]) == [f"1. {'T' + chr(9) + 'x':<42}  score=0.5000", f"2. {'U (§ H)':<42}  score=0.2500  [#x]"]
     with pytest.raises(ValueError):
         output.json_path({}, "a[")
 
