@@ -241,12 +241,12 @@ def _verified(pairs: DataFrame, size: int, similarity: float, kind: str) -> Data
     return pairs.mapInArrow(run, f"id_a {kind}, id_b {kind}, owner_a string, owner_b string, score double")
 
 
-def similar_classes(rows: DataFrame, size: int = 5, similarity: float = 0.8, parts: int = 36, miss: float = 0.0005, id_col: str = "id", text_col: str = "text", owner_col: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def similar_classes(rows: DataFrame, size: int = 5, similarity: float = 0.8, parts: int = 36, miss: float = 0.0005, id_col: str = "id", text_col: str = "text", owner_col: str | None = None, list_records: bool = True) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """``(pairs, members, records)`` of the texts whose sets of ``size``-word shingles share ``similarity`` of their union.
 
     ``pairs(id_a, id_b, owner_a, owner_b, score)`` joins class representatives; ``members(rep, id, owner, many)``
     lists every record of the classes above one record, the representative among them;
-    ``records(id)`` has all records that have a shingle. Null texts, texts below ``size`` words and
+    ``records(id)`` has all records that have a shingle, if they are to be listed. Null texts, texts below ``size`` words and
     rows without id have none and are in no pair. ``miss`` bounds the chance to lose a pair just at
     ``similarity``; more similar ones are lost far more rarely. Whatever is found is verified exactly.
     """
@@ -262,7 +262,9 @@ def similar_classes(rows: DataFrame, size: int = 5, similarity: float = 0.8, par
     side = lambda s: stand_ins.select(F.col("rid").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("id", "owner", "text")])
     joined = met.join(side("a"), "a").join(side("b"), "b").where("id_a != id_b").drop("a", "b")
     pairs = materialise(_verified(joined, size, similarity, kind), "verified")
-    return pairs, members, base.select("id")
+    records = materialise(base.select("id"), "records") if list_records else None
+    discard(base)
+    return pairs, members, records
 
 
 def _blocked(members: DataFrame) -> DataFrame:
@@ -305,7 +307,7 @@ def near_duplicates(rows: DataFrame, write_out: int | None = WRITE_OUT, **option
     ``write_out`` records, or of every class if that is None; in larger ones each record is linked to the class's smallest
     id only, or to the smallest of another owner if that id is of the record's own. Options as in :func:`similar_classes`.
     """
-    pairs, members, _ = similar_classes(rows, **options)
+    pairs, members, _ = similar_classes(rows, list_records=False, **options)
     whole = members if write_out is None else members.where(F.col("many") <= write_out)
     itself = whole.where("id = rep").select(F.col("rep").alias("id_a"), F.col("rep").alias("id_b"), F.col("owner").alias("owner_a"), F.col("owner").alias("owner_b"))
     blocked = _blocked(members)
