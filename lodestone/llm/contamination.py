@@ -28,6 +28,8 @@ INVISIBLE = "­​‌‍﻿"
 _INVISIBLE = re.compile(f"[{INVISIBLE}]")
 #: Characters of test items in one set, whose n-grams then take some 60 MB.
 BLOCK_CHARS = 4_000_000
+#: Texts that are searched together.
+TEXTS = 1000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -135,16 +137,10 @@ def leaked_spans(docs: DataFrame, items: DataFrame, n: int = 12, doc_key: str =
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = shared.value
-            look = known.vocabulary.get
             for batch in batches:
-                for at in range(0, batch.num_rows, 1000):
-                    part = batch.slice(at, 1000)
-                    flat, ends = [], []
-                    for text in part["text"].to_pylist():
-                        flat += [look(w, 0) for w in words_of(text)]
-                        flat.append(0)  # no window runs into the next text
-                        ends.append(len(flat))
-                    yield _spans(known, np.array(flat, np.int32), np.array(ends), part["key"])
+                for at in range(0, batch.num_rows, TEXTS):
+                    part = batch.slice(at, TEXTS)
+                    yield _spans(known, *_numbered(known, part["text"].to_pylist()), part["key"])
 
         return held.mapInArrow(run, f"{doc_key} {kind}, item_id long, first_word int, last_word int")
 
@@ -160,6 +156,18 @@ def leaked_spans(docs: DataFrame, items: DataFrame, n: int = 12, doc_key: str =
     return reduce(DataFrame.unionByName, found) if found else scan(NgramSet.of([], n))
 
 
+def _numbered(known: NgramSet, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all texts as numbers, 0 behind each text, and where the texts end."""
+    look = known.vocabulary.get
+    flat: list[int] = []
+    ends: list[int] = []
+    for text in texts:
+        flat += [look(w, 0) for w in words_of(text)]
+        flat.append(0)  # no window runs into the next text
+        ends.append(len(flat))
+    return np.array(flat, np.int32), np.array(ends)
+
+
 def _spans(known: NgramSet, words: np.ndarray, ends: np.ndarray, keys: pa.Array) -> pa.RecordBatch:
     found = [(p, g) for p, g in known.hits(words) if len(p)]
     if found:
@@ -201,19 +209,39 @@ def without_words(text: str, spans: list[tuple[int, int]]) -> str:
 def without_leaks(docs: DataFrame, items: DataFrame, n: int = 12, most: float = 0.5, doc_key: str = "doc_id", doc_text: str = "text", **options) -> DataFrame:
     """``(doc, n_words, n_leaked, text)`` for the documents that hold leaked spans: the text without them, null if more than
     ``most`` of its words leaked and the document is to be dropped. A key must name one document."""
+    kind = dict(docs.dtypes)[doc_key]
+    schema = f"{doc_key} {kind}, n_words int, n_leaked int, text string"
+    item_key, item_text = options.get("item_key", "item_id"), options.get("item_text", "text")
+    if _block_number(items, item_key, item_text) == 1:  # the documents need not meet their spans again
+        shared = docs.sparkSession.sparkContext.broadcast(_item_block(items, item_key, item_text, n, 0, 1))
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, TEXTS):
+                    part = batch.slice(at, TEXTS)
+                    texts = part["text"].to_pylist()
+                    found = _spans(shared.value, *_numbered(shared.value, texts), pa.array(range(len(texts)), pa.int32()))
+                    by: dict[int, set[tuple[int, int]]] = {}
+                    for doc, first, last in zip(*(found[c].to_pylist() for c in ("key", "first_word", "last_word"))):
+                        by.setdefault(doc, set()).add((first, last))
+                    yield _cleaned(part["key"].take(pa.array(list(by), pa.int32())), [texts[doc] for doc in by], list(by.values()), most)
+
+        held = docs.select(F.col(doc_key).alias("key"), F.col(doc_text).alias("text")).where("key is not null and text is not null")
+        return spread(held).mapInArrow(search, schema)
+
     spans = leaked_spans(docs, items, n, doc_key, doc_text, **options)
     per = spans.groupBy(doc_key).agg(F.collect_set(F.struct("first_word", "last_word")).alias("spans"))
-    kind = dict(docs.dtypes)[doc_key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total, leaked, texts = [], [], []
-            for text, found in zip(batch["text"].to_pylist(), batch["spans"].to_pylist()):
-                pairs = [(s["first_word"], s["last_word"]) for s in found]
-                total.append(len(words_of(text)))
-                leaked.append(len({w for a, b in pairs for w in range(a, b + 1)}))
-                texts.append(without_words(text, pairs) if leaked[-1] <= most * total[-1] else None)
-            yield pa.RecordBatch.from_arrays([batch["key"], pa.array(total, pa.int32()), pa.array(leaked, pa.int32()), pa.array(texts, pa.string())], ["key", "n_words", "n_leaked", "text"])
+            yield _cleaned(batch["key"], batch["text"].to_pylist(), [{(s["first_word"], s["last_word"]) for s in found} for found in batch["spans"].to_pylist()], most)
 
     joined = docs.select(F.col(doc_key).alias("key"), F.col(doc_text).alias("text")).join(per.withColumnRenamed(doc_key, "key"), "key")
-    return joined.mapInArrow(run, f"{doc_key} {kind}, n_words int, n_leaked int, text string")
+    return joined.mapInArrow(run, schema)
+
+
+def _cleaned(keys: pa.Array, texts: list[str], spans: list[set[tuple[int, int]]], most: float) -> pa.RecordBatch:
+    total = [len(words_of(t)) for t in texts]
+    leaked = [len({w for a, b in pairs for w in range(a, b + 1)}) for pairs in spans]
+    left = [without_words(t, list(pairs)) if k <= most * n else None for t, pairs, n, k in zip(texts, spans, total, leaked)]
+    return pa.RecordBatch.from_arrays([keys, pa.array(total, pa.int32()), pa.array(leaked, pa.int32()), pa.array(left, pa.string())], ["key", "n_words", "n_leaked", "text"])

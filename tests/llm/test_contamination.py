@@ -49,7 +49,9 @@ def test_against_brute_force(spark, case, monkeypatch):
     assert sorted(map(tuple, C.leaked_spans(d, i).collect())) == sorted(map(tuple, spans))
 
 
-def test_cleaning(spark, case):
+@pytest.mark.parametrize("chars", [C.BLOCK_CHARS, 500])  # one block of items, several
+def test_cleaning(spark, case, monkeypatch, chars):
+    monkeypatch.setattr(C, "BLOCK_CHARS", chars)
     docs, items = case
     d, i = spark.createDataFrame([(*x, "z") for x in docs], DOC), spark.createDataFrame([(*x, "z") for x in items], ITEM)
     rows = C.without_leaks(d, i, most=0.7).collect()
