@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.scalars import embed_text, is_code_only, slugify, title_from_path, word_count
 from lodestone.functions.scalars import SCHEMA_VERSION
-from lodestone.scratch import materialise
+from lodestone.scratch import discard, materialise
 from lodestone.sources import markdown, vault
 from lodestone.sources.store import CHUNKS, Store
 
@@ -223,7 +223,10 @@ class Ingest:
         scope = vault.glob_regex(pattern).pattern.replace(r"\Z", r"\z") if pattern else None
         gone = materialise(stale(known, found, self.pages is None, f"^(?s){scope}" if scope else None), "stale")
         rows = materialise(parsed(changed(found, known), self.settings, self.pages, self.convert, self.window), "parsed")
-        return self._write(scanned, rows, gone)
+        discard(found)
+        report = self._write(scanned, rows, gone)
+        discard(gone)
+        return report
 
     def apply(self, files: DataFrame) -> Report:
         """Add or replace the notes of some files, deleting none; what a stream calls for each batch."""
@@ -239,6 +242,7 @@ class Ingest:
         deleted = gone.distinct().count() if gone is not None else 0
         if written or deleted:
             self.store.replace(new.select([c.split()[0] for c in CHUNKS.split(", ")]), links, gone)
+        discard(new)
         faults = vault.failed(rows)
         return Report(scanned, written, deleted, faults.count(), [tuple(r) for r in faults.orderBy("file_path").limit(20).collect()], faults)
 

@@ -136,6 +136,8 @@ def advance(state: OrphanState, refs: DataFrame, events: DataFrame, period: str
         wrong = materialise(without_parent(again(state._log(state.refs, REFS).where(F.col("at") >= F.lit(first))), known, period), "again")
         found += [verdict(wrong, True), verdict(again(state.verdicts).join(wrong, list(REF), "left_anti"), False)]
     log = materialise(reduce(DataFrame.unionByName, found), "found")
+    if len(found) > 1:
+        discard(wrong)
     last = max((t for t in (state.last, refs.agg(F.max("at")).first()[0]) if t is not None), default=None)
     return OrphanState(state.spark, [*state.refs, refs], [*state.found, log], [*state.events, events], last, version)
 

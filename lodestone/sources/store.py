@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.scalars import slugify, without_anchor
 from lodestone.operators.graph import alias_table, resolve_links
-from lodestone.scratch import materialise
+from lodestone.scratch import discard, materialise
 
 CHUNKS = "id string, note_slug string, title string, file_path string, chunk_index int, heading_path string, heading_level int, has_task boolean, has_code boolean, file_type string, content_hash string, tags array<string>, text string, embedding array<float>"
 RAW = "source_slug string, raw string"
@@ -157,6 +157,7 @@ class Store:
         self._put("raw", kept_raw.select("source_slug", "raw").unionByName(new_raw), touched, manifest)
         self._link(touched, manifest)
         self._commit(manifest)
+        discard(gone)
 
     def _link(self, touched: list[int], manifest: dict[str, Any]) -> None:
         old = self._table("aliases", manifest)
@@ -170,6 +171,8 @@ class Store:
         met = self._table("raw", manifest).select("source_slug", F.explode(F.array(name, F.lower(name), slugify(name))).alias("key")).join(changed, "key", "left_semi")
         again = sorted({*touched, *self._touched(met, "source_slug", manifest)})
         self._put("links", resolve_links(self._table("raw", manifest, again), self._table("aliases", manifest)), again, manifest)
+        discard(now)
+        discard(changed)
 
     def reset(self) -> None:
         """Drop everything."""
