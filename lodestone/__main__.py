@@ -63,7 +63,7 @@ def parser() -> argparse.ArgumentParser:
     command("hidden", ("note", {}), ("--deep", yes), ("--include-linked", yes), ("--top-k --candidate-chunks", {"type": int, "default": 3}), limit=10)
     command("boosted", ("query", {}), ("--seed", {"required": True}), ("--boost", {"type": float, "default": 1.5}), limit=10)
     command("get", ("note", {}), ("--meta", yes), ("--head", {"type": int, "default": 0}))
-    for name in ("stats", "doctor", "suggest-notes", "reset"):
+    for name in ("stats", "doctor", "suggest-notes", "index", "reset"):
         command(name)
     return p
 
@@ -203,6 +203,11 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
             faults = store.check()
             print(json.dumps(faults))
             return int(any(faults.values()))
+        if a.command == "index":
+            engine = Engine(store, embedder)
+            reads = engine.build_index(len(engine.vectors(["x"])[0]))
+            print(json.dumps({"cells": len(engine.index.centres), "read by a search": reads}))
+            return 0
         if a.command == "reset":
             store.reset()
             return 0

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators import filters, graph, hybrid, lexical, notes, tags, vector
+from lodestone.operators.index import VectorIndex
 from lodestone.operators.ingest import Embedder
 from lodestone.sources.store import Store
 
@@ -22,9 +23,10 @@ class Engine:
     """Answers questions about the notes of a store. Results are DataFrames, bounded by their limits where they have one."""
 
     def __init__(self, store: Store, embedder: Embedder, exact: bool = False):
-        """``exact`` searches rank all chunks and have no limit of 100 rows."""
+        """``exact`` searches rank all chunks and have no limit of 100 rows. Others take the store's index for single queries, if it has one of its current state."""
         self.store, self.embedder, self.exact = store, embedder, exact
         self._at: str | None = None
+        self.index: VectorIndex | None = None
 
     def _read(self) -> None:
         at = self.store.snapshot
@@ -32,6 +34,13 @@ class Engine:
             self._at, self.chunks, self.links = at, self.store.chunks, self.store.links
             self.notes = notes.headers(self.chunks)
             self.aliases = graph.alias_table(self.notes)
+            self.index = VectorIndex(self.store.spark, self.store.index_path) if at and self.store.has_index() else None
+
+    def build_index(self, dim: int) -> int:
+        """Index the store's current vectors; how many cells a search reads of how many."""
+        self._read()
+        self.index = VectorIndex.build(self.chunks, self.store.index_path, dim)
+        return self.index.reads
 
     def vectors(self, texts: Sequence[str]) -> list[list[float]]:
         return [[float(x) for x in v] for v in self.embedder.embed([t or " " for t in texts])]
@@ -69,7 +78,10 @@ class Engine:
             return tags.tag_search(self.chunks, where.tag, limit, where=where.column())
         vecs = self.vectors(asked)
         if len(asked) == 1:
-            found = vector.semantic_search(self.chunks, vecs[0], limit, per_note, where.column(), self.exact)
+            if self.index is not None and not self.exact:
+                found = self.index.search(vecs[0], limit, per_note, where.column())
+            else:
+                found = vector.semantic_search(self.chunks, vecs[0], limit, per_note, where.column(), self.exact)
             found = found.withColumn("matched_queries", F.when(F.col("score") > 0, F.array(F.lit(asked[0]))))
         else:
             found = vector.multi_search(self.chunks, vecs, asked, limit, per_note, where.column(), self.exact)

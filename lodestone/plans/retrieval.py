@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import scalars as S
 from lodestone.operators import filters, graph, hybrid, lexical, notes, tags, vector
+from lodestone.operators.index import VectorIndex
 from lodestone.plans.vault import SQL_IMAGES, SQL_OTHERS, C, L, chunks, heads, hub, linked, raw_links, seeds, sql_slug, sql_stem
+from lodestone.scratch import shared_dir
 
 SHOWN = ("id", "note_slug", "round(score, 4) AS score")
 # Columns that the searches need; the others are never read.
@@ -33,6 +37,27 @@ def semantic_filtered(spark: SparkSession, d: str) -> DataFrame:
     return vector.semantic_search(chunks(spark, d, *VECTORS, "has_task", "file_type"), seeds(spark, d, 1)[0], 20, 1, where).selectExpr(*SHOWN)
 
 
+def _index(spark: SparkSession, d: str) -> VectorIndex:
+    path = f"{shared_dir(spark)}/lodestone/index-{uuid.uuid4().hex}"
+    return VectorIndex.build(chunks(spark, d, *VECTORS), path, 64)
+
+
+def index_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the index finds nine in ten of the ten nearest rows, for every twentieth row (by the hash of its id) against all."""
+    index = _index(spark, d)
+    asked = index.rows.where(F.pmod(F.xxhash64("id"), F.lit(20)) == 0).select(F.col("id").alias("query"), "embedding")
+    found = index.nearest(asked, 10)
+    every = index.nearest(asked, 10, len(index.centres))
+    met = every.join(found.select("query", "id", F.lit(1).alias("hit")), ["query", "id"], "left")
+    return met.agg((F.sum(F.coalesce("hit", F.lit(0))) >= 0.9 * F.count("*")).alias("enough"))
+
+
+def index_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest chunks from all cells of the index."""
+    index = _index(spark, d)
+    return index.search(seeds(spark, d, 1)[0], reads=len(index.centres)).selectExpr(*SHOWN)
+
+
 def multi_query_rank(spark: SparkSession, d: str) -> DataFrame:
     return vector.multi_search(chunks(spark, d, *VECTORS), seeds(spark, d, 3), ["", "", ""]).select("id", "n_queries", F.round("score", 4).alias("score"))
 
@@ -264,6 +289,8 @@ _FIT = f"(CASE WHEN ceil(length({_TAGGED}) / 4.0) <= {_ROOM} THEN {_TAGGED} WHEN
 SQL = {
     "semantic_topk": f"WITH {C}, {_semantic(10, 3)} SELECT {_SCORE} FROM q",
     "semantic_exact": f"WITH {C}, {_semantic(50, 2, exact=True)} SELECT {_SCORE} FROM q",
+    "index_recall": "SELECT true AS enough",
+    "index_exact": f"WITH {C}, {_semantic(10, 3)} SELECT {_SCORE} FROM q",
     "semantic_filtered": f"WITH {C}, {_semantic(20, 1, "has_task AND file_type = 'md' AND note_slug <> 'running-capture-log'")} SELECT {_SCORE} FROM q",
     "multi_query_rank": f"WITH {C}, {_multi(_THREE, 10)} SELECT id, n_queries, round(score, 4) AS score FROM mq",
     "multi_query_attribution": f"""WITH {C}, {_multi(_THREE, 20)},
@@ -314,7 +341,7 @@ SELECT input, note_slug, CASE WHEN note_slug IS NOT NULL THEN 'resolved' WHEN n
     "embed_text": f"WITH {C} SELECT id, md5(CASE WHEN coalesce({_FIT}, '') = '' THEN text ELSE {_FIT} || chr(10) || chr(10) || text END) AS embed_md5 FROM c",
 }
 _FUNCTIONS = (
-    semantic_topk, semantic_exact, semantic_filtered, multi_query_rank, multi_query_attribution, min_score_round, group_by_note, lexical_search, tag_exact, tag_children, tag_list, tag_suggest, shared_tags, alias_table, link_resolve, backlinks,
+    semantic_topk, semantic_exact, semantic_filtered, index_recall, index_exact, multi_query_rank, multi_query_attribution, min_score_round, group_by_note, lexical_search, tag_exact, tag_children, tag_list, tag_suggest, shared_tags, alias_table, link_resolve, backlinks,
     neighbours, connections_1hop, connections_2hop, phantom_nodes, hidden_unlinked, hidden_include_linked, hidden_deep, graph_boosted, note_reconstruct, note_head, note_meta, context_window, resolve_name, name_lookup, slug_list, limit_clamped, fallback_search, stats, slugify, attachment_flag, content_hash, embed_text,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}

@@ -34,7 +34,7 @@ def names_of(schema: str) -> list[str]:
 
 
 class Store:
-    """A store in a folder that all executors share. The number of buckets is that with which it was made."""
+    """A store in a folder that all executors share. An index lies beside the tables and goes with the state it was made of. The number of buckets is that with which it was made."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
         self.spark, self.path, self._buckets = spark, path.rstrip("/"), buckets
@@ -63,6 +63,14 @@ class Store:
         """The name of the current manifest."""
         return self._load("CURRENT")
 
+    @property
+    def index_path(self) -> str:
+        """The folder of an index of the current state."""
+        return f"{self.path}/index-{self.snapshot}"
+
+    def has_index(self) -> bool:
+        return bool(self._fs.exists(self._hadoop(f"index-{self.snapshot}/rows/_SUCCESS")))
+
     def manifest(self) -> dict[str, Any]:
         """``folders[table][bucket]``, the number of ``buckets``, and the manifest ``before``."""
         name = self.snapshot
@@ -134,8 +142,9 @@ class Store:
                     if at.getPath().getName() not in used:
                         self._fs.delete(at.getPath(), True)
         for at in self._fs.listStatus(self._hadoop("")):
-            if at.getPath().getName().startswith("manifest-") and at.getPath().getName() not in names:
-                self._fs.delete(at.getPath(), False)
+            name = at.getPath().getName()
+            if name.startswith(("manifest-", "index-")) and name.removeprefix("index-") not in names:
+                self._fs.delete(at.getPath(), True)
 
     def replace(self, chunks: DataFrame, raw: DataFrame, stale: DataFrame | None = None) -> None:
         """Replace the notes of ``chunks`` and drop the ``stale(note_slug)`` ones, chunks and outgoing links alike.

@@ -71,6 +71,10 @@ def test_commands(world, spark, capsys):
     assert main([*at, "get", "compost", "--meta"], spark) == 0 and "Chunks: 1" in capsys.readouterr().out
     assert main([*at, "suggest-notes"], spark) == 0 and capsys.readouterr().out.split() == ["compost", "garden", "mulch", "router"]
     assert main([*at, "tags"], spark) == 2
+    assert main([*at, "index"], spark) == 0 and json.loads(capsys.readouterr().out)["cells"] == 2
+    assert Engine(world[0].store, world[0].embedder).index is None and world[0].store.has_index()
+    again = Engine(world[0].store, world[0].embedder)
+    assert slugs(again.search(["router firmware wireless network"]))[0] == "router" and again.index is not None
     assert main([*at, "get", "nothing"], spark) == 1 and main([*at, "nonsense"], spark) == 2 and main([*at, "doctor"], spark) == 0
 
 
