@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.names import ATTACHMENTS, note_name
 from lodestone.llm import contamination, levels, neardup, packing, splitting, topn, vectors
 from lodestone.operators.records import latest
+from lodestone.scratch import materialise
 
 
 def _chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -86,6 +87,17 @@ def p6_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(spark.read.parquet(f"{d}/documents.parquet"))
 
 
+def p6_checked(spark: SparkSession, d: str) -> DataFrame:
+    """``(what, n)`` of a packing: its texts, those within the capacity that are cut, those with a piece too few or too many, containers
+    above the capacity, and whether less than 99 % of the containers' room is used."""
+    placed = materialise(p6_packing(spark, d), "packing")
+    texts = placed.groupBy("doc_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"), F.max("piece").alias("last"))
+    boxes = placed.groupBy("container_id").agg(F.sum("n_tokens").alias("t"))
+    kinds = lambda rows, **what: rows.agg(*[c.cast("long").alias(k) for k, c in what.items()]).select(F.explode(F.array(*[F.struct(F.lit(k).alias("what"), F.col(k).alias("n")) for k in what])).alias("x")).select("x.what", "x.n")
+    of_texts = kinds(texts, texts=F.count("*"), cut=F.count_if((F.col("t") <= 2048) & (F.col("n") > 1)), lost=F.count_if((F.col("n") != F.col("last") + 1) | (F.col("n") != F.greatest(F.ceil(F.col("t") / 2048), F.lit(1)))))
+    return of_texts.unionByName(kinds(boxes, over=F.count_if(F.col("t") > 2048), empty=(F.sum("t") < 0.99 * 2048 * F.count("*")).cast("int")))
+
+
 def p7_spans(spark: SparkSession, d: str) -> DataFrame:
     """The spans of 12 words or more that a document shares with a test item."""
     return contamination.leaked_spans(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/eval_items.parquet"))
@@ -113,7 +125,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_levels(spark, d).select("doc_id", "band")
 
 
-_ALL = (p1_found, p1_similar, p3_found, p3_top, p4_found, p4_groups, p5_found, p5_pieces, p5_rejoined, p6_packing, p7_found, p7_spans, p7_clean, p8_found, p8_levels)
+_ALL = (p1_found, p1_similar, p3_found, p3_top, p4_found, p4_groups, p5_found, p5_pieces, p5_rejoined, p6_packing, p6_checked, p7_found, p7_spans, p7_clean, p8_found, p8_levels)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _CHUNKS = "c AS (SELECT * FROM chunks WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC NULLS LAST, embedding DESC NULLS LAST) = 1)"
@@ -158,6 +170,7 @@ SQL = {
     "p3_found": f"WITH {_TOP} SELECT note_slug, result_id FROM t",
     "p3_top": f"WITH {_TOP} SELECT note_slug, rank, result_id, score, chunk_index FROM t",
     "p7_found": f"WITH {_LEAKS} SELECT DISTINCT doc_id, item_id FROM m",
+    "p6_checked": "SELECT 'texts' AS what, count(text) AS n FROM documents UNION ALL SELECT * FROM (VALUES ('cut', 0::BIGINT), ('lost', 0), ('over', 0), ('empty', 0)) AS t(what, n)",
     "p7_spans": f"WITH {_LEAKS} SELECT doc_id, item_id, first_word, last_word FROM sp",
     "p7_clean": f"""WITH {_LEAKS},
 gone AS (SELECT DISTINCT doc_id, unnest(range(first_word + 1, last_word + 2)) AS w FROM sp),
